@@ -47,7 +47,7 @@ def _level(keys: DataFrame, n: int, bits_per_key: float, hashes: int, seed: int)
     if bits > MAX_BITS:
         raise ValueError(f"a level of {bits} bits exceeds {MAX_BITS}; join such a list instead")
     p = keys.select(F.explode(F.array(*_positions(F.col("key"), bits, hashes, seed))).alias("p"))
-    set_ = p.groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), (F.col("p") % 64).cast("int"))).alias("v"))
+    set_ = p.groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("v"))
     words = [0] * (bits // 64)
     for w, v in set_.collect():  # at most bits / 64 rows
         words[w] = v
