@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, packing, urls
+from . import chat, mixing, neardup, packing, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_chat_format": chat.op2_chat_format,
         "op4_mixing": mixing.op4_mixing,
+        "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
         "op10_url_filter": urls.op10_url_filter,
     }
 
