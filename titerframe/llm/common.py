@@ -38,7 +38,14 @@ def materialize(df: DataFrame, label: str = "t", by: list[str] | None = None) ->
     writer = df.write.option("compression", "zstd")
     if by:
         writer = writer.partitionBy(*by)
-    writer.parquet(path)
+    # nothing reads this plan's shuffles again: they go with the write
+    tidy = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(tidy, "false")
+    spark.conf.set(tidy, "true")
+    try:
+        writer.parquet(path)
+    finally:
+        spark.conf.set(tidy, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,3 +78,10 @@ def ascii_lower(text: Column) -> Column:
 def parallelism(spark: SparkSession) -> int:
     """Partitions for Python stages whose cost is CPU, not bytes; grows with the session's own shuffle setting."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in enough partitions for Python work: as it is read, unless a few files hold it all."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(parallelism(spark))

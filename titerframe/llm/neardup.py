@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, table
+from .common import materialize, parallelism, spread, table
 from .graphs import connected_components, grouped
 from .shingles import mix, shingle_sets
 
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     n = parallelism(spark)
-    sig = materialize(signatures(docs.repartition(n), id_col, text_col, width), "signatures")
+    sig = materialize(signatures(spread(docs.select(id_col, text_col)), id_col, text_col, width), "signatures")
 
     classes = sig.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("smallest"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     # a class is named by half of its hash: ids may be null or of any type

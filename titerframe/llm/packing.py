@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, table
+from .common import materialize, spread, table
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces per window group when ranks are numbered; a frequent length is dealt to as many groups as it needs.
-RANK_GROUP = 2000
+RANK_GROUP = 200
 #: Nodes of the branch-and-bound search beyond the first descent.
 NODES = 200
 
@@ -298,8 +298,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     Null and empty texts are one ``end_id``. Repeated rows are packed each; null ids stay null. Other columns are not
     read. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    pieces = materialize(tokenize_pieces(docs.repartition(parallelism(spark)), id_col, text_col, vocabulary, capacity, end_id, with_ids), "pieces")
+    pieces = materialize(tokenize_pieces(spread(docs.select(id_col, text_col)), id_col, text_col, vocabulary, capacity, end_id, with_ids), "pieces")
     histogram = pieces.groupBy("length").count().collect()  # at most `capacity` rows
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in histogram:

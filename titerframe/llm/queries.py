@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, neardup, packing, urls
+from . import chat, mixing, neardup, packing, repeats, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_chat_format": chat.op2_chat_format,
+        "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
         "op4_mixing": mixing.op4_mixing,
         "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
         "op10_url_filter": urls.op10_url_filter,
