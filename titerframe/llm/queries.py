@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, neardup, packing, repeats, urls
+from . import chat, mixing, neardup, packing, quality, repeats, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_format": chat.op2_chat_format,
         "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
         "op4_mixing": mixing.op4_mixing,
+        "op7_quality_classifier": quality.op7_quality_classifier,
+        "op8_toxicity": toxicity.op8_toxicity,
         "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
         "op10_url_filter": urls.op10_url_filter,
     }
