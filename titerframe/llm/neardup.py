@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = materialize(members, "members")
 
     # one row of a class suffices; a row may share its id with rows of other classes, so the set's hash decides
-    texts = docs.select(F.col(id_col).alias("smallest"), F.col(text_col).alias("__text")).join(members, "smallest")
+    # texts move once, by the same plan at every size
+    texts = docs.select(F.col(id_col).alias("smallest"), F.col(text_col).alias("__text")).join(members.hint("merge"), "smallest")
 
     def sets(batches):
         import xxhash
