@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, neardup, packing, quality, repeats, toxicity, urls
+from . import chat, mixing, neardup, neighbours, packing, quality, repeats, topk, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_chat_format": chat.op2_chat_format,
         "op3_suffix_array_dedup": repeats.op3_suffix_array_dedup,
         "op4_mixing": mixing.op4_mixing,
+        "op5_nn_descent": neighbours.op5_nn_descent,
+        "op6_exact_top_k": topk.op6_exact_top_k,
         "op7_quality_classifier": quality.op7_quality_classifier,
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
@@ -23,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op10_url_filter": urls.OP10_SQL}
+    return {"op2_chat_format": chat.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op6_exact_top_k": topk.OP6_SQL, "op10_url_filter": urls.OP10_SQL}

@@ -311,7 +311,7 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, gram: int = GRAM,
     several = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
     wanted = kinds.join(several, "gram").select("one.rid", F.struct("gram", "stretch", "copies", "kinds", "one.place").alias("w"))
     wanted = materialize(wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted")), "wanted")
-    texts = materialize(docs.join(wanted, "rid").select("rid", "text", "wanted"), "wanted-texts")
+    texts = materialize(docs.join(wanted.hint("merge"), "rid").select("rid", "text", "wanted"), "wanted-texts")
     parts = texts.mapInArrow(lambda b: _stretches(b, length, gram_limit, False), "gram long, stretch long, copies long, rid long, first long, part binary")
     some = parts.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(lambda b: _indexed(b, length), "rid long, start long, stop long")
 
@@ -336,7 +336,7 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spans = repeated_spans(spread(rows), length, gram, gram_limit)
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     whole = docs.select(F.xxhash64(id_col, text_col).alias("__rid"), id_col, *extra, F.col(text_col).cast("string").alias("__text"))
-    joined = whole.join(spans.withColumnRenamed("rid", "__rid"), "__rid", "left").select(id_col, *extra, "__text", "spans")
+    joined = whole.join(spans.withColumnRenamed("rid", "__rid").hint("merge"), "__rid", "left").select(id_col, *extra, "__text", "spans")
 
     def run(batches):
         for batch in batches:
