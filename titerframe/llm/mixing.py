@@ -47,16 +47,16 @@ def source_targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EP
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = "mix", carry: bool = False) -> DataFrame:
     """Words that a mixture takes of every document.
 
-    Returns ``id_col``, size, source_size, target, taken; with ``carry`` all columns of ``docs`` besides (a clashing
-    name is the operator's). ``taken`` counts repeats: each source's rows add up to its target, rounded to a word.
+    Returns ``id_col``, size, source_size, target, taken; with ``carry`` also __row, a struct of all columns of
+    ``docs``. ``taken`` counts repeats: each source's rows add up to its target, rounded to a word.
 
     Null text has size 0; null ids share one key; a null source is a source, last in order. Repeated rows count each.
     Rows of equal key are ordered by id and size. An empty table gives no rows.
     """
     names = [id_col, "size", "source_size", "target", "taken"]
-    keep = [c for c in docs.columns if c not in names] if carry else []
+    keep = ["__row"] * carry
     rows = docs.select(
-        F.col(id_col), *keep, word_count(F.col(text_col)).alias("size"),
+        F.col(id_col), *[F.struct(*docs.columns).alias("__row")] * carry, word_count(F.col(text_col)).alias("size"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("__src"), F.col(source_col).cast("string").alias("__source"),
         _random_key(F.col(id_col), seed).alias("__key"),
     ).withColumn("__range", F.substring("__key", 1, RANGES_HEX))
@@ -89,14 +89,13 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     A document taken k times whole gives k rows; a rest below its size gives one more row with that many words.
     Documents of which nothing is taken go. Column set and order are those of ``docs``.
     """
-    text, source = options.get("text_col", "text"), options.get("source_col", "source")
-    mixed = mix(docs, carry=True, **options)
-    copies = F.ceil(F.col("taken") / F.col("size")).cast("int")
-    mixed = mixed.where("taken > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), copies)))
+    text = options.get("text_col", "text")
+    mixed = mix(docs, carry=True, **options).where("taken > 0")
+    mixed = mixed.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))))
     rest = F.col("taken") - (F.col("__copy") - 1) * F.col("size")
-    mixed = mixed.withColumn(text, F.when(rest < F.col("size"), take_words(F.col(text), rest)).otherwise(F.col(text)))
-    assert source in docs.columns
-    return mixed.select(*docs.columns)
+    whole = F.col("__row")[text]
+    new = {c: F.col("__row")[c] for c in docs.columns} | {text: F.when(rest < F.col("size"), take_words(whole, rest)).otherwise(whole)}
+    return mixed.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -322,15 +322,16 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, gram: int = GRAM,
     return whole.union(some).union(split)
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = MIN_LENGTH, gram: int = GRAM, gram_limit: int = GRAM_LIMIT, carry: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = MIN_LENGTH, gram: int = GRAM, gram_limit: int = GRAM_LIMIT, with_kept: bool = False, carry: bool = False) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts elsewhere in the corpus.
 
-    Returns a row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the remaining bytes);
-    with ``carry`` the other columns of ``docs`` besides. Strings are judged on the texts as they come, within one
+    Returns a row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256; with ``with_kept`` also kept (the
+    remaining text; a character that lost some of its bytes goes whole), with ``carry`` the other columns of ``docs``
+    (a clashing name is the operator's). Strings are judged on the texts as they come, within one
     text too; matches never cross texts. A null text is empty. Equal rows repeat each other. Ids may be null or
     repeated: places are by the hash of id and text. An empty table gives no rows.
     """
-    own = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
+    own = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
     extra = [c for c in docs.columns if c not in (id_col, *own)] if carry else []
     rows = docs.select(F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
     spans = repeated_spans(spread(rows), length, gram, gram_limit)
@@ -357,27 +358,27 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     kept = b"".join(data[x:y] for x, y in zip(np.append(0, reach).tolist(), np.append(a, len(data)).tolist(), strict=True))
                 else:
                     kept = data
-                for c, v in zip(out, (len(data), len(data) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept), strict=True):
+                for c, v in zip(out, (len(data), len(data) - len(kept), n_spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_kept else None), strict=False):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=[*batch.schema.names[:-2], *own])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *(pa.array(c, k) for c, k in zip(out, kinds, strict=False))], names=[*batch.schema.names[:-2], *own])
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2]) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:-2]) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string" * with_kept
     return joined.mapInArrow(run, schema)
 
 
 def keep_unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` with the repeated bytes gone from its texts (a character that lost bytes goes whole); columns stay.
+    """``docs`` with the repeated bytes gone from its texts; rows and columns stay, null texts too.
 
-    A column n_chars follows the new text. Null texts stay null.
+    A column n_chars follows a text that changed.
     """
-    kept = drop_repeats(docs.withColumn("__null", F.col(text_col).isNull()), id_col, text_col, carry=True, **options)
-    text = F.when(F.col("__null"), F.lit(None)).otherwise(F.try_validate_utf8(F.col("kept").cast("string")))
-    whole = F.when(F.col("n_removed") == 0, F.col(text_col)).otherwise(F.coalesce(text, F.expr("replace(make_valid_utf8(CAST(kept AS STRING)), '\uFFFD', '')")))
-    kept = kept.withColumn(text_col, F.when(F.col("__null"), F.lit(None)).otherwise(whole))
-    if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length(text_col)).cast(docs.schema["n_chars"].dataType))
-    return kept.select(*docs.columns)
+    rest = [c for c in docs.columns if c != text_col]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*rest, F.col(text_col).isNull().alias("__null")).alias("__row"))
+    kept = drop_repeats(rows, "id", "text", with_kept=True, carry=True, **options)
+    new = {c: F.col("__row")[c] for c in rest} | {text_col: F.when(~F.col("__row")["__null"], F.col("kept"))}
+    if "n_chars" in rest:
+        new["n_chars"] = F.when(F.col("n_removed") > 0, F.length("kept").cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
+    return kept.select(*[new[c].alias(c) for c in docs.columns])
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -223,7 +223,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 def score_toxicity(docs: DataFrame, model: ToxicSegments, id_col: str = "doc_id", text_col: str = "text", threshold: float = TOXIC, carry: bool = False) -> DataFrame:
     """id, held_out, score, predicted, passages (first byte, end, evidence) for every row of ``docs``.
 
-    With ``carry`` the other columns of ``docs`` besides. Only the text is an input; null and empty texts have no
+    With ``carry`` the other columns of ``docs`` besides (a clashing name is the operator's). Only the text is an input; null and empty texts have no
     passage. A null id is not held out; repeated rows are scored alike; an empty table gives no rows.
     """
     own = ["held_out", "score", "predicted", "passages"]
@@ -245,8 +245,8 @@ def score_toxicity(docs: DataFrame, model: ToxicSegments, id_col: str = "doc_id"
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = TOXIC, **options) -> DataFrame:
     """``docs`` without its toxic rows; columns stay."""
     model = fit_toxicity(docs, labels, id_col, text_col, **options)
-    scored = score_toxicity(docs, model, id_col, text_col, threshold, carry=True)
-    return scored.where("predicted = 0").select(*docs.columns)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("__row"))
+    return score_toxicity(rows, model, "id", "text", threshold, carry=True).where("predicted = 0").select("__row.*")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
