@@ -298,9 +298,11 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, gram: int = GRAM,
     """Spans of repeated bytes (rid, start, stop) of ``docs`` (rid, text); they may overlap."""
     n = parallelism(docs.sparkSession)
     every = materialize(_anchor_rows(docs, length, gram), "anchors")
-    twice = every.groupBy("gram").count().where("count > 1").select("gram")
-    shared = materialize(every.join(twice, "gram"), "shared")
-    remove_scratch(every)
+    # written first: a join of two plain tables is one whose skewed partitions Spark splits
+    twice = materialize(every.groupBy("gram").count().where("count > 1").select("gram"), "twice")
+    shared = materialize(every.join(twice.hint("merge"), "gram"), "shared")
+    for done in (every, twice):
+        remove_scratch(done)
 
     kinds = shared.groupBy("gram", "stretch").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "place")).alias("one"))
     kinds = materialize(kinds, "kinds")
@@ -308,7 +310,7 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, gram: int = GRAM,
     first, count = F.floor(F.col("place") / _AHEAD), F.floor(F.col("place") % _AHEAD / _N)
     whole = whole.select("rid", first.alias("start"), (first + count - 1 + length).alias("stop"))
 
-    several = kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    several = materialize(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
     wanted = kinds.join(several, "gram").select("one.rid", F.struct("gram", "stretch", "copies", "kinds", "one.place").alias("w"))
     wanted = materialize(wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted")), "wanted")
     texts = materialize(docs.join(wanted.hint("merge"), "rid").select("rid", "text", "wanted"), "wanted-texts")
@@ -317,9 +319,12 @@ def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, gram: int = GRAM,
 
     windows = texts.mapInArrow(lambda b: _stretches(b, length, gram_limit, True), "gram long, stretch long, window long, copies long, rid long, start long")
     windows = materialize(windows.dropDuplicates(["gram", "stretch", "window"]), "windows")
-    again = windows.groupBy("gram", "window").count().where("count > 1").select("gram", "window")
+    again = materialize(windows.groupBy("gram", "window").count().where("count > 1").select("gram", "window"), "again")
     split = windows.where("copies = 1").join(again, ["gram", "window"]).select("rid", "start", (F.col("start") + length).alias("stop"))
-    return whole.union(some).union(split)
+    spans = materialize(whole.union(some).union(split), "spans")
+    for done in (shared, kinds, several, wanted, texts, windows, again):
+        remove_scratch(done)
+    return spans
 
 
 def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = MIN_LENGTH, gram: int = GRAM, gram_limit: int = GRAM_LIMIT, with_kept: bool = False, carry: bool = False) -> DataFrame:
