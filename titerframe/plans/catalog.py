@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flow
+from . import cdc, flow
 
 FLAGSHIP = "fcxm_population_readout"
-_MODULES = (flow,)
+_MODULES = (flow, cdc)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
