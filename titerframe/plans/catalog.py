@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc, flow
+from . import cdc, flow, validation
 
 FLAGSHIP = "fcxm_population_readout"
-_MODULES = (flow, cdc)
+_MODULES = (flow, cdc, validation)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
