@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc, flow, validation
+from . import cdc, flow, pixels, scalar, validation
 
 FLAGSHIP = "fcxm_population_readout"
-_MODULES = (flow, cdc, validation)
+_MODULES = (flow, cdc, validation, scalar, pixels)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
