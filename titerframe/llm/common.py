@@ -80,6 +80,13 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches a few rows at a time, so that what a task makes of them stays small next to the batch."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in enough partitions for Python work: as it is read, unless a few files hold it all."""
     spark = df.sparkSession

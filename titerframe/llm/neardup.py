@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, spread, table
+from .common import materialize, parallelism, slices, spread, table
 from .graphs import connected_components, grouped
 from .shingles import mix, shingle_sets
 
@@ -83,7 +83,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH)
     def run(batches):
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches, 1024):
             n, ab, keys, sketches = [], [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), width):
                 n.append(len(s))
@@ -216,7 +216,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def sets(batches):
         import xxhash
 
-        for batch in batches:
+        for batch in slices(batches):
             t = batch.to_pydict()
             rows = []
             for i, s in enumerate(shingle_sets(t["__text"], width)):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, spread, table
+from .common import materialize, slices, spread, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -104,7 +104,7 @@ def tokenize_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def run(batches):
         ids_of = encoder(_vocabulary(vocabulary))
-        for batch in batches:
+        for batch in slices(batches, 1024):
             ids, texts = batch.column(0), batch.column(1)
             out: list[list] = [[] for _ in range(6)]
             for row in range(len(texts)):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, remove_scratch, spread, table
+from .common import materialize, parallelism, remove_scratch, slices, spread, table
 from .graphs import grouped
 from .shingles import mix, powers
 
@@ -223,7 +223,7 @@ def _batched(batch: pa.RecordBatch, length: int):
 
 def _anchor_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches, 1024):
             rid = batch.column("rid").to_numpy()
             for rows, at, parts in _batched(batch, length):
                 text, gram, stretch, first, count, ahead = anchors(parts, length, k)
@@ -236,7 +236,7 @@ def _anchor_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
 
 def _stretches(batches, length: int, limit: int, by_window: bool):
     """(text, wanted: [(gram, stretch, copies, kinds, place)]) -> bytes of the wanted stretches, or their windows."""
-    for batch in batches:
+    for batch in slices(batches, 128):
         out: list[list] = [[] for _ in range(6)]
         for rid, text, wanted in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
@@ -345,10 +345,10 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     joined = whole.join(spans.withColumnRenamed("rid", "__rid").hint("merge"), "__rid", "left").select(id_col, *extra, "__text", "spans")
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in own]
             texts, marks = batch.column(batch.num_columns - 2), batch.column(batch.num_columns - 1)
-            bounds = marks.offsets.to_numpy()
+            bounds = marks.offsets.to_numpy()  # into all values: a slice of a batch keeps those of the batch
             start, stop = (marks.values.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for i, text in enumerate(texts.to_pylist()):
                 data = (text or "").encode("utf-8", "surrogatepass")

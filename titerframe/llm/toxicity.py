@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spread, table
+from .common import slices, spread, table
 from .labelled import held_out, sample_labels, training_labels
 from .shingles import mix, powers
 
@@ -183,7 +183,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     sample = docs.join(chosen, F.col(id_col) == F.col("__id")).select(F.col(text_col).cast("string"), "y")
 
     def distinct(batches):
-        for b in batches:
+        for b in slices(batches):
             y = b.column(1).to_numpy()
             sets = [np.unique(h[h > 0]) for _, _, h in tokens(b.column(0).to_pylist())]
             if sets:
@@ -200,7 +200,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     model = ToxicSegments(counts["token"].to_numpy(np.int64)[keep].view(np.uint64), scores[keep])
 
     def found(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for _, _, h in tokens(b.column(0).to_pylist()):
                 where, score = model.hits(h)
@@ -232,7 +232,7 @@ def score_toxicity(docs: DataFrame, model: ToxicSegments, id_col: str = "doc_id"
     passage = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64()), ("evidence", pa.float64())]))
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found = [model.passages(*t) for t in tokens(b.column(b.num_columns - 1).to_pylist())]
             score = model.score(np.array([sum(x for _, _, x in f) for f in found]))
             arrays = [pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32)), pa.array([[{"start": a, "stop": e, "evidence": x} for a, e, x in f] for f in found], passage)]
