@@ -21,6 +21,16 @@ def finite(x: Column) -> Column:
     return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None)).otherwise(x)
 
 
+def clip(x: Column, low: float | None = None, high: float | None = None) -> Column:
+    """``x`` within bounds; null stays null (``greatest`` and ``least`` alone would skip it)."""
+    out = x
+    if low is not None:
+        out = F.greatest(F.lit(low), out)
+    if high is not None:
+        out = F.least(F.lit(high), out)
+    return F.when(x.isNotNull(), out)
+
+
 def asinh_t(x: Column, cofactor: Column | float) -> Column:
     c = cofactor if isinstance(cofactor, Column) else F.lit(float(cofactor))
     return F.asinh(x / F.greatest(c, F.lit(TINY)))
@@ -32,7 +42,7 @@ def sinh_inverse(t: Column, cofactor: Column) -> Column:
 
 
 def log1p_clipped(x: Column) -> Column:
-    return F.log1p(F.greatest(x, F.lit(0.0)))
+    return F.log1p(clip(x, low=0.0))
 
 
 def safe_ratio(num: Column, den: Column) -> Column:
@@ -48,11 +58,11 @@ def fluorescence_index(sample: Column, negative: Column, positive: Column) -> Co
 def corrected_fraction(raw: Column, negative: Column, positive: Column) -> Column:
     """Control-corrected percentage, clipped to 0..100; null where undefined or the controls are equal."""
     span = F.when(finite(positive) != finite(negative), positive - negative)
-    return F.greatest(F.lit(0.0), F.least(F.lit(100.0), (finite(raw) - negative) / span * 100.0))
+    return clip((finite(raw) - negative) / span * 100.0, 0.0, 100.0)
 
 
 def red_green_ratio(red: Column, green: Column) -> Column:
-    return red / F.greatest(F.lit(1e-6), green)
+    return red / clip(green, low=1e-6)
 
 
 def cdc_score(percent: Column, missing_as_8: bool = False) -> Column:
@@ -122,7 +132,7 @@ def oks(distance: Column, scale: Column | float, k: float = 0.1) -> Column:
 
 
 def skip_outliers(z: Column, limit: float = 8.0) -> Column:
-    return F.greatest(F.lit(-limit), F.least(F.lit(limit), z))
+    return clip(z, -limit, limit)
 
 
 def zero_if_not_finite(x: Column) -> Column:

@@ -27,7 +27,7 @@ def drop_not_finite(df: DataFrame, channels: list[str]) -> DataFrame:
 
 
 def clip_range(x: Column, limit: Column | float) -> Column:
-    return F.least(x, limit if isinstance(limit, Column) else F.lit(float(limit)))
+    return F.when(x.isNotNull(), F.least(x, limit if isinstance(limit, Column) else F.lit(float(limit))))
 
 
 def edge_gate(channels: list[str], pnr: Column | float, png: Column | float = 1.0, hi_frac: float = 0.95) -> Column:

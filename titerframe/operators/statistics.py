@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
-from ..functions.numeric import finite
+from ..functions.numeric import finite, skip_outliers
 
 
 def with_mad(df: DataFrame, keys: list[str], value: str, med: str = "med", mad: str = "mad") -> DataFrame:
@@ -21,7 +21,7 @@ def robust_z(df: DataFrame, keys: list[str], value: str, out: str, eps: float =
     stats = with_mad(df, keys, value, "__med", "__mad")
     z = (F.col(value) - F.col("__med")) / F.greatest(F.col("__mad"), F.lit(eps))
     joined = df.join(stats, keys) if keys else df.crossJoin(F.broadcast(stats))  # without keys: one row
-    return joined.withColumn(out, F.greatest(F.lit(-clip), F.least(F.lit(clip), z))).drop("__med", "__mad")
+    return joined.withColumn(out, skip_outliers(z, clip)).drop("__med", "__mad")
 
 
 def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q: float, out: str = "quantile") -> DataFrame:

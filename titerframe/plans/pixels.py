@@ -144,7 +144,7 @@ def first_items(spark, sf_dir):
 
 
 def expiry(spark, sf_dir):
-    return S.expired(table(spark, sf_dir, "events"), "user_id", "ts", "2024-01-25 00:00:00", 24)
+    return S.expired(table(spark, sf_dir, "events"), "user_id", "ts", "2024-01-31 00:00:00", 24)
 
 
 def eviction(spark, sf_dir):
@@ -193,7 +193,7 @@ SELECT cluster, n, CASE WHEN fsc <= qf AND ssc <= qs THEN 'Debris' WHEN va IS NU
     "st_sliding": (sliding, "WITH s AS (SELECT event_type, value, date_trunc('hour', ts) - INTERVAL 1 HOUR * k AS start FROM events CROSS JOIN range(2) r(k)) SELECT event_type, start, start + INTERVAL 2 HOUR AS stop, count(*) AS n, round(sum(value), 6) AS total FROM s GROUP BY ALL"),
     "st_sessions": (sessions, "WITH b AS (SELECT user_id, ts, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 6 HOUR THEN 1 ELSE 0 END AS new FROM events), g AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s FROM b) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS stop, count(*) AS n FROM g GROUP BY user_id, s"),
     "st_first_items": (first_items, "SELECT DISTINCT user_id, event_type FROM events"),
-    "st_expiry": (expiry, "SELECT user_id, max(ts) AS updated_at FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-24 00:00:00'"),
+    "st_expiry": (expiry, "SELECT user_id, max(ts) AS updated_at FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 00:00:00'"),
     "st_eviction": (eviction, "WITH j AS (SELECT s_suppkey, s_suppkey * 37 % 101 AS size FROM supplier), b AS (SELECT *, coalesce(sum(size) OVER (ORDER BY s_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM j) SELECT s_suppkey, size FROM b WHERE before < 1000"),
     "st_streamed_counts": (streamed_counts, _T),
 }
