@@ -110,6 +110,8 @@ def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS
     spark = nodes.sparkSession
     parts = parallelism(spark)
     n = nodes.count()
+    if not n:
+        return spark.createDataFrame([], "a long, b long, d float")
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toPandas()  # a bounded sample
     x = np.frombuffer(b"".join(sample["vec"]), np.float16).reshape(len(sample), -1).astype(np.float32)
     trees = [SplitTree(x, max(2, int(len(x) * CELL / 2 / max(1, n))) if n > CELL else len(x), seed + i) for i in range(TREES)]

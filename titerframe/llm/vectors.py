@@ -34,4 +34,4 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 def packed(column: pa.Array | pa.ChunkedArray, kind) -> np.ndarray:
     """A binary column of equal lengths as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1) if len(column) else np.empty((0, 0), kind)
