@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from titerframe.llm import mixing, neardup, packing, quality, repeats, toxicity
+from titerframe.llm import graphs, mixing, neardup, packing, quality, repeats, toxicity
 
 from .conftest import prose
 
@@ -83,6 +83,32 @@ def test_a_large_family_is_split_into_blocks(spark, monkeypatch):
     assert got == sorted(brute_components(rows))
 
 
+def test_components_of_long_chains(spark):
+    rng = random.Random(12)
+    names = [rng.randrange(-(2**62), 2**62) for _ in range(2600)]
+    edges = [(names[i], names[i + 1]) for i in range(1199)] + [(names[i], names[i + k]) for i in range(1200, 2297) for k in (1, 2, 3)]
+    edges += [(i, i + 1) for i in range(1500)] + [(names[2300], names[i]) for i in range(2301, 2600)] + [(7, 7), (names[0], names[0])] + [(names[1], names[0])]
+    rng.shuffle(edges)
+    got = {r.node: r.component for r in graphs.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    groups = [names[:1200], names[1200:2300], list(range(1501)), names[2300:]]
+    assert got == {x: min(g) for g in groups for x in g}
+    assert graphs.connected_components(spark.createDataFrame([(7, 7)], "a long, b long")).count() == 0
+    with pytest.raises(RuntimeError):
+        graphs.connected_components(spark.createDataFrame(edges, "a long, b long"), max_rounds=1)
+
+
+def test_a_long_drift_chain_is_one_component(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 16)
+    rng = random.Random(13)
+    words = [f"{w}{i}" for i, w in enumerate(rng.choices(("a", "b", "c"), k=1100 * 2 + 120))]
+    rows = [(i, " ".join(words[2 * i : 2 * i + 120])) for i in range(1100)]
+    # texts i and i + 4 share 108 of 124 shingles
+    assert len(shingles(rows[0][1]) & shingles(rows[4][1])) * 100 >= 85 * len(shingles(rows[0][1]) | shingles(rows[4][1]))
+    rng.shuffle(rows)
+    got = neardup.near_duplicates(table(spark, rows)).collect()
+    assert len(got) == 1100 and {r.component_id for r in got} == {0} and [r.doc_id for r in got if r.kept] == [0]
+
+
 def test_near_duplicates_on_odd_rows(spark, odd_docs):
     got = neardup.near_duplicates(odd_docs).collect()
     assert len(got) == odd_docs.count()
