@@ -121,6 +121,21 @@ def test_near_duplicates_on_odd_rows(spark, odd_docs):
     assert neardup.near_duplicates(odd_docs.limit(0)).count() == 0
 
 
+def test_rows_are_kept_by_row_not_by_id(spark):
+    rng = random.Random(14)
+    texts = [prose(rng, 150) for _ in range(9)]
+    near = [t + " tail" for t in texts]
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (5, texts[4]), (6, near[4]), (7, near[0])]
+    rows += [(None, texts[5]), (None, near[5]), (8, texts[6]), (8, near[6]), (9, texts[7]), (3, near[7]), (9, texts[8]), (None, None), (None, ""), (None, " "), (4, None), (4, None), (4, "")]
+    got = Counter((r.doc_id, r.text) for r in neardup.keep_one(table(spark, rows)).collect())
+    either = [{(None, texts[5]), (None, near[5])}, {(8, texts[6]), (8, near[6])}]  # the key decides
+    assert all(sum(got.pop(x, 0) for x in pair) == 1 for pair in either)
+    want = [(7, near[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (3, near[7]), (9, texts[8])]
+    assert got == Counter(want + rows[-6:])
+    found = neardup.near_duplicates(table(spark, rows)).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in found if r.n_shingles))) == sorted(str(x) for x in brute_components(rows) if x[1])
+
+
 def test_odd_sketch_estimates_similarity():
     rng = np.random.default_rng(2)
     s = rng.integers(1, 2**63, 1200, dtype=np.uint64)

@@ -15,10 +15,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, slices, spread, table
+from .common import SPACE, materialize, parallelism, slices, spread, table
 from .graphs import connected_components, grouped
 from .shingles import mix, shingle_sets
 
@@ -77,8 +77,13 @@ def largest_xor(similarity: float) -> int:
     return int(np.ceil(SKETCH_BITS * share + 2 * (SKETCH_BITS * share * (1 - share)) ** 0.5))
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """Hash of a row's id and text: ids may be null or repeated."""
+    return F.xxhash64(F.col(id_col).isNull(), id_col, text_col)
+
+
 def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH) -> DataFrame:
-    """id, n_shingles, set_a, set_b (hash of the set; null if empty), bands, sketch."""
+    """id, row (its key), n_shingles, set_a, set_b (hash of the set; null if empty), bands, sketch."""
 
     def run(batches):
         import xxhash
@@ -95,11 +100,11 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH)
                 continue
             ab, none = np.stack(ab), np.array(n) == 0
             bands = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(np.concatenate(keys).view(np.int64)))
-            arrays = [batch.column(0), pa.array(n, pa.int64()), pa.array(ab[:, 0], mask=none), pa.array(ab[:, 1], mask=none), bands, pa.array(sketches, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "n_shingles", "set_a", "set_b", "bands", "sketch"])
+            arrays = [batch.column(0), batch.column(2), pa.array(n, pa.int64()), pa.array(ab[:, 0], mask=none), pa.array(ab[:, 1], mask=none), bands, pa.array(sketches, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "row", "n_shingles", "set_a", "set_b", "bands", "sketch"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n_shingles long, set_a long, set_b long, bands array<bigint>, sketch binary")
+    return docs.select(id_col, text_col, row_key(id_col, text_col)).mapInArrow(run, f"id {kind}, row long, n_shingles long, set_a long, set_b long, bands array<bigint>, sketch binary")
 
 
 def _forest(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -182,14 +187,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts are lower-cased (A-Z) and cut into ``[^\\x20\\x09-\\x0D]+`` words; a document is its set of distinct
     ``width``-word shingles (fewer words: the whole sequence). Null, empty and blank texts have no shingles and link
     with nothing. Rows are linked by set alone, so repeated rows are in one component. ``kept``: the id is the
-    component's smallest. A null id is never kept unless its component has no other; rows with empty sets and null
-    ids are components of their own. Other columns are not read. An empty table gives no rows.
+    component's smallest. A null id is never kept unless its component has no other; rows with empty sets are
+    components of their own. Other columns are not read. An empty table gives no rows.
+    """
+    sig, names = _components(docs, id_col, text_col, percent, width)
+    names = names.select(F.col("node").alias("set_a"), F.col("best.id").alias("component_id"))
+    out = sig.select("id", "n_shingles", "set_a").join(names, "set_a", "left")
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
+    out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def _components(docs: DataFrame, id_col: str, text_col: str, percent: int, width: int) -> tuple[DataFrame, DataFrame]:
+    """Signatures of all rows, and every class of equal sets (node) with the first row of its component.
+
+    ``best`` has none (is the id null), id and row: the smallest of them is the first row, so null ids come last.
     """
     spark = docs.sparkSession
     n = parallelism(spark)
     sig = materialize(signatures(spread(docs.select(id_col, text_col)), id_col, text_col, width), "signatures")
 
-    classes = sig.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min("id").alias("smallest"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = sig.where("n_shingles > 0").groupBy("set_a", "set_b", "n_shingles").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("best"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     # a class is named by half of its hash: ids may be null or of any type
     classes = materialize(classes.withColumnRenamed("set_a", "node"), "classes")
 
@@ -202,25 +220,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     close = compared.repartition(n, "key").sortWithinPartitions("key").mapInArrow(lambda b: _families_by_sketch(b, worst), "a long, b long")
     families = connected_components(close.union(common))
 
-    members = families.join(classes.select("node", "smallest", "n_shingles"), "node")
+    members = families.join(classes.select("node", F.col("best.row").alias("row")), "node")
     sizes = families.join(classes.select("node", "n_shingles"), "node").groupBy("component").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.ceil(F.col("shingles") / BLOCK_SHINGLES), F.lit(1)).cast("int")
-    members = members.join(sizes, "component").select("component", "node", "smallest", blocks.alias("blocks"))
+    members = members.join(sizes, "component").select("component", "node", "row", blocks.alias("blocks"))
     members = members.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     members = materialize(members, "members")
 
-    # one row of a class suffices; a row may share its id with rows of other classes, so the set's hash decides
+    # one row of a class suffices; should another share its key, the set's hash decides
     # texts move once, by the same plan at every size
-    texts = docs.select(F.col(id_col).alias("smallest"), F.col(text_col).alias("__text")).join(members.hint("merge"), "smallest")
+    texts = docs.select(row_key(id_col, text_col).alias("row"), F.col(text_col).alias("__text")).join(members.hint("merge"), "row")
 
     def sets(batches):
         import xxhash
 
+        last = None  # equal rows follow each other; one of them will do
         for batch in slices(batches):
             t = batch.to_pydict()
             rows = []
             for i, s in enumerate(shingle_sets(t["__text"], width)):
-                if np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0] == t["node"][i]:
+                if t["node"][i] != last and np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64)[0] == t["node"][i]:
+                    last = t["node"][i]
                     rows.append((t["component"][i], t["node"][i], t["blocks"][i], t["block"][i], s.tobytes()))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["component", "node", "blocks", "block", "set"])
@@ -233,21 +253,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = pairs.repartition(n, "component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(lambda b: _verified(b, percent), "a long, b long")
     linked = connected_components(links)
 
-    names = classes.select("node", "smallest").join(linked, "node", "left").select("node", "smallest", F.coalesce("component", "node").alias("component"))
-    roots = names.groupBy("component").agg(F.min("smallest").alias("component_id"))
-    names = names.join(roots, "component").select(F.col("node").alias("set_a"), "component_id")
-    out = sig.select("id", "n_shingles", "set_a").join(names, "set_a", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    out = out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    names = classes.select("node", "best").join(linked, "node", "left").select("node", "best", F.coalesce("component", "node").alias("component"))
+    roots = names.groupBy("component").agg(F.min("best").alias("best"))
+    return sig, names.select("node", "component").join(roots, "component").select("node", "best")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Rows of ``docs`` without near-duplicates: the smallest id of every component, once. Columns stay."""
-    found = near_duplicates(docs, id_col, text_col, **options)
-    kept = found.where("kept").select(F.col(id_col).alias("__kept")).distinct()
-    joined = docs.join(kept, F.col(id_col).eqNullSafe(F.col("__kept"))).drop("__kept")
-    return joined.dropDuplicates([id_col])
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
+    """Rows of ``docs`` without near-duplicates: the first row of every component, once. Columns stay.
+
+    The first row has the smallest id, null last; the hash of id and text decides between rows of one id. Ids decide
+    nothing else: rows that link with nothing, and rows without shingles, all stay.
+    """
+    _, names = _components(docs, id_col, text_col, percent, width)
+    kept = names.select(F.col("best.row").alias("__row")).distinct()
+    worded = F.coalesce(F.col(text_col).rlike(f"[^{SPACE}]"), F.lit(False))
+    firsts = docs.where(worded).withColumn("__row", row_key(id_col, text_col)).join(kept, "__row").dropDuplicates(["__row"])
+    return firsts.select(*docs.columns).union(docs.where(~worded))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
