@@ -50,6 +50,25 @@ def test_quantiles_ignore_what_is_not_finite(spark):
     assert df.limit(0).agg(A.median(F.col("x")).alias("m")).first().m is None
 
 
+def test_every_group_has_a_pool_from_all_of_its_parts(spark):
+    rows = [(m, f, i, None if i == 3 else float(i)) for m, n in (("a", 300), ("b", 300), ("c", 5)) for f in range(10) for i in range(n)]
+    df = spark.createDataFrame(rows, "marker string, file_id int, i int, value double")
+    take = lambda d: sampling.pool_per_group(d, ["marker"], ["file_id"], ["i"], per_part=200, total=1000)
+    got = take(df).collect()
+    assert take(df).columns == df.columns and len(set(got)) == len(got) and set(map(tuple, got)) <= set(rows)
+    by = {m: [r.file_id for r in got if r.marker == m] for m in "abc"}
+    assert {m: len(x) for m, x in by.items()} == {"a": 1000, "b": 1000, "c": 50}
+    assert all(60 < x.count(f) < 140 for x in (by["a"], by["b"]) for f in range(10))
+    assert sorted(got, key=str) == sorted(take(df.repartition(7)).collect(), key=str)
+
+
+def test_every_marker_is_calibrated_above_the_cap(spark):
+    from titerframe.plans import catalog
+
+    got = catalog.queries()["ml_marker_calibration"](spark, "/root/testdata/sf0.1").collect()
+    assert {r.marker: r.n for r in got} == {"cd3": 120_000, "cd19": 120_000} and all(r.cofactor > 0 and math.isfinite(r.threshold) for r in got)
+
+
 def test_constant_columns(spark):
     df = spark.createDataFrame([("f", 5.0)] * 20, "f string, x double")
     assert statistics.with_mad(df, ["f"], "x").first().mad == 0

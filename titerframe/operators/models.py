@@ -103,7 +103,7 @@ def calibrate_marker(x: np.ndarray, start: float = 150.0, least: float = 100.0,
 
 
 def calibrate_markers(pool: DataFrame, marker: str, value: str, **options) -> DataFrame:
-    """Cofactor and threshold per marker from a long pool of capped size (see ``sampling.pool``)."""
+    """Cofactor and threshold per marker from a long pool of capped size (see ``sampling.pool_per_group``)."""
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
         c, t = calibrate_marker(df[value].to_numpy(float), **options)

@@ -45,6 +45,22 @@ def pool(df: DataFrame, group: str, row: list[str], per_group: int, total: int,
     return sample.join(room.select(group, "__room"), group).withColumn("__r", F.row_number().over(order)).where("__r <= __room").drop("__r", "__room")
 
 
+def pool_per_group(df: DataFrame, keys: list[str], parts: list[str], row: list[str], per_part: int, total: int, seed: int = 0) -> DataFrame:
+    """A pool of at most ``total`` rows for every group, from all of its parts (of at most ``per_part`` rows each).
+
+    Rows are taken by lowest hash, under another seed than within the parts. Counts by range of the hash say where a
+    pool is full, so that no task orders a whole group.
+    """
+    rows = sample_per_group(df, [*keys, *parts], row, per_part, seed)
+    rows = rows.withColumn("__h", F.xxhash64(F.lit(seed + 1), *parts, *row)).withColumn("__range", F.shiftright("__h", 48))
+    by_range = [*keys, "__range"]
+    counts = rows.groupBy(*by_range).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__range")) - F.col("__n")
+    room = counts.withColumn("__room", F.lit(total) - before).where("__room > 0").drop("__n")
+    order = Window.partitionBy(*by_range).orderBy("__h", *parts, *row)
+    return rows.join(room, by_range).withColumn("__r", F.row_number().over(order)).where("__r <= __room").drop("__h", "__range", "__room", "__r")
+
+
 def _combined(df: DataFrame, channels: list[str], matrix: np.ndarray) -> DataFrame:
     new = {}
     for j, c in enumerate(channels):

@@ -95,7 +95,7 @@ def matching_greedy(spark, sf_dir):
 def marker_calibration(spark, sf_dir):
     ev = events(spark, sf_dir)
     long = ev.select("file_id", "l_orderkey", "l_linenumber", "cd3", "cd19").unpivot(["file_id", "l_orderkey", "l_linenumber"], ["cd3", "cd19"], "marker", "value")
-    pool = sampling.pool(long.withColumn("g", F.concat_ws(":", "marker", "file_id")), "g", ["l_orderkey", "l_linenumber"], per_group=5000, total=240_000)
+    pool = sampling.pool_per_group(long, ["marker"], ["file_id"], ["l_orderkey", "l_linenumber"], per_part=5000, total=120_000)
     return models.calibrate_markers(pool, "marker", "value").withColumns({"cofactor": F.round("cofactor", 4), "threshold": F.round("threshold", 4)})
 
 
