@@ -26,9 +26,8 @@ def maximal_conversations(conversations: DataFrame) -> DataFrame:
     one turn; null conv_id is a conversation. Prefixes are compared by two 64-bit hashes of their positions' turns
     and by their length.
     """
-    turns = _clean(conversations).withColumns({"a": F.xxhash64("role", "text"), "b": F.xxhash64("text", F.lit(7), "role")})
-    turns = turns.select("conv_id", "turn", "role", "a", "b", F.md5("text").alias("t")).distinct()
-    by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "a", "b")
+    turns = _clean(conversations).distinct().withColumns({"a": F.xxhash64("role", "text"), "b": F.xxhash64("text", F.lit(7), "role")})
+    by_turn = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
     turns = turns.withColumn("pos", F.row_number().over(by_turn))
     rolling = by_turn.rowsBetween(Window.unboundedPreceding, 0)
     prefixes = turns.select(
@@ -48,8 +47,7 @@ def format_chats(conversations: DataFrame, start: str = START, end: str = END) -
     """
     kept = maximal_conversations(conversations).withColumnRenamed("conv_id", "__kept")
     turns = _clean(conversations).join(kept, F.col("conv_id").eqNullSafe(F.col("__kept")))
-    # an ordered set by the same keys as above: a turn's hash stands for its text
-    turn = F.struct("turn", "role", F.xxhash64("role", "text").alias("a"), F.xxhash64("text", F.lit(7), "role").alias("b"), "text")
+    turn = F.struct("turn", "role", "text")  # a set in the order of above
     chats = turns.groupBy("conv_id", "n_turns").agg(F.sort_array(F.collect_set(turn)).alias("turns"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(start), t["role"], F.lit("\n"), t["text"], F.lit(end + "\n"))), "")
     return chats.select("conv_id", F.col("n_turns").cast("long").alias("n_turns"), text.alias("text"))
