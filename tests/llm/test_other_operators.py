@@ -60,6 +60,17 @@ def test_chats_match_brute_force(spark):
     assert chat.format_chats(df.limit(0)).count() == 0
 
 
+def test_tied_turns_are_ordered_by_text(spark):
+    rows = [(i, 0, "user", f"{w}{i}") for i in range(6) for w in ("z", "b", "é", "A", "")] + [(9, 1, "user", "x"), (9, 1, "user", "a"), (9, None, None, None), (9, 1, "a", "zz")]
+    got = {r.conv_id: r.text for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")).collect()}
+    for c in {r[0] for r in rows}:
+        mine = sorted(((r[1] is not None, r[1] or 0, r[2] or "", (r[3] or "").encode()) for r in rows if r[0] == c))
+        assert got[c] == "".join(f"<|im_start|>{r}\n{t.decode()}<|im_end|>\n" for _, _, r, t in mine)
+    # the second conversation is the first one's head only in the order of texts
+    heads = spark.createDataFrame([(1, 0, "u", "b"), (1, 0, "u", "a"), (2, 0, "u", "a"), (3, 0, "u", "b")], "conv_id long, turn int, role string, text string")
+    assert sorted(r.conv_id for r in chat.format_chats(heads).collect()) == [1, 3]
+
+
 # ----------------------------------------------------------------------------------------------------------- vectors
 
 
@@ -121,12 +132,29 @@ def test_sorted_lists_stop_early_and_keep_ties():
     rows = rng.integers(-30, 30, (3000, 12))
     rows[::7] = rows[0]
     index = topk.SortedLists(np.arange(3000), rows)
-    for _ in range(20):
-        q = rng.integers(-30, 30, 12) * (rng.random(12) < 0.7)
-        at, score = index.top(q, 25)
-        s = rows @ q
-        want = np.lexsort((np.arange(3000), -s))[:25]
-        assert sorted(at.tolist()) == sorted(want.tolist()) and (score == s[at]).all()
+    every = rng.integers(-30, 30, (300, 12)) * (rng.random((300, 12)) < 0.7)
+    q_ids = np.where(np.arange(300) % 3 == 0, np.arange(300), -1)  # some are rows themselves
+    for floor in (np.full(300, -np.inf), np.where(np.arange(300) % 2, 900.0, -np.inf), np.full(300, 1e9)):
+        number, at, score = index.top(q_ids, every, 25, floor)
+        for i, q in enumerate(every):
+            s = (rows @ q).astype(float)
+            want = [int(x) for x in np.lexsort((np.arange(3000), -s)) if x != q_ids[i]][:25]
+            mine = at[number == i].tolist()
+            assert mine == want[: len(mine)] and (score[number == i] == s[mine]).all()
+            assert len(mine) == len(want) or s[want[len(mine)]] < floor[i]
+    huge = topk.SortedLists(np.arange(3000), rows * 2**20)
+    number, at, score = huge.top(np.full(2, -1), every[:2] * 2**10, 5, np.full(2, -np.inf))
+    assert (score[number == 0] == (rows[at[number == 0]] @ every[0]) * 2.0**30).all()
+
+
+def test_top_k_of_few_rows_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.5]), (20, [1.0, 0.5]), (20, [1.0, 0.5]), (3, [-1.0, 0.0]), (4, [100.0, 3.0]), (0, [1.0, 0.5])]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_top_k(spark.createDataFrame(rows, SCHEMA), k=3).collect()]
+    want = []
+    for q in (0, 20):
+        pool = [(-sum(int(64 * a) * int(64 * b) for a, b in zip(x, y, strict=True)), j) for i, x in rows if i == q for j, y in rows if j != q]
+        want += [(q, k + 1, j, -s) for k, (s, j) in enumerate(sorted(pool)[:3])]
+    assert sorted(got) == sorted(want)
 
 
 # -------------------------------------------------------------------------------------------------------------- urls

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,24 +19,52 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where it is unset, a local session keeps its tables in its own warehouse folder; a cluster's executors do not share
+    a folder that we could choose, so there it has to be set.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = getattr(spark.sparkContext, "_titerframe_scratch", None)
-        if root is None:
-            root = "file://" + tempfile.mkdtemp(prefix="titerframe-")
-            spark.sparkContext._titerframe_scratch = root
-    return root
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
+    return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+
+
+#: Paths written inside the innermost :func:`scratch`, per thread of control.
+_WRITTEN: ContextVar[list[tuple[str, bool]] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the tables that :func:`materialize` wrote inside, unless they were written with ``keep``."""
+    outer, mine = _WRITTEN.get(), []
+    token = _WRITTEN.set(mine)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(token)
+        for path, keep in mine:
+            if not keep:
+                _delete(spark, path)
+            elif outer is not None:
+                outer.append((path, False))
+
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
-def materialize(df: DataFrame, label: str = "t", by: list[str] | None = None) -> DataFrame:
+
+def materialize(df: DataFrame, label: str = "t", by: list[str] | None = None, keep: bool = False) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back.
 
     This cuts lineage so that later passes neither recompute the rows nor lose them with an executor. ``by`` names
-    columns that the files are partitioned by.
+    columns that the files are partitioned by; a ``keep`` table outlives the :func:`scratch` it is written in.
     """
     spark = df.sparkSession
     path = f"{scratch_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    if _WRITTEN.get() is not None:
+        _WRITTEN.get().append((path, keep))
     writer = df.write.option("compression", "zstd")
     if by:
         writer = writer.partitionBy(*by)
@@ -51,12 +81,27 @@ def materialize(df: DataFrame, label: str = "t", by: list[str] | None = None) ->
 
 def remove_scratch(df: DataFrame) -> None:
     """Delete the files behind a table made by :func:`materialize` once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(parent)
-        path.getFileSystem(conf).delete(path, True)
+        _delete(df.sparkSession, parent)
+
+
+#: Keys that are joined by broadcast at most, as the ones that hold more than this share of all rows.
+HOT_KEYS, HOT_ROWS = 100_000, 1000
+
+
+def join_counted(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows of the table ``rows`` whose columns ``on`` are in ``keys``, with the columns of ``keys``.
+
+    ``keys`` has each key once and, as ``copies``, how many rows have it. Keys of over one HOT_KEYS-th of all rows are
+    fewer than HOT_KEYS, whatever the size: they alone are broadcast, so their rows stay where they are. The others meet
+    by sort and merge, where no key can be large.
+    """
+    most = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    hot = F.broadcast(keys.where(F.col("copies") > most))
+    if not hot.limit(1).count():
+        return rows.join(keys.hint("merge"), on)
+    cold = rows.join(hot.select(*on), on, "left_anti").join(keys.where(F.col("copies") <= most).hint("merge"), on)
+    return rows.join(hot, on).unionByName(cold)
 
 
 def squeezed(text: Column) -> Column:
