@@ -98,7 +98,7 @@ def test_components_of_long_chains(spark):
 
 
 def test_a_long_drift_chain_is_one_component(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK_DOCS", 16)
+    monkeypatch.setattr(neardup, "BLOCK_DOCS", 96)
     rng = random.Random(13)
     words = [f"{w}{i}" for i, w in enumerate(rng.choices(("a", "b", "c"), k=1100 * 2 + 120))]
     rows = [(i, " ".join(words[2 * i : 2 * i + 120])) for i in range(1100)]
@@ -173,11 +173,11 @@ def repeat_texts():
     return [*texts, "ab" * 400, "q" * 700, "short", "", None, texts[0], texts[0], "ü" * 230]
 
 
-@pytest.mark.parametrize("limit", (0, 2, 64))
+@pytest.mark.parametrize("limit", (1, 2, 16, 1024))
 def test_repeats_match_brute_force(spark, limit):
     texts = repeat_texts()
     rows = list(enumerate(texts))
-    got = repeats.drop_repeats(table(spark, rows), gram_limit=limit).orderBy("doc_id").collect()
+    got = repeats.drop_repeats(table(spark, rows), shard_strings=limit).orderBy("doc_id").collect()
     assert [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute_repeats(texts, 200)
 
 

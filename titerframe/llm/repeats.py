@@ -11,28 +11,33 @@ anchors at equal distances. The windows with one anchor make up a stretch of tex
    run-length compressed Burrows-Wheeler transform: runs of equal characters in suffix order, and for run ends a sample
    of the suffix and of its match with the neighbour. Streaming over the text from sample to sample gives the matching
    statistics (inside a run the match shrinks by one per character), and windows whose match is long enough are marked.
-   Grams with very many different stretches are split further, by the window itself.
-4. Marked windows go back to their documents, where overlapping ones merge.
+4. A gram with more different stretches than an index holds is sharded further. Windows are told apart by how far
+   ahead of the anchor they start; those of STEP neighbouring distances share all but STEP - 1 of their bytes, a core.
+   Equal windows have equal cores, so a stretch goes, in pieces of STEP windows, to the shards of its cores. Equal
+   pieces repeat in every window; the different ones of a core are indexed. Where even these are too many for an index,
+   the step is one: the core is the window, and windows that come twice repeat.
+5. Marked windows go back to their documents, where overlapping ones merge.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, remove_scratch, slices, spread, table
+from .common import join_counted, materialize, parallelism, remove_scratch, slices, spread, table
 from .graphs import grouped
 from .shingles import mix, powers
 
 MIN_LENGTH = 200
 #: Bytes of a gram. Windows hold MIN_LENGTH - GRAM + 1 of them and take the smallest.
 GRAM = 24
-#: Different stretches of one gram that are indexed together; more are split by window.
-GRAM_LIMIT = 64
+#: Different strings that are indexed together, and windows of a piece where a gram has more stretches than that.
+SHARD_STRINGS, STEP = 1024, 24
 #: Text handled at a time inside a task, and text of one index.
 CHUNK, SHARD = 1 << 20, 1 << 19
 
@@ -60,10 +65,10 @@ def _window_minima(keys: np.ndarray, w: int) -> np.ndarray:
     return out
 
 
-def _prefix(data: np.ndarray) -> np.ndarray:
+def _prefix(data: np.ndarray, seed: int = 1) -> np.ndarray:
     """Running sums from which the hash of any range follows, see :func:`_range_hash`."""
     up, _ = powers(len(data) + 1)
-    value = mix(data.astype(np.uint64) + np.uint64(1)) if len(data) < 256 else mix(np.arange(1, 257, dtype=np.uint64))[data]
+    value = mix(np.arange(seed, seed + 256, dtype=np.uint64))[data]
     out = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(value * up[:-1], out=out[1:])
     return out
@@ -86,7 +91,7 @@ def parts_of(texts: list[bytes], length: int) -> tuple[list[int], list[int], lis
 
 
 def anchors(parts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
-    """For the windows of some texts: text, gram hash, stretch hash, first window, number of windows, anchor's distance."""
+    """For the windows of some texts: text, gram hash, two stretch hashes, first window, number of windows, anchor's distance."""
     data = np.frombuffer(b"".join(parts), np.uint8)
     ends = np.cumsum([len(p) for p in parts])
     starts = ends - [len(p) for p in parts]
@@ -101,10 +106,10 @@ def anchors(parts: list[bytes], length: int, k: int) -> tuple[np.ndarray, ...]:
     first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (text[1:] != text[:-1])]))
     count = np.diff(first, append=len(at))
     first, count = first[text[first] >= 0], count[text[first] >= 0]
-    sums = _prefix(data)
     anchor, text = at[first], text[first]
-    stretch = _range_hash(sums, first, first + count - 1 + length) + mix((anchor - first).astype(np.uint64))
-    return text, grams[anchor], stretch, first - starts[text], count, anchor - first
+    ahead = mix((anchor - first).astype(np.uint64))
+    stretch, check = (_range_hash(_prefix(data, seed), first, first + count - 1 + length) + ahead for seed in (1, 1000))
+    return text, grams[anchor], stretch, check, first - starts[text], count, anchor - first
 
 
 # ------------------------------------------------------------------------------------------- the run-length index
@@ -221,59 +226,92 @@ def _batched(batch: pa.RecordBatch, length: int):
             lo, size = i + 1, 0
 
 
+def _batch_of(columns, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
 def _anchor_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
     def run(batches):
         for batch in slices(batches, 1024):
             rid = batch.column("rid").to_numpy()
             for rows, at, parts in _batched(batch, length):
-                text, gram, stretch, first, count, ahead = anchors(parts, length, k)
+                text, gram, stretch, check, first, count, ahead = anchors(parts, length, k)
                 place = ((first + at[text]) * _AHEAD) + count * _N + ahead
-                arrays = [pa.array(rid[rows[text]]), pa.array(gram.view(np.int64)), pa.array(stretch.view(np.int64)), pa.array(place)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["rid", "gram", "stretch", "place"])
+                arrays = [pa.array(rid[rows[text]]), *(pa.array(x.view(np.int64)) for x in (gram, stretch, check)), pa.array(place)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["rid", "gram", "stretch", "check", "place"])
 
-    return docs.select("rid", "text").mapInArrow(run, "rid long, gram long, stretch long, place long")
+    return docs.select("rid", "text").mapInArrow(run, "rid long, gram long, stretch long, check long, place long")
 
 
-def _stretches(batches, length: int, limit: int, by_window: bool):
-    """(text, wanted: [(gram, stretch, copies, kinds, place)]) -> bytes of the wanted stretches, or their windows."""
-    for batch in slices(batches, 128):
-        out: list[list] = [[] for _ in range(6)]
+#: What is indexed: strings by shard, named by two hashes, with the number of their copies and one place.
+_STRINGS = pa.schema([(c, pa.int64()) for c in ("shard", "name", "check", "copies", "rid", "first")] + [("part", pa.binary())])
+_STRINGS_SQL = "shard long, name long, check long, copies long, rid long, first long, part binary"
+
+
+def _wanted(batches, length: int):
+    """(text, wanted) -> the text's row, what is wanted of it, its first window, number of windows, anchor's distance, bytes."""
+    for batch in batches:
         for rid, text, wanted in zip(batch.column("rid").to_pylist(), batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
             data = (text or "").encode("utf-8", "surrogatepass")
             for w in wanted:
-                if (w["kinds"] > limit) != by_window:
-                    continue
-                first, n = w["place"] // _AHEAD, w["place"] % _AHEAD // _N
-                part = data[first : first + n - 1 + length]
-                for c, v in zip(out, (w["gram"], w["stretch"], w["copies"], rid, first, part), strict=True):
-                    c.append(v)
-        if not out[0]:
-            continue
-        if not by_window:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], names=["gram", "stretch", "copies", "rid", "first", "part"])
+                first, n, ahead = w["place"] // _AHEAD, w["place"] % _AHEAD // _N, w["place"] % _N
+                yield rid, w, first, n, ahead, data[first : first + n - 1 + length]
+
+
+def _stretches(batches, length: int, most: int):
+    """(text, wanted: [(gram, stretch, check, copies, kinds, place)]) -> the stretches of grams of ``most`` kinds at most."""
+    for batch in slices(batches, 128):
+        rows = [(w["gram"], w["stretch"], w["check"], w["copies"], rid, first, part) for rid, w, first, _, _, part in _wanted([batch], length) if w["kinds"] <= most]
+        if rows:
+            yield _batch_of(zip(*rows, strict=True), _STRINGS)
+
+
+def _pieces(batches, length: int, most: int, step: int):
+    """The stretches of the other grams in pieces of ``step`` distances to the anchor; the shard is gram, distance and core."""
+    import xxhash
+
+    for batch in slices(batches, 128):
+        rows = []
+        for rid, w, first, n, ahead, part in _wanted([batch], length):
+            if w["kinds"] <= most:
+                continue
+            for j in range((ahead - n + 1) // step, ahead // step + 1):
+                lo, hi = max(0, ahead - (j + 1) * step + 1), min(n - 1, ahead - j * step)  # windows of the stretch
+                core = part[ahead - j * step : ahead - (j + 1) * step + 1 + length]
+                shard = xxhash.xxh3_64_intdigest(core, seed=(w["gram"] + j) % 2**64)
+                piece = part[lo : hi + length]
+                name = np.frombuffer(xxhash.xxh3_128_digest(piece, seed=ahead - lo), np.int64)
+                rows.append((shard - 2**63, int(name[0]), int(name[1]), w["copies"], rid, first + lo, piece))
+        if rows:
+            yield _batch_of(zip(*rows, strict=True), _STRINGS)
+
+
+def _windows(batches, length: int):
+    """Strings -> their windows, one by one: shard, two hashes, copies, rid, first."""
+    for batch in slices(batches, 1024):
+        parts = batch.column("part").to_pylist()
+        if not parts:
             continue
-        for lo in range(0, len(out[0]), 1000):
-            parts = out[5][lo : lo + 1000]
-            data = np.frombuffer(b"".join(parts), np.uint8)
-            n = np.array([len(p) - length + 1 for p in parts])
-            starts = np.cumsum([0] + [len(p) for p in parts])[:-1]
-            which = np.repeat(np.arange(len(parts)), n)
-            within = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            window = _range_hash(_prefix(data), starts[which] + within, starts[which] + within + length)
-            columns = [np.array(out[i][lo : lo + 1000], np.int64) for i in range(5)]
-            arrays = [columns[0][which], columns[1][which], window.view(np.int64), columns[2][which], columns[3][which], columns[4][which] + within]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], names=["gram", "stretch", "window", "copies", "rid", "start"])
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        n = np.array([len(p) - length + 1 for p in parts])
+        starts = np.cumsum([0] + [len(p) for p in parts])[:-1]
+        which = np.repeat(np.arange(len(parts)), n)
+        within = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+        at = starts[which] + within
+        names = [_range_hash(_prefix(data, seed), at, at + length).view(np.int64) for seed in (1, 1000)]
+        shard, copies, rid, first = (batch.column(c).to_numpy()[which] for c in ("shard", "copies", "rid", "first"))
+        arrays = [pa.array(x) for x in (shard, *names, copies, rid, first + within)]
+        yield pa.RecordBatch.from_arrays(arrays, names=_STRINGS.names[:-1])
 
 
 def _indexed(batches, length: int):
-    """(gram, stretch, copies, rid, first, part) sorted by the first two -> spans of repeated windows, once indexed."""
+    """Strings sorted by shard -> spans of repeated windows of those without copies."""
 
     def spans(rows):
         marks: list[list] = [[], [], []]
         for windows, (copies, rid, first, _) in zip(repeated_windows([r[3] for r in rows], length), rows, strict=True):
             if copies > 1 or not len(windows):
-                continue  # stretches with copies are marked as a whole elsewhere
+                continue  # strings with copies are marked as a whole elsewhere
             cut = np.flatnonzero(np.diff(windows) > 1)
             for a, b in zip(windows[np.append(0, cut + 1)], windows[np.append(cut, len(windows) - 1)], strict=True):
                 for c, v in zip(marks, (rid, first + int(a), first + int(b) + length), strict=True):
@@ -283,8 +321,8 @@ def _indexed(batches, length: int):
     shard, size = [], 0
     for _, t in grouped(batches):
         seen = {}
-        for s, *row in zip(*(t.column(i).to_pylist() for i in range(1, 6)), strict=True):
-            seen.setdefault(s, row)  # a text that stands in two equal rows comes twice
+        for a, b, *row in zip(*(t.column(i).to_pylist() for i in range(1, 7)), strict=True):
+            seen.setdefault((a, b), row)  # a text that stands in two equal rows comes twice
         shard += seen.values()
         size += sum(len(r[3]) for r in seen.values())
         if size > SHARD:
@@ -294,52 +332,77 @@ def _indexed(batches, length: int):
         yield spans(shard)
 
 
-def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, gram: int = GRAM, gram_limit: int = GRAM_LIMIT) -> DataFrame:
+def _index(strings: DataFrame, length: int) -> DataFrame:
+    dealt = strings.repartition(parallelism(strings.sparkSession), "shard").sortWithinPartitions("shard")
+    return dealt.mapInArrow(lambda b: _indexed(b, length), "rid long, start long, stop long")
+
+
+def _some(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
+
+
+def repeated_spans(docs: DataFrame, length: int = MIN_LENGTH, gram: int = GRAM, shard_strings: int = SHARD_STRINGS, step: int = STEP) -> DataFrame:
     """Spans of repeated bytes (rid, start, stop) of ``docs`` (rid, text); they may overlap."""
-    n = parallelism(docs.sparkSession)
+    named = ["gram", "stretch", "check"]
     every = materialize(_anchor_rows(docs, length, gram), "anchors")
-    # written first: a join of two plain tables is one whose skewed partitions Spark splits
-    twice = materialize(every.groupBy("gram").count().where("count > 1").select("gram"), "twice")
-    shared = materialize(every.join(twice.hint("merge"), "gram"), "shared")
+    twice = materialize(every.groupBy("gram").agg(F.count("*").alias("copies")).where("copies > 1"), "twice")
+    shared = materialize(join_counted(every, twice, ["gram"]).drop("copies"), "shared")
     for done in (every, twice):
         remove_scratch(done)
 
-    kinds = shared.groupBy("gram", "stretch").agg(F.count("*").alias("copies"), F.min(F.struct("rid", "place")).alias("one"))
+    kinds = shared.groupBy(*named).agg(F.count("*").alias("copies"), F.min(F.struct("rid", "place")).alias("one"))
     kinds = materialize(kinds, "kinds")
-    whole = shared.join(kinds.where("copies > 1").select("gram", "stretch"), ["gram", "stretch"])
+    whole = join_counted(shared, kinds.where("copies > 1").select(*named, "copies"), named)
     first, count = F.floor(F.col("place") / _AHEAD), F.floor(F.col("place") % _AHEAD / _N)
-    whole = whole.select("rid", first.alias("start"), (first + count - 1 + length).alias("stop"))
+    spans = [materialize(whole.select("rid", first.alias("start"), (first + count - 1 + length).alias("stop")), "whole")]
+    remove_scratch(shared)
 
-    several = materialize(kinds.groupBy("gram").agg(F.count("*").alias("kinds")).where("kinds > 1"), "several")
-    wanted = kinds.join(several, "gram").select("one.rid", F.struct("gram", "stretch", "copies", "kinds", "one.place").alias("w"))
-    wanted = materialize(wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted")), "wanted")
+    several = materialize(kinds.groupBy("gram").agg(F.count("*").alias("copies")).where("copies > 1"), "several")
+    wanted = join_counted(kinds.withColumnRenamed("copies", "n"), several, ["gram"])
+    wanted = wanted.select("one.rid", F.struct(*named, F.col("n").alias("copies"), F.col("copies").alias("kinds"), "one.place").alias("w"))
+    wanted = materialize(wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted")), "wanted")  # bounded by the text
     texts = materialize(docs.join(wanted.hint("merge"), "rid").select("rid", "text", "wanted"), "wanted-texts")
-    parts = texts.mapInArrow(lambda b: _stretches(b, length, gram_limit, False), "gram long, stretch long, copies long, rid long, first long, part binary")
-    some = parts.repartition(n, "gram").sortWithinPartitions("gram").mapInArrow(lambda b: _indexed(b, length), "rid long, start long, stop long")
-
-    windows = texts.mapInArrow(lambda b: _stretches(b, length, gram_limit, True), "gram long, stretch long, window long, copies long, rid long, start long")
-    windows = materialize(windows.dropDuplicates(["gram", "stretch", "window"]), "windows")
-    again = materialize(windows.groupBy("gram", "window").count().where("count > 1").select("gram", "window"), "again")
-    split = windows.where("copies = 1").join(again, ["gram", "window"]).select("rid", "start", (F.col("start") + length).alias("stop"))
-    spans = materialize(whole.union(some).union(split), "spans")
-    for done in (shared, kinds, several, wanted, texts, windows, again):
+    spans.append(materialize(_index(texts.mapInArrow(lambda b: _stretches(b, length, shard_strings), _STRINGS_SQL), length), "indexed"))
+
+    if _some(several.where(F.col("copies") > shard_strings)):
+        parts = materialize(texts.mapInArrow(lambda b: _pieces(b, length, shard_strings, step), _STRINGS_SQL), "pieces")
+        named = ["shard", "name", "check"]
+        kept = F.min(F.struct("rid", "first", "part")).alias("one")
+        different = materialize(parts.groupBy(*named).agg(F.count("*").alias("copies"), F.max("copies").alias("n"), kept), "piece-kinds")
+        whole = join_counted(parts.select(*named, "rid", "first", (F.col("first") + F.length("part")).alias("stop")), different.where("copies > 1").select(*named, "copies"), named)
+        spans.append(materialize(whole.select("rid", F.col("first").alias("start"), "stop"), "whole-pieces"))
+        cores = materialize(different.groupBy("shard").agg(F.count("*").alias("copies")).where("copies > 1"), "cores")
+        met = different.select(*named, F.greatest("copies", "n").alias("n"), "one.*")
+        met = materialize(join_counted(met, cores, ["shard"]).select(*named, F.col("n").alias("copies"), "rid", "first", "part", F.col("copies").alias("kinds")), "cored-pieces")
+        spans.append(materialize(_index(met.where(F.col("kinds") <= shard_strings).drop("kinds"), length), "indexed-pieces"))
+        large = met.where(F.col("kinds") > shard_strings).drop("kinds")
+        if _some(large):
+            windows = materialize(large.mapInArrow(lambda b: _windows(b, length), _STRINGS_SQL.rsplit(",", 1)[0]), "windows")
+            again = materialize(windows.groupBy(*named).agg(F.count("*").alias("copies")).where("copies > 1"), "again")
+            marked = join_counted(windows.drop("copies"), again, named).select("rid", F.col("first").alias("start"), (F.col("first") + length).alias("stop"))
+            spans.append(materialize(marked, "window-spans"))
+            for done in (windows, again):
+                remove_scratch(done)
+        for done in (parts, different, cores, met):
+            remove_scratch(done)
+    for done in (kinds, several, wanted, texts):
         remove_scratch(done)
-    return spans
+    return reduce(DataFrame.union, spans)
 
 
-def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = MIN_LENGTH, gram: int = GRAM, gram_limit: int = GRAM_LIMIT, with_kept: bool = False, carry: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = MIN_LENGTH, gram: int = GRAM, shard_strings: int = SHARD_STRINGS, with_kept: bool = False, carry: bool = False) -> DataFrame:
     """Remove every byte covered by a ``length``-byte string that also starts elsewhere in the corpus.
 
     Returns a row per row of ``docs``: id, n_bytes, n_removed, n_spans, kept_sha256; with ``with_kept`` also kept (the
     remaining text; a character that lost some of its bytes goes whole), with ``carry`` the other columns of ``docs``
     (a clashing name is the operator's). Strings are judged on the texts as they come, within one
-    text too; matches never cross texts. A null text is empty. Equal rows repeat each other. Ids may be null or
+    text too; matches never cross texts. ``shard_strings`` bounds an index, not what is found. A null text is empty. Equal rows repeat each other. Ids may be null or
     repeated: places are by the hash of id and text. An empty table gives no rows.
     """
     own = ["n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_kept
     extra = [c for c in docs.columns if c not in (id_col, *own)] if carry else []
     rows = docs.select(F.xxhash64(id_col, text_col).alias("rid"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(spread(rows), length, gram, gram_limit)
+    spans = repeated_spans(spread(rows), length, gram, shard_strings)
     spans = spans.groupBy("rid").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     whole = docs.select(F.xxhash64(id_col, text_col).alias("__rid"), id_col, *extra, F.col(text_col).cast("string").alias("__text"))
     joined = whole.join(spans.withColumnRenamed("rid", "__rid").hint("merge"), "__rid", "left").select(id_col, *extra, "__text", "spans")
