@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions.numeric import TINY, asinh_t, finite, log1p_clipped
-from .statistics import with_mad
 
 
 @dataclass(frozen=True)
@@ -41,16 +40,15 @@ def singlets_mad(df: DataFrame, file_col: str, fsc_a: str, fsc_h: str, out: str
     """Adds a singlet column: a MAD band on log height minus log area, per file.
 
     Candidates are positive and not among the smallest areas. A file of few candidates, or whose ratio doesn't vary,
-    keeps all of them. Three aggregations by file whose results are joined back; no event leaves its row.
+    keeps all of them. Events move once, by file; the file's order statistics are windows over it.
     """
+    file = Window.partitionBy(file_col)
     positive = (finite(F.col(fsc_a)) > TINY) & (finite(F.col(fsc_h)) > TINY)
-    cut = df.where(positive).groupBy(file_col).agg(A.quantile(F.col(fsc_a), cfg.min_fsc_quantile).alias("__cut"))
-    rows = df.join(cut, file_col, "left")
+    rows = df.withColumn("__cut", A.quantile(F.col(fsc_a), cfg.min_fsc_quantile, positive).over(file))
     valid = F.coalesce(positive & (F.col(fsc_a) >= F.col("__cut")), F.lit(False))
     rows = rows.withColumns({"__valid": valid, "__r": log1p_clipped(F.col(fsc_h)) - log1p_clipped(F.col(fsc_a))})
-    use = rows.where("__valid")
-    band = with_mad(use, [file_col], "__r", "__med", "__mad").join(use.groupBy(file_col).agg(F.count("*").alias("__n")), file_col)
-    rows = rows.join(band, file_col, "left")
+    rows = rows.withColumns({"__med": A.median(F.col("__r"), F.col("__valid")).over(file), "__n": F.count_if("__valid").over(file)})
+    rows = rows.withColumn("__mad", A.median(F.abs(F.col("__r") - F.col("__med")), F.col("__valid")).over(file))
     inside = F.col("__r").between(F.col("__med") - cfg.k_mad * F.col("__mad"), F.col("__med") + cfg.k_mad * F.col("__mad"))
     all_valid = (F.col("__n") < max(cfg.min_events, cfg.min_ratio_events)) | (F.col("__mad") <= 0)
     return rows.withColumn(out, F.col("__valid") & F.coalesce(all_valid | inside, F.lit(False))).drop("__cut", "__valid", "__r", "__med", "__mad", "__n")

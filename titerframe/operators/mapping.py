@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions.numeric import finite
+from .staging import staged
 
 #: Largest value of an integer image by dtype. Fixed values.
 DTYPE_MAX = {"bool": 1.0, "uint8": 255.0, "int16": 32767.0, "uint16": 65535.0}
@@ -118,7 +119,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
         step = labels.join(near, labels.node == near.x).select("node", F.col("component").alias("was"), F.least("component", "near").alias("to"))
         up = labels.select(F.col("node").alias("to"), F.col("component").alias("up"))
         new = step.join(up, "to", "left").select("node", F.least("to", F.coalesce("up", "to")).alias("component"), "was")
-        new = new.checkpoint() if new.sparkSession.sparkContext.getCheckpointDir() else new.cache()
+        new = staged(new, "components")
         moved = new.where("component <> was").limit(1).count()
         labels = new.select("node", "component")
         if not moved:

@@ -2,22 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions.numeric import finite, fluorescence_index, safe_ratio
-from .statistics import histogram_cutoff
+from .statistics import control_table
 
 
 def control_stats(events: DataFrame, gate: str, role: str, raw: str, t: str, **cutoff) -> DataFrame:
     """A row per gate: events and medians of both controls, and the cutoff. Missing positive controls are null."""
-    nc, pc = F.col(role) == "NC", F.col(role) == "PC"
-    medians = events.groupBy(F.col(gate).alias("gate")).agg(
-        A.median(F.col(raw), nc).alias("nc_median_raw"), A.median(F.col(t), nc).alias("nc_median_t"),
-        A.median(F.col(raw), pc).alias("pc_median_raw"), A.median(F.col(t), pc).alias("pc_median_t"),
-    )
-    return medians.join(histogram_cutoff(events, gate, role, t, **cutoff), "gate")
+    return control_table(events, gate, role, raw, t, **cutoff)
 
 
 def readouts(events: DataFrame, keys: list[str], gate: str, raw: str, t: str, controls: DataFrame) -> DataFrame:
@@ -33,6 +28,31 @@ def readouts(events: DataFrame, keys: list[str], gate: str, raw: str, t: str, co
         A.median(F.col(raw), good).alias("median_raw"), A.median(F.col(t), good).alias("median_t"),
         F.first("nc_median_raw").alias("nc"), F.first("pc_median_raw").alias("pc"),
     )
+    return _metrics(out, keys)
+
+
+def readouts_of_gates(events: DataFrame, keys: list[str], gates: dict[str, Column], raw: str, t: str, controls: DataFrame) -> DataFrame:
+    """:func:`readouts` for gates that are masks over the same events: conditional aggregates, no row per gate.
+
+    ``controls`` has a row per gate; groups without an event in a gate have no row for it.
+    """
+    names = list(gates)
+    wide = controls.agg(*[F.max(F.when(F.col("gate") == g, F.col(c))).alias(f"__{c}{i}") for i, g in enumerate(names) for c in ("cutoff", "nc_median_raw", "pc_median_raw")])
+    joined = events.crossJoin(F.broadcast(wide))  # one row
+    good = finite(F.col(raw)).isNotNull() & finite(F.col(t)).isNotNull()
+    aggs = []
+    for i, mask in enumerate(gates.values()):
+        mask = F.coalesce(mask, F.lit(False))
+        inside = mask & good
+        aggs.append(F.struct(
+            F.lit(names[i]).alias("gate"), F.count_if(mask).alias("rows"), F.count_if(inside).alias("n_events"), F.count_if(inside & (F.col(t) > F.col(f"__cutoff{i}"))).alias("n_pos"),
+            A.median(F.col(raw), inside).alias("median_raw"), A.median(F.col(t), inside).alias("median_t"), F.first(f"__nc_median_raw{i}").alias("nc"), F.first(f"__pc_median_raw{i}").alias("pc"),
+        ))
+    out = joined.groupBy(*keys).agg(F.array(*aggs).alias("g")).select(*keys, F.explode("g").alias("g")).select(*keys, "g.*").where("rows > 0")
+    return _metrics(out, keys)
+
+
+def _metrics(out: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(
         *keys, "gate", "n_events", F.when(F.col("n_events") > 0, F.col("n_pos") / F.when(F.col("n_events") > 0, F.col("n_events"))).otherwise(0.0).alias("pos_fraction"),
         "median_raw", "median_t", (F.col("median_raw") - F.col("nc")).alias("median_shift"),

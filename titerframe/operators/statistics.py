@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions.numeric import finite, skip_outliers
+from .staging import staged
 
 
 def with_mad(df: DataFrame, keys: list[str], value: str, med: str = "med", mad: str = "mad") -> DataFrame:
@@ -65,6 +69,41 @@ def smoothed(n: Column, keys: list[Column | str], order: str = "bin", width: int
     return F.sum(n).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, half)) / width
 
 
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], only: Callable[[Column], Column] | None = None, near: float = 0.005, bins: int = 512) -> DataFrame:
+    """Exact quantiles with linear interpolation per group of any size: keys, q (one of ``qs``), x.
+
+    Approximate quantiles, whose error is bounded below ``near``, bracket every rank; values inside the brackets are
+    counted in equal bins, and only the bin that holds a rank is sorted. ``only`` tells from the keys whether a q is
+    asked. Missing values don't count; null keys are no group.
+    """
+    rows = df.select(*keys, finite(F.col(value)).alias("x")).where("x IS NOT NULL")
+    sides = [q + s * near for s in (-1, 1) for q in qs]
+    ends = F.percentile_approx("x", [min(1.0, max(0.0, p)) for p in sides], F.lit(int(5 / near)))
+    groups = rows.groupBy(*keys).agg(ends.alias("ends"), F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+    ask = [F.lit(True) if only is None else only(F.lit(float(q))) for q in qs]
+    lo = [F.when(ask[i], F.col("least") if q <= near else F.col("ends")[i]) for i, q in enumerate(qs)]
+    hi = [F.when(ask[i], F.col("most") if q >= 1 - near else F.col("ends")[i + len(qs)]) for i, q in enumerate(qs)]
+    bounds = staged(groups.select(*keys, "n", *[c.alias(f"{n}{i}") for n, cs in (("lo", lo), ("hi", hi)) for i, c in enumerate(cs)]), "bounds")
+
+    met = rows.join(bounds.drop("n"), keys)
+    inside = [F.col("x").between(F.col(f"lo{i}"), F.col(f"hi{i}")) for i in range(len(qs))]
+    width = [F.when(F.col(f"hi{i}") > F.col(f"lo{i}"), (F.col(f"hi{i}") - F.col(f"lo{i}")) / bins).otherwise(1.0) for i in range(len(qs))]
+    place = F.array(*[F.when(c, F.struct(F.lit(float(q)).alias("q"), F.least(F.floor((F.col("x") - F.col(f"lo{i}")) / width[i]), F.lit(bins - 1)).alias("bin"))) for i, (q, c) in enumerate(zip(qs, inside, strict=True))])
+    placed = met.where(reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in inside])).select(*keys, "x", F.explode(F.array_compact(place)).alias("p")).select(*keys, "p.*", "x")
+    placed = staged(placed, "near-ranks")
+    below = met.groupBy(*keys).agg(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.count_if(F.col("x") < F.col(f"lo{i}")).alias("below")) for i, q in enumerate(qs)]).alias("b"))
+    at = F.col("q") * (F.col("n") - 1)
+    below = below.join(bounds.select(*keys, "n"), keys).select(*keys, "n", F.inline("b")).withColumns({"r0": F.floor(at), "r1": F.ceil(at), "share": at - F.floor(at)})
+    counts = placed.groupBy(*keys, "q", "bin").agg(F.count("*").alias("in_bin")).join(below, [*keys, "q"])
+    counts = counts.withColumn("before", F.col("below") + F.sum("in_bin").over(Window.partitionBy(*keys, "q").orderBy("bin")) - F.col("in_bin"))
+    holds = [(F.col(r) >= F.col("before")) & (F.col(r) < F.col("before") + F.col("in_bin")) for r in ("r0", "r1")]
+    wanted = counts.where(holds[0] | holds[1]).select(*keys, "q", "bin", "before", "r0", "r1", "share")
+    rank = F.col("before") + F.row_number().over(Window.partitionBy(*keys, "q", "bin").orderBy("x")) - 1
+    picked = placed.join(wanted, [*keys, "q", "bin"]).withColumn("rank", rank)
+    ends = picked.groupBy(*keys, "q").agg(*[F.min(F.when(F.col("rank") == F.col(r), F.col("x"))).alias(v) for r, v in (("r0", "v0"), ("r1", "v1"))], F.first("share").alias("share"))
+    return ends.select(*keys, "q", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("share")).alias("x"))
+
+
 def histogram_cutoff(values: DataFrame, gate: str, role: str, value: str, min_nc: int = 2000, min_pc: int = 2000, bins: int = 256, smooth: int = 7, tail: float = 0.15, run: int = 4, fallback_q: float = 0.90, crossing: float = 0.25) -> DataFrame:
     """Positivity cutoff per gate (gate, n_nc, n_pc, cutoff) from control histograms.
 
@@ -73,18 +112,37 @@ def histogram_cutoff(values: DataFrame, gate: str, role: str, value: str, min_nc
     first of ``run`` bins in a row at ``tail`` of the peak or less. Too few negative-control events, or no such tail:
     their ``fallback_q`` quantile; none at all: 0.
     """
-    x = finite(F.col(value))
-    rows = values.where(F.col(role).isin("NC", "PC") & x.isNotNull()).select(F.col(gate).alias("gate"), F.col(role).alias("role"), x.alias("x"))
+    options = {"min_nc": min_nc, "min_pc": min_pc, "bins": bins, "smooth": smooth, "tail": tail, "run": run, "fallback_q": fallback_q, "crossing": crossing}
+    return control_table(values, gate, role, value, value, **options).select("gate", "n_nc", "n_pc", "cutoff")
+
+
+def control_table(events: DataFrame, gate: str, role: str, raw: str, t: str, min_nc: int = 2000, min_pc: int = 2000, bins: int = 256, smooth: int = 7, tail: float = 0.15, run: int = 4, fallback_q: float = 0.90, crossing: float = 0.25) -> DataFrame:
+    """Events and medians of both controls per gate with the cutoff of :func:`histogram_cutoff` on ``t``.
+
+    The control events are written once; gates of any size are handled, as their quantiles are exact selections.
+    """
+    groups = events.select(F.col(gate).alias("gate")).distinct()
+    some = events.where(F.col(role).isin("NC", "PC")).select(F.col(gate).alias("gate"), F.col(role).alias("role"), finite(F.col(raw)).alias("raw"), finite(F.col(t)).alias("x"))
+    some = staged(some, "controls")
+    kinds = F.array(F.struct(F.concat("role", F.lit(" raw")).alias("of"), F.col("raw").alias("v")), F.struct(F.col("role").alias("of"), F.col("x").alias("v")), F.struct(F.lit("both").alias("of"), F.col("x").alias("v")))
+    long = some.select("gate", F.explode(kinds).alias("k")).select("gate", "k.of", "k.v")
+    asked = lambda q: F.when(F.col("of") == "both", q.isin(0.001, 0.999)).when(F.col("of") == "NC", F.lit(True)).otherwise(q == 0.5)
+    found = exact_quantiles(long, ["gate", "of"], "v", sorted({0.001, 0.5, fallback_q, 0.999}), asked)
+    pick = lambda of, q: F.max(F.when((F.col("of") == of) & (F.col("q") == q), F.col("x")))
+    names = {"nc_median_raw": ("NC raw", 0.5), "nc_median_t": ("NC", 0.5), "pc_median_raw": ("PC raw", 0.5), "pc_median_t": ("PC", 0.5), "fallback": ("NC", fallback_q)}
+    names |= {"nc_a": ("NC", 0.001), "nc_b": ("NC", 0.999), "both_a": ("both", 0.001), "both_b": ("both", 0.999)}
+    quantiles = found.groupBy("gate").agg(*[pick(*v).alias(k) for k, v in names.items()])
     nc = F.col("role") == "NC"
-    counts = values.groupBy(F.col(gate).alias("gate")).agg(F.count_if((F.col(role) == "NC") & x.isNotNull()).alias("n_nc"), F.count_if((F.col(role) == "PC") & x.isNotNull()).alias("n_pc"))
-    use = rows.join(F.broadcast(counts), "gate").where(nc | (F.col("n_pc") >= min_pc))
-    ranges = use.groupBy("gate").agg(
-        A.quantile(F.col("x"), 0.001).alias("a"), A.quantile(F.col("x"), 0.999).alias("b"), F.min("x").alias("least"), F.max("x").alias("most"),
-    )
-    fallback = rows.where(nc).groupBy("gate").agg(A.quantile(F.col("x"), fallback_q).alias("fallback"))
-    ranges = _padded(ranges, 0.02).withColumn("width", (F.col("hi") - F.col("lo")) / bins)
+    good = F.col("x").isNotNull()
+    counts = some.groupBy("gate").agg(F.count_if(nc & good).alias("n_nc"), F.count_if(~nc & good).alias("n_pc"), *[f(F.when(c, F.col("x"))).alias(n) for n, f, c in (("nc_least", F.min, nc), ("nc_most", F.max, nc), ("both_least", F.min, good), ("both_most", F.max, good))])
+    counts = groups.join(counts, "gate", "left").fillna(0, ["n_nc", "n_pc"]).join(quantiles, "gate", "left")
+    both = F.col("n_pc") >= min_pc
+    counts = staged(counts.withColumns({c: F.when(both, F.col(f"both_{c}")).otherwise(F.col(f"nc_{c}")) for c in ("a", "b", "least", "most")}), "control-counts")
+    ranges = _padded(counts.where("a IS NOT NULL").select("gate", "n_pc", "a", "b", "least", "most"), 0.02).withColumn("width", (F.col("hi") - F.col("lo")) / bins)
+    use = some.where(good).join(ranges, "gate").where(nc | both)
+    ranges = ranges.drop("n_pc")
     at = F.least(F.floor((F.col("x") - F.col("lo")) / F.col("width")), F.lit(bins - 1)).cast("int").alias("bin")
-    hist = use.join(F.broadcast(ranges), "gate").where("x >= lo AND x <= hi").groupBy("gate", at).agg(F.count_if(nc).alias("nc"), F.count_if(~nc).alias("pc"))
+    hist = use.where("x >= lo AND x <= hi").groupBy("gate", at).agg(F.count_if(nc).alias("nc"), F.count_if(~nc).alias("pc"))
     grid = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))).join(hist, ["gate", "bin"], "left").fillna(0, ["nc", "pc"])
     grid = grid.withColumns({"s_nc": smoothed(F.col("nc"), ["gate"], width=smooth), "s_pc": smoothed(F.col("pc"), ["gate"], width=smooth)})
     all_bins, by_bin = Window.partitionBy("gate"), Window.partitionBy("gate").orderBy("bin")
@@ -98,7 +156,7 @@ def histogram_cutoff(values: DataFrame, gate: str, role: str, value: str, min_nc
     grid = grid.withColumn("in_run", F.sum(low).over(by_bin.rowsBetween(1 - run, 0)) == run)
     crosses = (F.col("bin") > F.col("peak_bin")) & (F.col("bin") < bins - 1) & (F.col("d_pc") >= F.col("d_nc")) & (F.col("s_nc") <= crossing * F.col("peak"))
     found = grid.groupBy("gate", "lo", "width").agg(F.min(F.when(F.col("in_run"), F.col("bin") - run + 1)).alias("tail_bin"), F.min(F.when(crosses, F.col("bin"))).alias("cross_bin"))
-    out = counts.join(found, "gate", "left").join(fallback, "gate", "left")
-    best = F.coalesce(F.when(F.col("n_pc") >= min_pc, F.col("cross_bin")), F.col("tail_bin"))
+    out = counts.join(found, "gate", "left")
+    best = F.coalesce(F.when(both, F.col("cross_bin")), F.col("tail_bin"))
     cutoff = F.when(F.col("n_nc") >= min_nc, F.coalesce(F.col("lo") + (best + 0.5) * F.col("width"), F.col("fallback"))).otherwise(F.coalesce("fallback", F.lit(0.0)))
-    return out.select("gate", "n_nc", "n_pc", cutoff.alias("cutoff"))
+    return staged(out.select("gate", "nc_median_raw", "nc_median_t", "pc_median_raw", "pc_median_t", "n_nc", "n_pc", cutoff.alias("cutoff")), "controls-by-gate")

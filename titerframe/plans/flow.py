@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions import numeric as N
 from ..operators import gates, readouts, sampling, statistics
+from ..operators.staging import staged
 from .proxies import EVENTS, IGG_COFACTOR, PNR, SINGLETS, events
 
 R = 6
@@ -29,12 +30,20 @@ def _rounded(df: DataFrame, *cols: str) -> DataFrame:
 METRICS = ("pos_fraction", "median_raw", "median_t", "median_shift", "median_ratio", "fluorescence_index")
 
 
+def _nested() -> dict[str, Column]:
+    return {"All Cells": F.col("edge"), "Singlets": F.col("edge") & F.col("singlet")}
+
+
+def _nested_readout(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+    """Readouts of nested gates; the gated events are written once and read for the controls and for the readouts."""
+    ev = staged(_singlets(spark, sf_dir).select(key, "role", "igg", "t", "edge", "singlet"), "gated")
+    controls = readouts.control_stats(gates.explode_gates(ev, _nested()), "gate", "role", "igg", "t")
+    return _rounded(readouts.readouts_of_gates(ev, [key], _nested(), "igg", "t", controls), *METRICS)
+
+
 def population_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Readouts per file and gate against pooled controls: the flagship."""
-    ev = _singlets(spark, sf_dir).select("file_id", "role", "igg", "t", "edge", "singlet")
-    long = gates.explode_gates(ev, {"All Cells": F.col("edge"), "Singlets": F.col("edge") & F.col("singlet")})
-    controls = readouts.control_stats(long, "gate", "role", "igg", "t")
-    return _rounded(readouts.readouts(long, ["file_id"], "gate", "igg", "t", controls), *METRICS)
+    return _nested_readout(spark, sf_dir, "file_id")
 
 
 _LONG = f"""WITH {EVENTS}, {SINGLETS}, lg AS (
@@ -77,16 +86,12 @@ POPULATION_SQL = f"{_LONG}, {_CUTOFF} SELECT file_id, lg.gate AS gate, {_READ} F
 
 def sample_readout(spark, sf_dir):
     """The same pooled over the files of a sample."""
-    ev = _singlets(spark, sf_dir).select("sample", "role", "igg", "t", "edge", "singlet")
-    long = gates.explode_gates(ev, {"All Cells": F.col("edge"), "Singlets": F.col("edge") & F.col("singlet")})
-    controls = readouts.control_stats(long, "gate", "role", "igg", "t")
-    return _rounded(readouts.readouts(long, ["sample"], "gate", "igg", "t", controls), *METRICS)
+    return _nested_readout(spark, sf_dir, "sample")
 
 
 def control_table(spark, sf_dir):
-    ev = _singlets(spark, sf_dir).select("role", "igg", "t", "edge", "singlet")
-    long = gates.explode_gates(ev, {"All Cells": F.col("edge"), "Singlets": F.col("edge") & F.col("singlet")})
-    out = readouts.control_stats(long, "gate", "role", "igg", "t")
+    ev = staged(_singlets(spark, sf_dir).select("role", "igg", "t", "edge", "singlet"), "gated")
+    out = readouts.control_stats(gates.explode_gates(ev, _nested()), "gate", "role", "igg", "t")
     return _rounded(out, "nc_median_raw", "nc_median_t", "pc_median_raw", "pc_median_t", "cutoff")
 
 
