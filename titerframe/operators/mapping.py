@@ -120,8 +120,7 @@ def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
         up = labels.select(F.col("node").alias("to"), F.col("component").alias("up"))
         new = step.join(up, "to", "left").select("node", F.least("to", F.coalesce("up", "to")).alias("component"), "was")
         new = staged(new, "components")
-        moved = new.where("component <> was").limit(1).count()
         labels = new.select("node", "component")
-        if not moved:
-            break
-    return labels
+        if not new.where("component <> was").limit(1).count():
+            return labels
+    raise RuntimeError(f"components are unfinished after {rounds} rounds")

@@ -175,18 +175,24 @@ def neighbour_vote(rows: DataFrame, training: DataFrame, id_col: str, vec_col: s
     """Label by majority of the k nearest training rows, with the vote's share and the outlier score 1 - share.
 
     The training set is a bounded sample and its size is checked; it goes to every task as a matrix, and rows are
-    scored in blocks. Equal distances go to the smaller training id, equal votes to the smaller label.
+    scored in blocks. Vectors that are null or of another dimension get nulls. Equal distances go to the smaller training id, equal votes to the smaller label.
     """
     n = training.count()
     if n > max_training:
         raise ValueError(f"{n} training rows; sample them to {max_training} first")
-    t = training.select(id_col, vec_col, label_col).orderBy(id_col).toPandas()
-    x, y = np.stack(t[vec_col].to_list()).astype(np.float64) if n else np.empty((0, 0)), t[label_col].to_numpy()
+    t = training.select(id_col, vec_col, label_col).where(F.col(vec_col).isNotNull()).orderBy(id_col).toPandas()
+    sizes = t[vec_col].map(len)
+    t = t[sizes == sizes.mode().max()] if len(t) else t  # of the most frequent dimension
+    x, y = np.stack(t[vec_col].to_list()).astype(np.float64) if len(t) else np.empty((0, 0)), t[label_col].to_numpy()
     kind, label_kind = rows.schema[id_col].dataType.simpleString(), training.schema[label_col].dataType.simpleString()
 
     def run(batches):
         square = (x * x).sum(1)
         for df in batches:
+            other = np.array([v is None or len(v) != x.shape[1] for v in df[vec_col]], bool)
+            if other.any():
+                yield pd.DataFrame({id_col: df[id_col].to_numpy()[other], "predicted": None, "prob": None, "outlier": None})
+            df = df[~other]
             for at in range(0, len(df), 256):
                 part = df.iloc[at : at + 256]
                 q = np.stack(part[vec_col].to_list()).astype(np.float64)

@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 
 
+def drawn(seed: int, row: list[str]) -> Column:
+    """A hash of the row's key that every SQL engine has: md5 of seed and values."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in row]))
+
+
 def sample_per_group(df: DataFrame, keys: list[str], row: list[str], n: int, seed: int = 0) -> DataFrame:
     """At most n rows per group without replacement: those whose row key hashes lowest. Every run takes the same."""
-    order = Window.partitionBy(*keys).orderBy(F.xxhash64(F.lit(seed), *row), *row)
+    order = Window.partitionBy(*keys).orderBy(drawn(seed, row), *row)
     return df.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n).drop("__r")
 
 
@@ -29,7 +34,7 @@ def tail_and_sample(df: DataFrame, keys: list[str], row: list[str], value: str,
     """All rows of the upper tail and a sample of n others per group; ``in_tail`` tells them apart."""
     limit = df.groupBy(*keys).agg(A.quantile(F.col(value), q).alias("__limit"))
     rows = df.join(limit, keys).withColumn("in_tail", F.col(value) >= F.col("__limit")).drop("__limit")
-    order = Window.partitionBy(*keys, "in_tail").orderBy(F.xxhash64(F.lit(seed), *row), *row)
+    order = Window.partitionBy(*keys, "in_tail").orderBy(drawn(seed, row), *row)
     return rows.withColumn("__r", F.row_number().over(order)).where(F.col("in_tail") | (F.col("__r") <= n)).drop("__r")
 
 
@@ -41,7 +46,7 @@ def pool(df: DataFrame, group: str, row: list[str], per_group: int, total: int,
     sample = sample_per_group(df, [group], row, per_group, seed)
     counts = df.groupBy(group).agg(F.least(F.count("*"), F.lit(per_group)).alias("__n"))
     room = counts.withColumn("__room", F.lit(total) - (F.sum("__n").over(Window.orderBy(group)) - F.col("__n"))).where("__room > 0")
-    order = Window.partitionBy(group).orderBy(F.xxhash64(F.lit(seed), *row), *row)
+    order = Window.partitionBy(group).orderBy(drawn(seed, row), *row)
     return sample.join(room.select(group, "__room"), group).withColumn("__r", F.row_number().over(order)).where("__r <= __room").drop("__r", "__room")
 
 

@@ -118,9 +118,9 @@ def xm(spark, sf_dir):
 
 
 def xm_modes(spark, sf_dir):
-    """Columns 1-3 T, 4-6 B, 7-9 T/B; column 10 is empty."""
+    """Columns 1-3 T, 4-6 B, the others T/B."""
     col = N.well_column(F.col("well"))
-    w = _called(spark, sf_dir, manual=False).where((F.col("role") == "sample") & (col <= 9))
+    w = _called(spark, sf_dir, manual=False).where("role = 'sample'")
     w = w.withColumn("mode", F.when(col <= 3, "T").when(col <= 6, "B").otherwise("T/B"))
     x = assay.crossmatch_by_mode(w, "mode")
     return _r(x.select("mode", "n_wells", "final_call", "mean_corrected", "replicate_range", "discordant"), "mean_corrected", "replicate_range")
@@ -197,7 +197,7 @@ FROM ca WHERE role = 'sample' AND corrected IS NOT NULL GROUP BY plate"""),
 SELECT plate, "row", n_wells, CASE WHEN nm > 0 AND np + nn > 0 THEN CASE WHEN np > nn THEN 'positive' WHEN nn > np THEN 'negative' WHEN mp > mn THEN 'positive' WHEN mn > mp THEN 'negative' ELSE {_BYMEAN} END ELSE {_BYMEAN} END AS final_call,
   CASE WHEN nm > 0 AND np + nn > 0 THEN 'effective_well_calls' ELSE 'measured_mean' END AS call_source, round(mc, 6) AS mean_corrected, round(mr, 6) AS mean_raw, round(mc - 20, 6) AS margin, round(sd, 6) AS replicate_sd, round(rr, 6) AS replicate_range,
   coalesce(rr > 20, false) AS discordant, coalesce(mc BETWEEN 15 AND 25, false) AS borderline, nb AS n_borderline, nm AS n_manual FROM g"""),
-    "cdc_crossmatch_modes": (xm_modes, f"""{_LAB}, m AS (SELECT *, CASE WHEN CAST(substr(well, 2) AS INTEGER) <= 3 THEN 'T' WHEN CAST(substr(well, 2) AS INTEGER) <= 6 THEN 'B' ELSE 'T/B' END AS mode FROM wc WHERE role = 'sample' AND CAST(substr(well, 2) AS INTEGER) <= 9),
+    "cdc_crossmatch_modes": (xm_modes, f"""{_LAB}, m AS (SELECT *, CASE WHEN CAST(substr(well, 2) AS INTEGER) <= 3 THEN 'T' WHEN CAST(substr(well, 2) AS INTEGER) <= 6 THEN 'B' ELSE 'T/B' END AS mode FROM wc WHERE role = 'sample'),
 g AS (SELECT mode, count(*) AS n_wells, avg(corrected) AS mc, max(corrected) - min(corrected) AS rr FROM m GROUP BY GROUPING SETS ((mode), ()))
 SELECT mode, n_wells, {_BYMEAN} AS final_call, round(mc, 6) AS mean_corrected, round(rr, 6) AS replicate_range, coalesce(rr > 20, false) AS discordant FROM g"""),
     "cdc_run_validity": (validity, f"""{_LAB}, g AS (

@@ -192,18 +192,17 @@ def evenly_spaced(spark, sf_dir):
 
 
 def hashed_sample(spark, sf_dir):
-    s = sampling.sample_per_group(events(spark, sf_dir).select("file_id", "l_orderkey", "l_linenumber"), ["file_id"], ["l_orderkey", "l_linenumber"], 25)
-    return s.groupBy("file_id").agg(F.count("*").alias("n"))
+    return sampling.sample_per_group(events(spark, sf_dir).select("file_id", "l_orderkey", "l_linenumber"), ["file_id"], ["l_orderkey", "l_linenumber"], 25)
 
 
 def tail_reservoir(spark, sf_dir):
     s = sampling.tail_and_sample(events(spark, sf_dir), ["file_id"], ["l_orderkey", "l_linenumber"], "igg", 0.99, 30)
-    return s.groupBy("file_id").agg(F.count("*").alias("n"), F.count_if("in_tail").alias("n_tail"))
+    return s.select("file_id", "l_orderkey", "l_linenumber", "in_tail")
 
 
 def pooled_cap(spark, sf_dir):
     s = sampling.pool(events(spark, sf_dir).select("file_id", "l_orderkey", "l_linenumber"), "file_id", ["l_orderkey", "l_linenumber"], per_group=50, total=2000)
-    return s.groupBy("file_id").agg(F.count("*").alias("n"))
+    return s.select("file_id", "l_orderkey", "l_linenumber")
 
 
 def majority_gate(spark, sf_dir):
@@ -218,6 +217,8 @@ _HIST = f"""WITH {EVENTS}, u AS (SELECT role, t FROM edge WHERE edge), rg0 AS (S
 ), gr AS (SELECT rg.role, lo, w, b.bin, coalesce(n, 0) AS n FROM rg CROSS JOIN (SELECT CAST(unnest(range(@N)) AS INTEGER) AS bin) b LEFT JOIN hb ON hb.role = rg.role AND hb.bin = b.bin
 ), sm AS (SELECT *, sum(n) OVER (PARTITION BY role ORDER BY bin ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) / 7.0::DOUBLE AS s FROM gr)"""
 
+_DRAWN = "md5('0|' || CAST(l_orderkey AS VARCHAR) || '|' || CAST(l_linenumber AS VARCHAR))"
+
 QUERIES = {
     "fcxm_population_readout": (population_readout, POPULATION_SQL),
     "fcxm_sample_readout": (sample_readout, f"{_LONG}, {_CUTOFF} SELECT sample, lg.gate AS gate, {_READ} FROM lg JOIN cu USING (gate) JOIN ct USING (gate) GROUP BY sample, lg.gate"),
@@ -239,8 +240,11 @@ QUERIES = {
     "agg_mfi_triplet": (mfi_triplet, f"WITH {EVENTS} SELECT round(median(igg) FILTER (role = 'NC'), 6) AS nc, round(median(igg) FILTER (role = 'PC'), 6) AS pc, round(median(igg) FILTER (role = 'SAMPLE'), 6) AS sample FROM ev"),
     "prj_score_rules": (score_verdicts, f"WITH {EVENTS}, p AS (SELECT file_id, 100.0::DOUBLE * count(*) FILTER (igg > 900) / count(*) AS pct, median(igg) / 300.0 AS ratio FROM ev GROUP BY file_id) SELECT file_id, round(pct, 6) AS pct, CASE WHEN pct >= 60 THEN 3 WHEN pct >= 20 THEN 2 WHEN pct >= 5 THEN 1 ELSE 0 END AS score, CASE WHEN pct >= 60 THEN 'Strong' WHEN pct >= 20 THEN 'Moderate' WHEN pct >= 5 THEN 'Low' ELSE 'Negative' END AS verdict, CASE WHEN ratio >= 6 THEN 3 WHEN ratio >= 4 THEN 2 WHEN ratio >= 2 THEN 1 ELSE 0 END AS ratio_score FROM p"),
     "prj_evenly_spaced": (evenly_spaced, f"WITH {EVENTS}, r AS (SELECT file_id, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY file_id ORDER BY l_orderkey, l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY file_id) AS n FROM ev) SELECT file_id, l_orderkey, l_linenumber FROM r WHERE n <= 20 OR i IN (SELECT CAST(floor(k * (n - 1) / 19.0::DOUBLE) AS BIGINT) FROM range(20) t(k))"),
-    "srt_sample_per_file": (hashed_sample, f"WITH {EVENTS} SELECT file_id, least(count(*), 25) AS n FROM ev GROUP BY file_id"),
-    "win_tail_reservoir": (tail_reservoir, f"WITH {EVENTS}, q AS (SELECT file_id, quantile_cont(igg, 0.99) AS th FROM ev GROUP BY file_id), c AS (SELECT file_id, count(*) FILTER (igg >= th) AS k, count(*) FILTER (igg < th) AS o FROM ev JOIN q USING (file_id) GROUP BY file_id) SELECT file_id, k + least(o, 30) AS n, k AS n_tail FROM c"),
-    "srt_pool_cap": (pooled_cap, f"WITH {EVENTS}, c AS (SELECT file_id, least(count(*), 50) AS n FROM ev GROUP BY file_id), a AS (SELECT file_id, n, sum(n) OVER (ORDER BY file_id) - n AS before FROM c) SELECT file_id, CAST(least(n, 2000 - before) AS BIGINT) AS n FROM a WHERE before < 2000"),
+    "srt_sample_per_file": (hashed_sample, f"WITH {EVENTS} SELECT file_id, l_orderkey, l_linenumber FROM ev QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY {_DRAWN}, l_orderkey, l_linenumber) <= 25"),
+    "win_tail_reservoir": (tail_reservoir, f"""WITH {EVENTS}, q AS (SELECT file_id, quantile_cont(igg, 0.99) AS th FROM ev GROUP BY file_id), c AS (SELECT ev.file_id, l_orderkey, l_linenumber, igg >= th AS in_tail FROM ev JOIN q USING (file_id))
+SELECT file_id, l_orderkey, l_linenumber, in_tail FROM c QUALIFY in_tail OR row_number() OVER (PARTITION BY file_id, in_tail ORDER BY {_DRAWN}, l_orderkey, l_linenumber) <= 30"""),
+    "srt_pool_cap": (pooled_cap, f"""WITH {EVENTS}, s AS (SELECT file_id, l_orderkey, l_linenumber, row_number() OVER (PARTITION BY file_id ORDER BY {_DRAWN}, l_orderkey, l_linenumber) AS r FROM ev),
+c AS (SELECT file_id, least(count(*), 50) AS n FROM ev GROUP BY file_id), a AS (SELECT file_id, 2000 - (sum(n) OVER (ORDER BY file_id) - n) AS room FROM c)
+SELECT file_id, l_orderkey, l_linenumber FROM s JOIN a USING (file_id) WHERE r <= 50 AND r <= room"""),
     "rpt_gate_matrix": (majority_gate, f"WITH {EVENTS} SELECT file_id, count(*) AS n_all, nullif(count(*) FILTER (edge), 0) AS n_edge, nullif(count(*) FILTER (edge AND asinh(cd3 / 150.0) > 1.0), 0) AS n_cd3 FROM edge GROUP BY file_id"),
 }

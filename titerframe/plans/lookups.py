@@ -45,7 +45,7 @@ def gap(spark, sf_dir):
 
 def names(spark, sf_dir):
     known = table(spark, sf_dir, "supplier").select(F.concat(F.lit("run"), (F.col("s_suppkey") % 3).cast("string"), F.lit("/f"), (F.col("s_suppkey") % 40).cast("string"), F.lit(".fcs")).alias("path"))
-    wanted = table(spark, sf_dir, "supplier").where("s_suppkey < 60").select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string"), F.lit(".fcs")).alias("name")).union(known.where("path LIKE 'run0%'").select("path").distinct())
+    wanted = table(spark, sf_dir, "supplier").select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string"), F.lit(".fcs")).alias("name")).union(known.where("path LIKE 'run0%'").select("path").distinct())
     return M.resolve_names(wanted, known, "name", "path")
 
 
@@ -55,7 +55,7 @@ def unlabelled(spark, sf_dir):
 
 
 def linked(spark, sf_dir):
-    e = table(spark, sf_dir, "events").where("event_id % 40 = 0").select((F.col("user_id") % 500).alias("a"), (F.col("event_id") % 500).alias("b"))
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("a"), (F.col("event_id") + 1_000_000_000).cast("long").alias("b"))
     return M.components(e, "a", "b")
 
 
@@ -66,7 +66,7 @@ def scaled(spark, sf_dir):
 
 _PIECE = "CASE WHEN o_totalprice <= 0 THEN 0.0 WHEN o_totalprice < 100000 THEN o_totalprice * (10.0::DOUBLE / 100000) WHEN o_totalprice < 200000 THEN 10 + (o_totalprice - 100000) * (30.0::DOUBLE / 100000) WHEN o_totalprice < 400000 THEN 40 + (o_totalprice - 200000) * (60.0::DOUBLE / 200000) ELSE 100.0 END"
 _NAMES = """WITH k AS (SELECT 'run' || CAST(s_suppkey % 3 AS VARCHAR) || '/f' || CAST(s_suppkey % 40 AS VARCHAR) || '.fcs' AS path FROM supplier),
-w AS (SELECT 'f' || CAST(s_suppkey AS VARCHAR) || '.fcs' AS name FROM supplier WHERE s_suppkey < 60 UNION ALL SELECT DISTINCT path FROM k WHERE path LIKE 'run0%'),
+w AS (SELECT 'f' || CAST(s_suppkey AS VARCHAR) || '.fcs' AS name FROM supplier UNION ALL SELECT DISTINCT path FROM k WHERE path LIKE 'run0%'),
 b AS (SELECT regexp_extract(path, '[^/]*$') AS base, count(DISTINCT path) AS n, min(path) AS single FROM k GROUP BY 1)
 SELECT name, coalesce(e.path, CASE WHEN n = 1 THEN single END) AS resolved, e.path IS NULL AND coalesce(n > 1, false) AS ambiguous FROM w LEFT JOIN (SELECT DISTINCT path FROM k) e ON e.path = name LEFT JOIN b ON base = regexp_extract(name, '[^/]*$')"""
 QUERIES = {
@@ -78,6 +78,6 @@ QUERIES = {
     "agg_feature_gap": (gap, "WITH g AS (SELECT median(n_chars) FILTER (lang = 'en') AS mr, median(n_chars) FILTER (lang = 'de') AS ms, stddev_samp(n_chars) FILTER (lang = 'en') AS sr, quantile_cont(n_chars, 0.1) FILTER (lang = 'en') AS lr, quantile_cont(n_chars, 0.9) FILTER (lang = 'en') AS hr, quantile_cont(n_chars, 0.1) FILTER (lang = 'de') AS ls, quantile_cont(n_chars, 0.9) FILTER (lang = 'de') AS hs FROM documents) SELECT round((ms - mr) / sr, 6) AS z, round(ms / mr, 6) AS ratio, round(greatest(least(hr, hs) - greatest(lr, ls), 0) / (greatest(hr, hs) - least(lr, ls)), 6) AS overlap FROM g"),
     "uio_resolve_names": (names, _NAMES),
     "uio_unlabelled_columns": (unlabelled, f"WITH {ROIS} SELECT DISTINCT CAST(substr(well, 2) AS INTEGER) AS col FROM ro WHERE CAST(substr(well, 2) AS INTEGER) NOT IN (1, 2, 4)"),
-    "val_components": (linked, "WITH RECURSIVE e AS (SELECT user_id % 500 AS a, event_id % 500 AS b FROM events WHERE event_id % 40 = 0), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r(node, o) AS (SELECT a, a FROM u UNION SELECT r.node, u.b FROM r JOIN u ON r.o = u.a) SELECT node, min(o) AS component FROM r GROUP BY node"),
+    "val_components": (linked, "SELECT event_id + 1000000000 AS node, CAST(user_id AS BIGINT) AS component FROM events UNION SELECT user_id, user_id FROM events"),
     "map_unit_scaled": (scaled, "SELECT p_partkey, round(greatest(0.0, least(1.0, p_size * 10.0::DOUBLE / 255)), 6) AS u8, round(greatest(0.0, least(1.0, p_retailprice / 2000)), 6) AS f FROM part"),
 }

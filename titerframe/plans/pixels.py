@@ -10,6 +10,9 @@ from .proxies import events, table
 
 IMG = ["image"]
 
+#: Labelled rows that votes are taken from at most.
+TRAINING = 20_000
+
 
 def _pixels(spark, sf_dir, shift: int = 0):
     """Label maps of 40 x 40 from line items: the smallest part key of a place labels it."""
@@ -66,7 +69,7 @@ def nearest(spark, sf_dir):
 
 
 def labels_at(spark, sf_dir):
-    points = table(spark, sf_dir, "orders").where("o_orderkey % 5 = 0").select((F.col("o_custkey") % 8).alias("image"), F.col("o_orderkey").alias("point"), (F.col("o_orderkey") % 40).alias("py"), (F.col("o_custkey") % 40).alias("px"))
+    points = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 8).alias("image"), F.col("o_orderkey").alias("point"), (F.col("o_orderkey") % 40).alias("py"), (F.col("o_custkey") % 40).alias("px"))
     return spatial.label_at(points, _pixels(spark, sf_dir), IMG, 2).select("image", "point", "label")
 
 
@@ -110,8 +113,8 @@ def cluster_labels(spark, sf_dir):
 
 
 def knn_vote(spark, sf_dir):
-    e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
-    training = e.orderBy(F.xxhash64("vec_id")).limit(1000)
+    e = table(spark, sf_dir, "embeddings")
+    training = e.where("embedding IS NOT NULL").orderBy(F.xxhash64("vec_id")).limit(TRAINING)
     return models.neighbour_vote(e, training, "vec_id", "embedding", "label", k=5)
 
 
@@ -175,7 +178,7 @@ QUERIES = {
     "sg_focus": (focus, f"WITH {_px('a')}, n AS (SELECT a.image, a.y, a.x, sum(b.r) AS s, count(*) AS k FROM a JOIN a b ON a.image = b.image AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY 1, 2, 3) SELECT a.image AS image, round(var_pop(s - 4 * r) FILTER (k = 4), 5) AS laplacian_var, round(avg(r), 5) AS mean, round(stddev_pop(r), 5) AS sd, round(avg((r >= 1.0)::INT), 5) AS saturated FROM a LEFT JOIN n USING (image, y, x) GROUP BY a.image"),
     "agg_image_features": (features, f"WITH {_px('a0')}, a AS (SELECT image, r / 50 AS r FROM a0), m AS (SELECT image, avg(r) AS mu, stddev_pop(r) AS sd FROM a GROUP BY image) SELECT a.image AS image, round(first(mu), 6) AS mean, round(first(m.sd), 6) AS sd, round(avg(((r - mu) / m.sd) ** 3), 6) AS skew, round(quantile_cont(r, 0.01), 6) AS q01, round(median(r), 6) AS q50, round(quantile_cont(r, 0.99), 6) AS q99, round(avg((r < 0.1)::INT), 6) AS dark, round(avg((r > 0.9)::INT), 6) AS bright FROM a JOIN m USING (image) GROUP BY a.image"),
     "jn_nearest_centroid": (nearest, f"WITH {_px('a')}, c AS (SELECT image, label, avg(y) AS cy, avg(x) AS cx FROM a WHERE label > 0 GROUP BY 1, 2), d AS (SELECT p.image, p.label, min(sqrt((p.cy - q.cy) ** 2 + (p.cx - q.cx) ** 2)) AS d FROM c p JOIN c q ON p.image = q.image AND p.label <> q.label GROUP BY 1, 2) SELECT c.image AS image, c.label AS label, CASE WHEN d <= 12 THEN round(d, 6) ELSE 'inf'::DOUBLE END AS nearest FROM c LEFT JOIN d USING (image, label)"),
-    "jn_label_at": (labels_at, f"WITH {_px('a')}, pt AS (SELECT o_custkey % 8 AS image, o_orderkey AS point, o_orderkey % 40 AS py, o_custkey % 40 AS px FROM orders WHERE o_orderkey % 5 = 0), f AS (SELECT pt.image, point, arg_min(label, ((y - py) ** 2 + (x - px) ** 2, label)) AS label FROM pt JOIN a ON a.image = pt.image AND abs(y - py) <= 2 AND abs(x - px) <= 2 WHERE label > 0 AND (y - py) ** 2 + (x - px) ** 2 <= 4 GROUP BY 1, 2) SELECT pt.image AS image, pt.point AS point, label FROM pt LEFT JOIN f USING (image, point)"),
+    "jn_label_at": (labels_at, f"WITH {_px('a')}, pt AS (SELECT o_custkey % 8 AS image, o_orderkey AS point, o_orderkey % 40 AS py, o_custkey % 40 AS px FROM orders), f AS (SELECT pt.image, point, arg_min(label, ((y - py) ** 2 + (x - px) ** 2, label)) AS label FROM pt JOIN a ON a.image = pt.image AND abs(y - py) <= 2 AND abs(x - px) <= 2 WHERE label > 0 AND (y - py) ** 2 + (x - px) ** 2 <= 4 GROUP BY 1, 2) SELECT pt.image AS image, pt.point AS point, label FROM pt LEFT JOIN f USING (image, point)"),
     "val_circles": (circles, "WITH c AS (SELECT s_suppkey % 8 AS image, s_suppkey AS label, CAST(s_suppkey * 7 % 40 AS DOUBLE) AS cy, CAST(s_suppkey * 11 % 40 AS DOUBLE) AS cx FROM supplier), p AS (SELECT image, label, CAST(cy + dy AS BIGINT) AS y, CAST(cx + dx AS BIGINT) AS x, dy * dy + dx * dx AS d2 FROM c CROSS JOIN range(-3, 4) a(dy) CROSS JOIN range(-3, 4) b(dx) WHERE dy * dy + dx * dx <= 6.25) SELECT image, y, x, arg_min(label, (d2, label)) AS label FROM p GROUP BY image, y, x"),
     "val_stitching": (stitching, f"WITH {_px('a')}, t AS (SELECT image, y, x, r * g AS v FROM a CROSS JOIN (VALUES (0, 0, 1.0::DOUBLE), (8, 8, 2.0)) s(y0, x0, g) WHERE y >= y0 AND x >= x0 AND y < y0 + 32 AND x < x0 + 32) SELECT image, y, x, round(avg(v), 6) AS v, count(*) AS n_tiles FROM t GROUP BY image, y, x"),
     "jn_matching_optimal": (matching, None),

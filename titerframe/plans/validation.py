@@ -59,8 +59,8 @@ def best_rows(spark, sf_dir):
 
 
 def heat_map(spark, sf_dir):
-    s = _runs(spark, sf_dir).where("sample < 5")
-    return s.groupBy("algorithm", "params").pivot("sample", [0, 1, 2, 3, 4]).agg(F.round(F.avg("f1"), R6)).select("algorithm", "params", *[F.col(str(i)).alias(f"s{i}") for i in range(5)])
+    s = _runs(spark, sf_dir)
+    return s.groupBy("algorithm", "params").pivot("sample", list(range(25))).agg(F.round(F.avg("f1"), R6)).select("algorithm", "params", *[F.col(str(i)).alias(f"s{i}") for i in range(25)])
 
 
 def rater_confusion(spark, sf_dir):
@@ -187,7 +187,7 @@ QUERIES = {
     "val_metric_summary": (metric_summary, f"{_RUNS} SELECT algorithm, params, sample, round(avg(f1), 6) AS mean_f1, round(stddev_samp(f1), 6) AS std_f1, round(avg(jaccard), 6) AS mean_jaccard, round(stddev_samp(jaccard), 6) AS std_jaccard, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(tn) AS BIGINT) AS tn, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, count(DISTINCT file_id) AS n_files FROM wt GROUP BY algorithm, params, sample"),
     "val_best_settings": (best, f"{_RUNS}, s AS (SELECT algorithm, params, sample, avg(f1) AS m FROM wt GROUP BY ALL), b AS (SELECT algorithm, params, avg(m) AS score FROM s GROUP BY ALL) SELECT algorithm, params, round(score, 6) AS score, 1 AS rank FROM b QUALIFY row_number() OVER (PARTITION BY algorithm ORDER BY score DESC, params) = 1"),
     "val_best_rows": (best_rows, f"{_RUNS}, a AS (SELECT algorithm, params, avg(f1) AS m FROM wt GROUP BY ALL), b AS (SELECT algorithm, params FROM a QUALIFY row_number() OVER (PARTITION BY algorithm ORDER BY m DESC, params) = 1) SELECT algorithm, params, file_id, round(f1, 6) AS f1 FROM wt SEMI JOIN b USING (algorithm, params)"),
-    "val_heat_map": (heat_map, f"{_RUNS} SELECT algorithm, params, " + ", ".join(f"round(avg(f1) FILTER (sample = {i}), 6) AS s{i}" for i in range(5)) + " FROM wt WHERE sample < 5 GROUP BY algorithm, params"),
+    "val_heat_map": (heat_map, f"{_RUNS} SELECT algorithm, params, " + ", ".join(f"round(avg(f1) FILTER (sample = {i}), 6) AS s{i}" for i in range(25)) + " FROM wt GROUP BY algorithm, params"),
     "val_rater_confusion": (rater_confusion, f"{_RATED}, c AS (SELECT lang, count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality <> 1 AND toxic <> 0) AS tn, count(*) FILTER (quality <> 1 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic <> 0) AS fn, count(*) AS n FROM ra GROUP BY lang) SELECT lang, tp, tn, fp, fn, n, round((coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) * (tp + fn) + coalesce(2 * tn / nullif(2 * tn + fp + fn, 0), 0) * (tn + fp)) / n, 6) AS f1, round((coalesce(tp / nullif(tp + fp + fn, 0), 0) * (tp + fn) + coalesce(tn / nullif(tn + fp + fn, 0), 0) * (tn + fp)) / n, 6) AS jaccard FROM c"),
     "val_crosstab": (rater_crosstab, f"{_RATED}, d(v) AS (VALUES (0), (1), (2)), c AS (SELECT quality AS a, toxic AS b, count(*) AS n FROM ra GROUP BY ALL), g AS (SELECT x.v AS a, y.v AS b, coalesce(n, 0) AS n FROM d x CROSS JOIN d y LEFT JOIN c ON c.a = x.v AND c.b = y.v) SELECT a, b, n, round(n / nullif(sum(n) OVER (PARTITION BY a), 0), 6) AS share FROM g"),
     "val_count_errors": (count_errors, f"{_RATED}, x AS (SELECT lang, CAST(n_chars % 97 AS DOUBLE) AS p, CAST(n_chars % 53 AS DOUBLE) AS t FROM ra), k AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY p) + (count(*) OVER (PARTITION BY lang, p) - 1) / 2 AS rp, rank() OVER (PARTITION BY lang ORDER BY t) + (count(*) OVER (PARTITION BY lang, t) - 1) / 2 AS rt FROM x) SELECT lang, count(*) AS n, round(avg(p - t), 6) AS bias, round(avg(abs(p - t)), 6) AS mae, round(sqrt(avg((p - t) * (p - t))), 6) AS rmse, round(median(abs(p - t)), 6) AS median_abs, round(avg(abs(p - t) / nullif(t, 0)), 6) AS mean_rel, round(corr(p, t), 6) AS pearson, round(corr(rp, rt), 6) AS spearman FROM k GROUP BY lang"),
