@@ -85,3 +85,33 @@ def rgb_channel(name: Column) -> Column:
 def params_json(params: Column) -> Column:
     """A map as JSON with its keys sorted."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(params))))
+
+
+#: Metadata keys that may hold a tube's name, best first. Fixed values.
+TUBE_KEYS = ("$tube name", "tube name", "$tubename", "tubename", "tube", "tube name:", "sample name", "$sample", "sample", "$src", "src", "name")
+
+
+def _plain_key(key: Column) -> Column:
+    return F.translate(F.lower(F.trim(key)), "_-", "  ")
+
+
+def tube_name(meta: Column, fallback: Column) -> Column:
+    """Name of a tube from a map of metadata: the first known key that has a value, however the key is written."""
+    plain = F.map_from_entries(F.transform(F.map_entries(F.map_filter(meta, lambda k, v: F.trim(v) != "")), lambda e: F.struct(_plain_key(e["key"]), F.trim(e["value"]))))
+    return F.coalesce(*[F.try_element_at(plain, F.lit(k)) for k in TUBE_KEYS], fallback)
+
+
+def positive_marker(label: Column) -> Column:
+    """First marker with a ``+`` channel of a label like ``CD3 PerCP-A+ CD19 APC-Cy7-A-``; null if there is none."""
+    return F.nullif(F.regexp_extract(label, r"(?:^|\s)(\S+)\s+\S*\+(?=\s|$)", 1), F.lit(""))
+
+
+def canonical_metric(name: Column, aliases: dict[str, tuple[str, ...]]) -> Column:
+    """Canonical name of a metric: case, hyphens and blanks don't matter; unknown names come back in plain form."""
+    def plain(text: str) -> str:
+        return text.casefold().replace("-", "_").replace(" ", "_")
+
+    low = F.translate(F.lower(F.trim(name)), "- ", "__")
+    pairs = [F.lit(x) for canonical, names in aliases.items() for a in dict.fromkeys(plain(n) for n in (canonical, *names)) for x in (a, canonical)]
+    known = F.create_map(*pairs)
+    return F.coalesce(F.try_element_at(known, low), F.nullif(low, F.lit("")))

@@ -129,6 +129,12 @@ def allele_evidence(layout: DataFrame, wells: DataFrame, plate: list[str]) -> Da
     return out.withColumns({"fraction": F.col("n_pos") / F.col("total"), "ratio": F.concat_ws("/", "n_pos", "total")})
 
 
+def top_alleles_by(evidence: DataFrame, keys: list[str], n: int = 35) -> DataFrame:
+    """The report's list of every group: by fraction, count and carriers; ties by name."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("fraction"), F.desc("n_pos"), F.desc("total"), "locus", "allele")
+    return evidence.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= n).drop("__r")
+
+
 def top_alleles(evidence: DataFrame, n: int = 35) -> DataFrame:
     """The report's list: by fraction, count and carriers; ties by name."""
     return evidence.orderBy(F.desc("fraction"), F.desc("n_pos"), F.desc("total"), "locus", "allele").limit(n)

@@ -100,3 +100,31 @@ def qc_reasons(df: DataFrame, area_z: Column, touching: Column, border: Column,
     """Adds the list of reasons for which a ROI is excluded, and whether it is."""
     reasons = F.array_compact(F.array(F.when(touching, "touching"), F.when(border, "border"), F.when(F.abs(area_z) > limit, "area")))
     return df.withColumn("reasons", reasons).withColumn("excluded", F.size("reasons") > 0)
+
+
+def shape_reasons(df: DataFrame, min_area: int = 0, z_isolated: float = 3.5, z_touching: float = 4.5, min_circularity: float = 0.4, min_solidity: float = 0.80, max_eccentricity: float = 0.95, min_gap: float = 0.15) -> DataFrame:
+    """Adds all reasons for which a ROI is excluded, and whether it is.
+
+    Needs violating, border, degree, area, area_z, circularity, solidity, eccentricity and gap (null: not measured).
+    """
+    alone = F.col("degree") == 0
+    z = F.abs("area_z")
+    rules = [
+        F.when(F.col("violating"), "touching_violation"), F.when(F.col("area") < min_area, "too_small"), F.when(F.col("border"), "border_touch"),
+        F.when(alone & (z > z_isolated), "area_outlier").when(~alone & (z > z_touching), "area_outlier_touching"),
+        F.when((F.col("circularity") < min_circularity) & ~alone & (F.col("solidity") < min_solidity), "merge_shape"),
+        F.when((F.col("eccentricity") > max_eccentricity) & alone, "too_elongated"), F.when(F.col("gap") < min_gap, "weak_boundary"),
+    ]
+    return df.withColumn("reasons", F.array_compact(F.array(*rules))).withColumn("excluded", F.size("reasons") > 0)
+
+
+def score_rois(rois: DataFrame, plate: list[str], wells: int | None = None) -> DataFrame:
+    """ROI tables to scored wells: calibrate, classify, summarise, correct, score.
+
+    Plates without either control, or with another number of wells than ``wells``, are left out.
+    """
+    whole = rois.groupBy(*plate).agg(F.countDistinct("well").alias("__n"), F.count_if(_is("positive")).alias("__p"), F.count_if(_is("negative")).alias("__q")).where("__p > 0 AND __q > 0")
+    whole = whole if wells is None else whole.where(F.col("__n") == wells)
+    rois = rois.join(whole.select(*plate), plate, "left_semi")
+    labelled = score_gaussian2(rois, calibrate_gaussian2(rois, plate), plate)
+    return corrected_wells(well_summary(labelled, [*plate, "well", "role"]), plate)

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc, flow, lookups, pixels, scalar, validation
+from . import cdc, flow, lookups, pixels, reports, scalar, validation
 
 FLAGSHIP = "fcxm_population_readout"
-_MODULES = (flow, cdc, validation, scalar, pixels, lookups)
+_MODULES = (flow, cdc, validation, scalar, pixels, lookups, reports)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

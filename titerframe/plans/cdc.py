@@ -138,12 +138,6 @@ def alleles(spark, sf_dir):
     return _r(e, "fraction").withColumns({c: F.array_join(c, ",") for c in ("positive_ids", "negative_ids", "missing_ids")})
 
 
-def alleles_top(spark, sf_dir):
-    w = _called(spark, sf_dir).where("role = 'sample' AND plate = '1-URGENT'")
-    e = assay.allele_evidence(layout(spark, sf_dir), w.drop("plate"), [])
-    return assay.top_alleles(e).select("locus", "allele", "total", "n_pos", F.round("fraction", 6).alias("fraction"), "ratio")
-
-
 def matrix(spark, sf_dir):
     m = assay.plate_matrix(_wells(spark, sf_dir), P, "adjusted_score")
     return m.select("plate", "row", *[F.col(str(i)).alias(f"c{i}") for i in range(1, 11)])
@@ -211,9 +205,6 @@ SELECT k.plate AS plate, locus, allele, count(*) AS total, count(*) FILTER (effe
   coalesce(string_agg(k.well, ',' ORDER BY k.well) FILTER (effective_call = 'negative'), '') AS negative_ids, coalesce(string_agg(k.well, ',' ORDER BY k.well) FILTER (effective_call IS NULL OR effective_call = 'not_available'), '') AS missing_ids,
   round(count(*) FILTER (effective_call = 'positive') / count(*), 6) AS fraction, CAST(count(*) FILTER (effective_call = 'positive') AS VARCHAR) || '/' || CAST(count(*) AS VARCHAR) AS ratio
 FROM k LEFT JOIN sw ON sw.plate = k.plate AND sw.well = k.well GROUP BY k.plate, locus, allele"""),
-    "cdc_top_alleles": (alleles_top, f"""{_LAB}, {LAYOUT}, sw AS (SELECT * FROM ca WHERE role = 'sample' AND plate = '1-URGENT')
-SELECT locus, allele, count(*) AS total, count(*) FILTER (effective_call = 'positive') AS n_pos, round(count(*) FILTER (effective_call = 'positive') / count(*), 6) AS fraction, CAST(count(*) FILTER (effective_call = 'positive') AS VARCHAR) || '/' || CAST(count(*) AS VARCHAR) AS ratio
-FROM lay LEFT JOIN sw USING (well) GROUP BY locus, allele ORDER BY count(*) FILTER (effective_call = 'positive') / count(*) DESC, n_pos DESC, total DESC, locus, allele LIMIT 35"""),
     "cdc_plate_matrix": (matrix, f"{_LAB}, s AS (SELECT *, {_SCORE.format('corrected')} AS a FROM wc) SELECT plate, left(well, 1) AS \"row\", " + ", ".join(f"max(a) FILTER (CAST(substr(well, 2) AS INTEGER) = {i}) AS c{i}" for i in range(1, 11)) + " FROM s GROUP BY 1, 2"),
     "cdc_override_state": (override_state, f"{_LAB} SELECT plate, well, manual_call, n_changes FROM ov"),
     "cdc_role_counts": (roles, f"{_LAB} SELECT plate, role, count(*) AS n_wells, count(*) FILTER (effective_call = 'positive') AS n_positive FROM ca GROUP BY plate, role"),

@@ -207,3 +207,58 @@ def write_payload(results: DataFrame, keys: list[str], path: str) -> None:
 
 def write_csv(results: DataFrame, path: str) -> None:
     results.write.mode("overwrite").csv(path, header=True)
+
+
+def read_csv_set(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Validation tables of one header from one file or several; columns that a file lacks are null."""
+    tables = [spark.read.csv(p, header=True, inferSchema=False) for p in paths]
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
+def read_gate_truth(spark: SparkSession, path: str, roles: DataFrame) -> DataFrame:
+    """Manual gate fractions (a column per gate path) as rows with the file's role: file, role, gate, value; a file needs one role."""
+    df = spark.read.csv(path, header=True)
+    gates = [c for c in df.columns if c.startswith("root/")]
+    one = roles.groupBy("file").agg(F.countDistinct("role").alias("n"), F.first("role").alias("role"))
+    one = one.withColumn("role", F.when(F.col("n") == 1, F.col("role")).otherwise(F.raise_error(F.concat(F.lit("several roles of "), F.col("file")))))
+    return df.select("file", *gates).unpivot(["file"], gates, "gate", "value").join(one.select("file", "role"), "file").select("file", "role", "gate", F.col("value").try_cast("double").alias("value"))
+
+
+CIRCLE_COLUMNS = ("image", "annotator", "roi_x_px", "roi_y_px", "center_x_px", "center_y_px", "diameter_px")
+
+
+def read_circles(spark: SparkSession, path: str) -> DataFrame:
+    """Annotated circles: all columns are needed, and an (image, annotator) in two files fails at run time."""
+    df = spark.read.csv(path, header=True)
+    if missing := set(CIRCLE_COLUMNS) - set(df.columns):
+        raise ValueError(f"columns missing: {sorted(missing)}")
+    df = df.select(*CIRCLE_COLUMNS, F.input_file_name().alias("__file"))
+    files = F.size(F.collect_set("__file").over(Window.partitionBy("image", "annotator")))
+    bad = F.raise_error(F.concat_ws(" ", F.lit("annotated in several files:"), "image", "annotator")).cast("boolean")
+    return df.withColumn("__n", files).where(F.when(F.col("__n") > 1, bad).otherwise(F.lit(True))).drop("__file", "__n")
+
+
+def read_tile_manifest(spark: SparkSession, path: str) -> DataFrame:
+    """Tiles per image (image, n_tiles); a tile name that occurs twice fails at run time."""
+    df = spark.read.csv(path, header=True)
+    names = df.groupBy("source_key", "tile").agg(F.count("*").alias("n"))
+    bad = F.raise_error(F.concat(F.lit("tile twice: "), F.col("tile"))).cast("boolean")
+    return names.where(F.when(F.col("n") > 1, bad).otherwise(F.lit(True))).groupBy(F.col("source_key").alias("image")).agg(F.count("*").alias("n_tiles"))
+
+
+def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """JSON documents, one a file (jobs, requests, results), with the file's name."""
+    return spark.read.json(path, multiLine=True, schema=schema).withColumn("file", T.base_name(F.input_file_name()))
+
+
+def as_json(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows as JSON objects: keys, body. Null fields stay, as null."""
+    return df.select(*keys, F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("body"))
+
+
+def write_plot_cache(points: DataFrame, metrics: DataFrame, key: str, path: str) -> None:
+    """A Parquet row per file with its sampled points and metrics, for pages that are drawn again."""
+    points.join(metrics, key).write.mode("overwrite").parquet(path)
