@@ -270,6 +270,35 @@ def test_packing_places_every_piece(spark, odd_docs):
     assert array.array("I", rows[0].ids).tobytes() == encoder().encode("one two") + bytes(4)
 
 
+def test_plans_of_few_pieces_are_optimal():
+    rng = random.Random(15)
+
+    def least(pieces, capacity):
+        best = [len(pieces)]
+
+        def go(i, bins):
+            if len(bins) >= best[0]:
+                return
+            if i == len(pieces):
+                best[0] = len(bins)
+                return
+            for j in range(len(bins)):
+                if bins[j] + pieces[i] <= capacity:
+                    go(i + 1, bins[:j] + [bins[j] + pieces[i]] + bins[j + 1 :])
+            go(i + 1, [*bins, pieces[i]])
+
+        go(0, [])
+        return best[0]
+
+    for _ in range(150):
+        pieces = sorted((rng.randrange(5, 60) for _ in range(rng.randrange(1, 10))), reverse=True)
+        counts = np.zeros(101, np.int64)
+        for x in pieces:
+            counts[x] += 1
+        assert sum(t for _, t in packing.plan_packing(counts, 100)) == least(pieces, 100)
+    assert packing.dominates((60,), (30, 20)) and packing.dominates((40, 20), (40, 10)) and not packing.dominates((30, 30), (40, 10))
+
+
 def test_plans_are_near_the_bound():
     rng = np.random.default_rng(4)
     for _ in range(15):
@@ -306,6 +335,13 @@ def test_mix_meets_its_targets(spark, odd_docs):
     assert mixing.mix(odd_docs.limit(0)).count() == 0
 
 
+def test_null_ids_of_equal_size_are_ordered_by_text(spark):
+    rows = [(None, f"w{i} x y", "a") for i in range(40)] + [(i, "one two three four", "b") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a, b = (sorted(map(str, mixing.apply_mix(d, weights=(1.0, 9.0)).collect())) for d in (df, df.repartition(7).orderBy(F.desc("text"))))
+    assert a == b
+
+
 def test_applied_mix_has_the_words_taken(spark, odd_docs):
     out = mixing.apply_mix(odd_docs)
     assert out.columns == odd_docs.columns

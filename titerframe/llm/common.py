@@ -10,6 +10,8 @@ from contextvars import ContextVar
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import scratch_root
+
 #: Characters that separate words, as a Java/RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
 
@@ -18,18 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir.
-
-    Where it is unset, a local session keeps its tables in its own warehouse folder; a cluster's executors do not share
-    a folder that we could choose, so there it has to be set.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and the executors share")
-    return root or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
-
-
 #: Paths written inside the innermost :func:`scratch`, per thread of control.
 _WRITTEN: ContextVar[list[tuple[str, bool]] | None] = ContextVar("written", default=None)
 

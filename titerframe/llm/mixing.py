@@ -20,8 +20,9 @@ MAX_EPOCHS = 3
 RANGES_HEX = 3
 
 
-def _random_key(doc_id: Column, seed: str) -> Column:
-    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def _random_key(doc_id: Column, text: Column, seed: str) -> Column:
+    """Hash of the id; of the text where there is no id."""
+    return F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(text, F.lit("")))))))
 
 
 def source_targets(sources: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -50,7 +51,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Returns ``id_col``, size, source_size, target, taken; with ``carry`` also __row, a struct of all columns of
     ``docs``. ``taken`` counts repeats: each source's rows add up to its target, rounded to a word.
 
-    Null text has size 0; null ids share one key; a null source is a source, last in order. Repeated rows count each.
+    Null text has size 0; null ids are keyed by their texts; a null source is a source, last in order. Repeated rows count each.
     Rows of equal key are ordered by id and size. An empty table gives no rows.
     """
     names = [id_col, "size", "source_size", "target", "taken"]
@@ -58,7 +59,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.select(
         F.col(id_col), *[F.struct(*docs.columns).alias("__row")] * carry, word_count(F.col(text_col)).alias("size"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("__src"), F.col(source_col).cast("string").alias("__source"),
-        _random_key(F.col(id_col), seed).alias("__key"),
+        _random_key(F.col(id_col), F.col(text_col).cast("string"), seed).alias("__key"),
     ).withColumn("__range", F.substring("__key", 1, RANGES_HEX))
     rows = materialize(rows, "mix-rows")
 
@@ -105,7 +106,7 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP4_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k
+         md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS k
   FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, parallelism, remove_scratch, table
+from .common import materialize, parallelism, remove_scratch, scratch, table
 from .graphs import grouped
 from .vectors import matrix, packed, take_part
 
@@ -101,8 +101,9 @@ def _met(batches, keys: int, most: int):
 
 def _nearest(links: DataFrame, degree: int) -> DataFrame:
     """The ``degree`` nearest of every node: a, b, d."""
-    near = F.slice(F.array_sort(F.collect_set(F.struct("d", "b"))), 1, degree)
-    return links.groupBy("a").agg(near.alias("near")).select("a", F.explode("near").alias("x")).select("a", F.col("x.b").alias("b"), F.col("x.d").alias("d"))
+    # a hub's links are cut down before they move: the rank's limit is applied in every partition first
+    ranked = links.withColumn("__r", F.dense_rank().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("__r") <= degree)
+    return ranked.groupBy("a", "b").agg(F.min("d").alias("d"))
 
 
 def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
@@ -158,6 +159,11 @@ def search_nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
     empty, all zero or hold null or non-finite components, and those of an unusual dimension take no part. Equal
     vectors share a node and are all candidates. An empty table gives no rows.
     """
+    with scratch(vectors.sparkSession):
+        return materialize(_search_nearest(vectors, id_col, vec_col, every, k, degree, rounds, width, hops), "nearest", keep=True)
+
+
+def _search_nearest(vectors: DataFrame, id_col: str, vec_col: str, every: int, k: int, degree: int, rounds: int, width: int, hops: int) -> DataFrame:
     rows = materialize(take_part(vectors, id_col, vec_col), "ann-rows")
     copies = Window.partitionBy("vec").orderBy("id")
     # of equal vectors a result can hold k, and one more if the query is among them
@@ -166,10 +172,12 @@ def search_nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "e
     first = materialize(first.select("node", "id", "vec"), "ann-copies")
     alone = first.where("node = id").select("node", "vec")
 
+    most = alone.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0]
+    factor = 100.0 / most if most else 1.0  # one scale for all nodes, at which 16 bits lose little
+
     def half(batches):
         for b in batches:
-            v = matrix(b.column("vec"))
-            v = v / max(1.0, np.abs(v).max(initial=0.0) / 1000) if v.size and np.abs(v).max() > 30_000 else v
+            v = matrix(b.column("vec")) * factor
             yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())], names=["node", "vec"])
 
     nodes = materialize(alone.mapInArrow(half, "node long, vec binary"), "ann-nodes")

@@ -24,8 +24,11 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces per window group when ranks are numbered; a frequent length is dealt to as many groups as it needs.
 RANK_GROUP = 200
-#: Nodes of the branch-and-bound search beyond the first descent.
-NODES = 200
+#: Groups of a length whose counts are summed up together.
+RANK_BLOCK = 10_000
+#: Nodes of the branch-and-bound search beyond the first descent, fillings that a node branches over, and lengths tried
+#: in all and at one level of a filling. They bound the search, not what is packed; see the README for what they cost.
+NODES, WIDTH, STEPS, TRIES = 200, 3, 400, 12
 
 # ---------------------------------------------------------------------------------------------------- tokenizing
 
@@ -157,11 +160,29 @@ class _Stock:
         return bisect_right(self.lengths, bound) - 1
 
 
-def fillings(stock: _Stock, room: int, width: int, steps: int = 400) -> list[tuple[int, ...]]:
+def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the pieces of ``b`` can be dealt into the pieces of ``a``: then a bin completed by ``a`` is no worse."""
+    rooms, pieces = list(a), sorted(b, reverse=True)
+
+    def place(i: int) -> bool:
+        if i == len(pieces):
+            return True
+        for j in sorted(range(len(rooms)), key=rooms.__getitem__):
+            if rooms[j] >= pieces[i]:
+                rooms[j] -= pieces[i]
+                if place(i + 1):
+                    return True
+                rooms[j] += pieces[i]
+        return False
+
+    return a != b and sum(a) >= sum(b) and place(0)
+
+
+def fillings(stock: _Stock, room: int, width: int = WIDTH, steps: int = STEPS, most_tries: int = TRIES) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room`` from the stock, fullest first.
 
-    A filling of fewer, larger pieces dominates one whose pieces fit inside its pieces, so lengths are tried from the
-    largest down and a piece that fills the room exactly ends the search at its level.
+    Lengths are tried from the largest down, and a piece that fills the room exactly ends the search at its level: it
+    dominates all that would follow. Of the fillings found, those that another one dominates go.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     used: dict[int, int] = {}
@@ -175,7 +196,7 @@ def fillings(stock: _Stock, room: int, width: int, steps: int = 400) -> list[tup
             found.append((total, chosen))
             return False
         tries = 0
-        while i >= 0 and left[0] > 0 and tries < 12:
+        while i >= 0 and left[0] > 0 and tries < most_tries:
             x = stock.lengths[i]
             if used.get(x, 0) < stock.counts[x]:
                 left[0] -= 1
@@ -200,7 +221,13 @@ def fillings(stock: _Stock, room: int, width: int, steps: int = 400) -> list[tup
 
     go(room, room, (), 0)
     found.sort(key=lambda f: (-f[0], len(f[1]), tuple(-x for x in f[1])))
-    return list(dict.fromkeys(f for _, f in found))[:width] or [()]
+    best: list[tuple[int, ...]] = []
+    for f in dict.fromkeys(f for _, f in found):
+        if len(best) == width:
+            break
+        if len(f) > 8 or not any(dominates(b, f) for b in best):
+            best.append(f)
+    return best or [()]
 
 
 def _grouped(lengths: tuple[int, ...]) -> tuple[tuple[int, int], ...]:
@@ -254,11 +281,11 @@ def plan_packing(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODE
                 break
             x = stock.lengths[-1]
             stock.counts[x] -= 1
-            options = fillings(stock, capacity - x, 3)
+            options = fillings(stock, capacity - x)
             stock.counts[x] += 1
             pick = min(skip, len(options) - 1)
-            if pick + 1 < len(options) and len(stack) < nodes and skip == 0:
-                stack.append((list(plan), used, waste, stock.counts.copy(), 1))
+            if pick + 1 < len(options) and len(stack) < nodes:
+                stack.append((list(plan), used, waste, stock.counts.copy(), pick + 1))
             skip = 0
             filling = _grouped((x, *options[pick]))
             times = min(int(stock.counts[y]) // k for y, k in filling)
@@ -312,7 +339,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     salts = F.lit([1 + int(n) // RANK_GROUP for n in counts]).cast("array<int>")
     salted = pieces.withColumn("__salt", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.element_at(salts, (F.col("length") + 1).cast("int"))))
     groups = salted.groupBy(F.col("length").alias("__length"), F.col("__salt").alias("__group")).count()
-    groups = groups.withColumn("__before", F.sum("count").over(Window.partitionBy("__length").orderBy("__group")) - F.col("count")).drop("count")
+    # what earlier groups hold, in two steps: a frequent length may have very many groups
+    groups = groups.withColumn("__block", F.floor(F.col("__group") / RANK_BLOCK))
+    in_blocks = groups.groupBy("__length", "__block").agg(F.sum("count").alias("__held"))
+    in_blocks = in_blocks.withColumn("__held", F.sum("__held").over(Window.partitionBy("__length").orderBy("__block")) - F.col("__held"))
+    in_block = Window.partitionBy("__length", "__block").orderBy("__group")
+    groups = groups.withColumn("__upto", F.sum("count").over(in_block) - F.col("count")).join(in_blocks, ["__length", "__block"])
+    groups = groups.select("__length", "__group", (F.col("__upto") + F.col("__held")).alias("__before"))
     in_group = Window.partitionBy("length", "__salt").orderBy(id_col, "piece", "ids_crc32")
     ranked = salted.join(groups, (F.col("length") == F.col("__length")) & (F.col("__salt") == F.col("__group")))
     ranked = ranked.withColumn("__rank", F.col("__before") + F.row_number().over(in_group) - 1).select(*pieces.columns, "__rank")

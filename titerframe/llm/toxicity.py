@@ -20,8 +20,8 @@ from .common import slices, spread, table
 from .labelled import held_out, sample_labels, training_labels
 from .shingles import mix, powers
 
-#: Labelled rows of a class that the model is fitted on at most, and tokens that it keeps (the most significant).
-SAMPLE, VOCABULARY = 8000, 20_000
+#: Labelled rows of a class that the model is fitted on at most.
+SAMPLE = 8000
 #: Least z-score and toxic documents of a token that may score above the drift, and prior pseudo-documents.
 LEAST_Z, LEAST_DOCS, PRIOR = 4.0, 5, 20.0
 #: Standard errors by which log-odds are shrunk, and what must remain: weaker ones tell languages and topics apart.
@@ -192,12 +192,17 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     sizes = dict(sample.groupBy("y").count().collect())
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     counts = sample.mapInArrow(distinct, "token long, y int").groupBy("token").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("other"))
-    # at most VOCABULARY rows reach the driver; none of lower document frequency could be significant
-    counts = counts.where(F.col("toxic") >= LEAST_DOCS).orderBy(F.desc(F.col("toxic") / (F.col("other") + 1)), "token").limit(VOCABULARY).toPandas()
-    odds, z = log_odds(counts["toxic"].to_numpy(float), counts["other"].to_numpy(float), n_toxic, n_other)
-    scores = odds * (1 - SHRINK / np.maximum(z, SHRINK))
-    keep = (z >= LEAST_Z) & (scores >= LEAST_ODDS)
-    model = ToxicSegments(counts["token"].to_numpy(np.int64)[keep].view(np.uint64), scores[keep])
+
+    def significant(batches):
+        for b in batches:
+            odds, z = log_odds(b.column("toxic").to_numpy().astype(float), b.column("other").to_numpy().astype(float), n_toxic, n_other)
+            scores = odds * (1 - SHRINK / np.maximum(z, SHRINK))
+            keep = (z >= LEAST_Z) & (scores >= LEAST_ODDS)
+            yield pa.RecordBatch.from_arrays([b.column("token").filter(pa.array(keep)), pa.array(scores[keep])], names=["token", "score"])
+
+    # all significant tokens of the bounded sample
+    kept = counts.where(F.col("toxic") >= LEAST_DOCS).mapInArrow(significant, "token long, score double").toPandas().sort_values("token")
+    model = ToxicSegments(kept["token"].to_numpy(np.int64).view(np.uint64), kept["score"].to_numpy(float))
 
     def found(batches):
         for b in slices(batches):

@@ -29,11 +29,12 @@ class Level:
     bits: int
     hashes: int
     seed: int
-    words: list[int]
+    bitmap: bytes
 
     def test(self, key: Column) -> Column:
-        words = F.lit(self.words).cast("array<bigint>")
-        tests = [F.getbit(F.element_at(words, (F.floor(p / 64) + 1).cast("int")), (p % 64).cast("int")) == 1 for p in _positions(key, self.bits, self.hashes, self.seed)]
+        bitmap = F.lit(self.bitmap)  # one value of the plan, whatever its size
+        byte = lambda p: F.conv(F.hex(F.substring(bitmap, (F.floor(p / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        tests = [F.getbit(byte(p), (p % 8).cast("int")) == 1 for p in _positions(key, self.bits, self.hashes, self.seed)]
         return reduce(lambda a, b: a & b, tests)
 
 
@@ -48,10 +49,10 @@ def _level(keys: DataFrame, n: int, bits_per_key: float, hashes: int, seed: int)
         raise ValueError(f"a level of {bits} bits exceeds {MAX_BITS}; join such a list instead")
     p = keys.select(F.explode(F.array(*_positions(F.col("key"), bits, hashes, seed))).alias("p"))
     set_ = p.groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p % 64 AS INT))")).alias("v"))
-    words = [0] * (bits // 64)
+    bitmap = bytearray(bits // 8)
     for w, v in set_.collect():  # at most bits / 64 rows
-        words[w] = v
-    return Level(bits, hashes, seed, words)
+        bitmap[8 * w : 8 * w + 8] = v.to_bytes(8, "little", signed=True)
+    return Level(bits, hashes, seed, bytes(bitmap))
 
 
 @dataclass(frozen=True)
