@@ -296,7 +296,6 @@ def test_plans_of_few_pieces_are_optimal():
         for x in pieces:
             counts[x] += 1
         assert sum(t for _, t in packing.plan_packing(counts, 100)) == least(pieces, 100)
-    assert packing.dominates((60,), (30, 20)) and packing.dominates((40, 20), (40, 10)) and not packing.dominates((30, 30), (40, 10))
 
 
 def test_plans_are_near_the_bound():
