@@ -36,6 +36,13 @@ def edge_gate(channels: list[str], pnr: Column | float, png: Column | float = 1.
     return F.coalesce(reduce(lambda a, b: a & b, inside), F.lit(False))
 
 
+def singlet_candidates(df: DataFrame, file_col: str, fsc_a: str, fsc_h: str, min_quantile: float) -> DataFrame:
+    """Adds ``__valid``: positive area and height, and an area not among the file's smallest. Events move once, by file."""
+    positive = (finite(F.col(fsc_a)) > TINY) & (finite(F.col(fsc_h)) > TINY)
+    rows = df.withColumn("__cut", A.quantile(F.col(fsc_a), min_quantile, positive).over(Window.partitionBy(file_col)))
+    return rows.withColumn("__valid", F.coalesce(positive & (F.col(fsc_a) >= F.col("__cut")), F.lit(False))).drop("__cut")
+
+
 def singlets_mad(df: DataFrame, file_col: str, fsc_a: str, fsc_h: str, out: str = "singlet", cfg: SingletConfig = SingletConfig()) -> DataFrame:
     """Adds a singlet column: a MAD band on log height minus log area, per file.
 
@@ -43,15 +50,13 @@ def singlets_mad(df: DataFrame, file_col: str, fsc_a: str, fsc_h: str, out: str
     keeps all of them. Events move once, by file; the file's order statistics are windows over it.
     """
     file = Window.partitionBy(file_col)
-    positive = (finite(F.col(fsc_a)) > TINY) & (finite(F.col(fsc_h)) > TINY)
-    rows = df.withColumn("__cut", A.quantile(F.col(fsc_a), cfg.min_fsc_quantile, positive).over(file))
-    valid = F.coalesce(positive & (F.col(fsc_a) >= F.col("__cut")), F.lit(False))
-    rows = rows.withColumns({"__valid": valid, "__r": log1p_clipped(F.col(fsc_h)) - log1p_clipped(F.col(fsc_a))})
+    rows = singlet_candidates(df, file_col, fsc_a, fsc_h, cfg.min_fsc_quantile)
+    rows = rows.withColumn("__r", log1p_clipped(F.col(fsc_h)) - log1p_clipped(F.col(fsc_a)))
     rows = rows.withColumns({"__med": A.median(F.col("__r"), F.col("__valid")).over(file), "__n": F.count_if("__valid").over(file)})
     rows = rows.withColumn("__mad", A.median(F.abs(F.col("__r") - F.col("__med")), F.col("__valid")).over(file))
     inside = F.col("__r").between(F.col("__med") - cfg.k_mad * F.col("__mad"), F.col("__med") + cfg.k_mad * F.col("__mad"))
     all_valid = (F.col("__n") < max(cfg.min_events, cfg.min_ratio_events)) | (F.col("__mad") <= 0)
-    return rows.withColumn(out, F.col("__valid") & F.coalesce(all_valid | inside, F.lit(False))).drop("__cut", "__valid", "__r", "__med", "__mad", "__n")
+    return rows.withColumn(out, F.col("__valid") & F.coalesce(all_valid | inside, F.lit(False))).drop("__valid", "__r", "__med", "__mad", "__n")
 
 
 def lymphocyte_rails(df: DataFrame, file_col: str, mask: Column, fsc: str, ssc: str, low_q: float = 0.10, high_q: float = 0.99, out: str = "lymph") -> DataFrame:

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from ..functions import aggregates as A
 
 
-def fit_mixture(x: np.ndarray, k: int, rounds: int = 100, tol: float = 1e-4, reg: float = 1e-6) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def fit_mixture(x: np.ndarray, k: int, rounds: int = 100, tol: float = 1e-4, reg: float = 1e-6, tied: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Weights, means (k, d) and covariances (k, d, d) of a Gaussian mixture by EM.
 
     Starts from quantile groups along the first principal axis, so that a fit has no randomness; components are
-    ordered by their first mean.
+    ordered by their first mean. ``tied`` components share one covariance.
     """
     x = np.atleast_2d(x.astype(float).T).T
     n, d = x.shape
@@ -29,6 +29,8 @@ def fit_mixture(x: np.ndarray, k: int, rounds: int = 100, tol: float = 1e-4, reg
         size = resp.sum(0) + 1e-12
         weights, means = size / n, (resp.T @ x) / size[:, None]
         covs = np.stack([((resp[:, j, None] * (x - means[j])).T @ (x - means[j])) / size[j] + reg * np.eye(d) for j in range(k)])
+        if tied:
+            covs = np.broadcast_to((weights[:, None, None] * covs).sum(0), covs.shape)
         logp = log_densities(x, weights, means, covs)
         top = logp.max(1, keepdims=True)
         norm = top[:, 0] + np.log(np.exp(logp - top).sum(1))
@@ -72,34 +74,35 @@ def _weighted_quantile(x: np.ndarray, w: np.ndarray, q: float) -> float:
     return float(x[order][min(np.searchsorted(running, q * running[-1]), len(x) - 1)])
 
 
-def calibrate_marker(x: np.ndarray, start: float = 150.0, least: float = 100.0, most: float = 2000.0, rounds: int = 6, tol: float = 0.02, q: float = 0.99, min_events: int = 2000, fallback_q: float = 0.80, min_weight: float = 0.05, min_gap: float = 0.30) -> tuple[float, float]:
+def calibrate_marker(x: np.ndarray, start: float = 150.0, least: float = 100.0, most: float = 2000.0, rounds: int = 6, tol: float = 0.02, q: float = 0.99, min_events: int = 2000, fallback_q: float = 0.80, min_weight: float = 0.05, min_gap: float = 0.30, clip: float = 8.0) -> tuple[float, float]:
     """Cofactor and threshold of a marker from pooled values.
 
-    The cofactor puts the upper end of the background, a two-component mixture's lower part, at asinh(1); the
-    threshold is where the components cross. Few events, a faint background or components that don't separate: the
-    last cofactor, and a plain quantile as threshold.
+    The cofactor puts the upper end of the background at asinh(1): a two-component mixture's lower part or, where the
+    background is faint or the components don't separate, the lower half of the values. The threshold is where the
+    components of a last fit, at the final cofactor, cross. Few events: the first cofactor and a plain quantile. No
+    finite value: NaN as threshold.
     """
     x = x[np.isfinite(x)]
-    if not len(x):
-        return start, float("nan")
-    c = start
     if len(x) < min_events:
-        return c, float(np.quantile(np.arcsinh(x / c), fallback_q))
-    threshold = None
+        return start, float(np.quantile(np.arcsinh(x / start), fallback_q)) if len(x) else float("nan")
+
+    def mixture(cofactor: float):
+        t = np.clip(np.arcsinh(x / cofactor), -clip, clip)
+        return t, fit_mixture(t, 2)
+
+    c = start
     for _ in range(rounds):
-        t = np.arcsinh(x / c)
-        model = fit_mixture(t, 2)
-        weights, means, covs = model
-        if weights[0] < min_weight or means[1, 0] - means[0, 0] < min_gap:
-            break
-        threshold = intersection(weights, means[:, 0], covs[:, 0, 0])
-        new = float(np.clip(_weighted_quantile(x, responsibilities(t, model)[:, 0], q) / math.sinh(1.0), least, most))
-        if abs(new - c) <= tol * c:
+        t, model = mixture(c)
+        background = responsibilities(t, model)[:, 0]
+        if background.mean() < min_weight or model[1][1, 0] - model[1][0, 0] < min_gap:
+            edge = float(np.quantile(x[x <= np.median(x)], q))
+        else:
+            edge = c * math.sinh(_weighted_quantile(t, background, q))
+        before, c = c, float(np.clip(edge / math.sinh(1.0), least, most))
+        if abs(c - before) < tol * before:
             break
-        c = new
-    if threshold is None:
-        return c, float(np.quantile(np.arcsinh(x / c), fallback_q))
-    return c, float(threshold)
+    weights, means, covs = mixture(c)[1]
+    return c, intersection(weights, means[:, 0], covs[:, 0, 0])
 
 
 def calibrate_markers(pool: DataFrame, marker: str, value: str, **options) -> DataFrame:
@@ -112,43 +115,6 @@ def calibrate_markers(pool: DataFrame, marker: str, value: str, **options) -> Da
     return pool.select(marker, value).groupBy(marker).applyInPandas(run, "marker string, n long, cofactor double, threshold double")
 
 
-def singlets_mixture(df: DataFrame, file_col: str, row: list[str], fsc_a: str, fsc_h: str, sample: int = 5000, least_resp: float = 0.8, keep: tuple[float, float] = (0.05, 0.98), min_events: int = 500, seed: int = 0) -> DataFrame:
-    """Adds ``singlet`` by a two-component mixture of log height and log area per file.
-
-    The model is fitted on a bounded sample of each file and travels back as a row; events are scored where they are.
-    The component with the larger median area is kept unless the keep share is implausible: then all candidates are.
-    """
-    from .sampling import sample_per_group
-
-    valid = (F.col(fsc_a) > 1e-12) & (F.col(fsc_h) > 1e-12)
-    logs = [F.log1p(fsc_a).alias("a"), F.log1p(fsc_h).alias("h")]
-    few = sample_per_group(df.where(valid).select(file_col, *row, *logs), [file_col], row, sample, seed)
-
-    def fit(part: pd.DataFrame) -> pd.DataFrame:
-        x = part[["a", "h"]].to_numpy(float)
-        out = {"f": [part[file_col].iloc[0]], "model": [None]}
-        if len(x) >= min_events and x.std(0).min() > 0:
-            w, m, c = fit_mixture(x, 2)
-            share = (responsibilities(x, (w, m, c))[:, 1] >= least_resp).mean()
-            if keep[0] <= share <= keep[1]:
-                out["model"] = [np.concatenate([w, m.ravel(), c.ravel()]).tolist()]
-        return pd.DataFrame(out)
-
-    kind = df.schema[file_col].dataType.simpleString()
-    models = few.groupBy(file_col).applyInPandas(fit, f"f {kind}, model array<double>")
-    j = df.join(models, F.col(file_col) == F.col("f"), "left")
-    m = lambda i: F.col("model")[i]
-    a, h = F.log1p(fsc_a), F.log1p(fsc_h)
-
-    def logp(k: int):
-        xx, xy, yy = m(6 + 4 * k), m(7 + 4 * k), m(9 + 4 * k)
-        dx, dy, det = a - m(2 + 2 * k), h - m(3 + 2 * k), xx * yy - xy * xy
-        return F.log(m(k)) - 0.5 * ((yy * dx * dx - 2 * xy * dx * dy + xx * dy * dy) / det + F.log(det))
-
-    resp = 1.0 / (1.0 + F.exp(logp(0) - logp(1)))
-    return j.withColumn("singlet", F.coalesce(valid & (F.col("model").isNull() | (resp >= least_resp)), F.lit(False))).drop("f", "model")
-
-
 def label_clusters(events: DataFrame, cluster: str, markers: dict[str, float], fsc: str, ssc: str, least_share: float = 0.60, margin: float = 0.10, debris_q: float = 0.10) -> DataFrame:
     """Population of every cluster: debris by scatter, else the marker it is positive for, Unknown if two are as good.
 

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions import numeric as N
-from ..operators import gates, readouts, sampling, statistics
+from ..operators import gates, mixture_gates, readouts, sampling, statistics
 from ..operators.staging import staged
 from .proxies import EVENTS, IGG_COFACTOR, PNR, SINGLETS, events
 
 R = 6
+KEY = ["l_orderkey", "l_linenumber"]
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,6 +110,28 @@ def lymph_rails(spark, sf_dir):
     return g.groupBy("file_id").agg(F.count_if("edge").alias("n_qc"), F.count_if("lymph").alias("n_lymph"))
 
 
+def _masks_by_file(rows: DataFrame, *masks: str) -> DataFrame:
+    """Events and masked events of a file, with digests of their keys (sums of hashes, so that order doesn't matter)."""
+    key = F.crc32(F.concat_ws("|", "l_orderkey", "l_linenumber").cast("binary"))
+    return rows.groupBy("file_id").agg(F.count("*").alias("n"), *[a for m in masks for a in (F.count_if(m).alias(f"n_{m}"), F.sum(F.when(F.col(m), key)).alias(f"keys_{m}"))])
+
+
+def singlets_mixture(spark, sf_dir):
+    return _masks_by_file(mixture_gates.singlets_mixture(_gated(spark, sf_dir), "file_id", KEY, "fsc_a", "fsc_h"), "singlet")
+
+
+def singlets_hybrid(spark, sf_dir):
+    return _masks_by_file(mixture_gates.singlets_hybrid(_gated(spark, sf_dir), "file_id", KEY, "fsc_a", "fsc_h"), "singlet")
+
+
+def lymph_guide(spark, sf_dir):
+    """Lymphocytes among edge-gated events; files of the proxy tables hold some 600 events, so the least guide is 200."""
+    rows = _gated(spark, sf_dir)
+    guide = gates.marker_positive(F.col("cd3"), 150.0, 1.0) | gates.marker_positive(F.col("cd19"), 150.0, 1.0)
+    cfg = mixture_gates.GuideConfig(min_guide=200, min_low_fit=200)
+    return _masks_by_file(mixture_gates.lymphocytes_guided(rows, "file_id", KEY, F.col("edge"), guide, "fsc_a", "ssc_a", cfg=cfg), "edge", "lymph")
+
+
 def mad_per_file(spark, sf_dir):
     ev = events(spark, sf_dir)
     return _rounded(statistics.with_mad(ev, ["file_id"], "igg"), "med", "mad")
@@ -225,6 +248,9 @@ QUERIES = {
     "fcxm_control_stats": (control_table, f"{_LONG}, {_CUTOFF} SELECT gate, round(nc, 6) AS nc_median_raw, round(nc_t, 6) AS nc_median_t, round(pc, 6) AS pc_median_raw, round(pc_t, 6) AS pc_median_t, n_nc, n_pc, round(cutoff, 6) AS cutoff FROM ct JOIN cu USING (gate)"),
     "gate_edge": (edge_counts, f"WITH {EVENTS} SELECT file_id, role, count(*) AS n, count(*) FILTER (edge) AS n_edge, round(avg(edge::INT), 6) AS keep FROM edge GROUP BY file_id, role"),
     "gate_singlets_mad": (singlet_counts, f"WITH {EVENTS}, {SINGLETS} SELECT file_id, count(*) AS n, count(*) FILTER (singlet) AS n_singlet, count(*) FILTER (edge AND singlet) AS n_qc FROM sing GROUP BY file_id"),
+    "gate_singlets_mixture": (singlets_mixture, None),
+    "gate_singlets_hybrid": (singlets_hybrid, None),
+    "gate_lymph_guide": (lymph_guide, None),
     "gate_lymph_rails": (lymph_rails, f"WITH {EVENTS}, rl AS (SELECT file_id, quantile_cont(fsc_a, 0.10) AS lo, quantile_cont(ssc_a, 0.99) AS hi FROM edge WHERE edge GROUP BY file_id) SELECT file_id, count(*) FILTER (edge) AS n_qc, count(*) FILTER (edge AND fsc_a >= lo AND ssc_a <= hi) AS n_lymph FROM edge LEFT JOIN rl USING (file_id) GROUP BY file_id"),
     "agg_mad": (mad_per_file, f"WITH {EVENTS}, m AS (SELECT file_id, median(igg) AS med FROM ev GROUP BY file_id) SELECT file_id, round(first(med), 6) AS med, round(median(abs(igg - med)), 6) AS mad FROM ev JOIN m USING (file_id) GROUP BY file_id"),
     "prj_robust_z": (robust_z_summary, f"WITH {EVENTS}, m AS (SELECT file_id, median(ssc_a) AS med FROM ev GROUP BY file_id), d AS (SELECT file_id, first(med) AS med, median(abs(ssc_a - med)) AS mad FROM ev JOIN m USING (file_id) GROUP BY file_id), z AS (SELECT file_id, greatest(-8.0, least(8.0, (ssc_a - med) / greatest(mad, 1e-6))) AS z FROM ev JOIN d USING (file_id)) SELECT file_id, round(min(z), 6) AS lo, round(max(z), 6) AS hi, round(avg(z), 6) AS mean_z FROM z GROUP BY file_id"),

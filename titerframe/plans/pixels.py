@@ -102,11 +102,6 @@ def marker_calibration(spark, sf_dir):
     return models.calibrate_markers(pool, "marker", "value").withColumns({"cofactor": F.round("cofactor", 4), "threshold": F.round("threshold", 4)})
 
 
-def singlets_mixture(spark, sf_dir):
-    s = models.singlets_mixture(events(spark, sf_dir), "file_id", ["l_orderkey", "l_linenumber"], "fsc_a", "fsc_h")
-    return s.groupBy("file_id").agg(F.count("*").alias("n"), F.count_if("singlet").alias("n_singlet"))
-
-
 def cluster_labels(spark, sf_dir):
     ev = events(spark, sf_dir).select((F.col("l_orderkey") % 12).alias("cluster"), "fsc_a", "ssc_a", F.asinh(F.col("cd3") / 150).alias("cd3"), F.asinh(F.col("cd19") / 150).alias("cd19"))
     return models.label_clusters(ev, "cluster", {"cd3": 1.0, "cd19": 1.2}, "fsc_a", "ssc_a", least_share=0.5)
@@ -184,7 +179,6 @@ QUERIES = {
     "jn_matching_optimal": (matching, None),
     "jn_matching_greedy": (matching_greedy, None),
     "ml_marker_calibration": (marker_calibration, None),
-    "gate_singlets_mixture": (singlets_mixture, None),
     "ml_cluster_labels": (cluster_labels, """WITH f AS (SELECT s_suppkey FROM supplier), ev AS (SELECT l_orderkey % 12 AS cluster, l_extendedprice AS fsc, l_quantity * 1000 AS ssc, asinh(l_tax * 5000 / 150) AS a, asinh(l_discount * 5000 / 150) AS b FROM lineitem JOIN f ON l_suppkey = s_suppkey),
 q AS (SELECT quantile_cont(fsc, 0.1) AS qf, quantile_cont(ssc, 0.1) AS qs FROM ev), c AS (SELECT cluster, count(*) AS n, median(fsc) AS fsc, median(ssc) AS ssc, median(a) AS ma, median(b) AS mb, avg((a > 1.0)::INT) AS sa, avg((b > 1.2)::INT) AS sb FROM ev GROUP BY cluster),
 s AS (SELECT *, CASE WHEN sa >= 0.5 AND ma >= 1.0 THEN ma - 1.0 END AS va, CASE WHEN sb >= 0.5 AND mb >= 1.2 THEN mb - 1.2 END AS vb FROM c, q)
