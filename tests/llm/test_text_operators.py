@@ -298,6 +298,21 @@ def test_plans_of_few_pieces_are_optimal():
         assert sum(t for _, t in packing.plan_packing(counts, 100)) == least(pieces, 100)
 
 
+def test_dominance_matches_exhaustive_dealing():
+    rng = random.Random(8)
+
+    def fits(rooms, pieces):
+        if not pieces:
+            return True
+        return any(r >= pieces[0] and fits(rooms[:i] + [r - pieces[0]] + rooms[i + 1 :], pieces[1:]) for i, r in enumerate(rooms))
+
+    for _ in range(2000):
+        a = tuple(rng.randrange(1, 20) for _ in range(rng.randrange(0, 4)))
+        b = tuple(rng.randrange(1, 12) for _ in range(rng.randrange(0, 6)))
+        got, right = packing.dominates(a, b), fits(list(a), list(b))
+        assert got == right if len(a) <= 2 else not got or right, (a, b)
+
+
 def test_plans_are_near_the_bound():
     rng = np.random.default_rng(4)
     for _ in range(15):

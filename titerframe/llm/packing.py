@@ -11,7 +11,7 @@ import array
 import re
 import unicodedata
 import zlib
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +24,9 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces per window group when ranks are numbered; a frequent length is dealt to as many groups as it needs.
 RANK_GROUP = 200
-#: Nodes of the branch-and-bound search beyond the first descent.
-NODES = 200
+#: Nodes of the branch-and-bound search beyond the first descent, and fillings that a node branches over. They bound the
+#: search, not what is packed.
+NODES, WIDTH = 200, 3
 
 # ---------------------------------------------------------------------------------------------------- tokenizing
 
@@ -142,26 +143,51 @@ def lower_bound(counts: np.ndarray, capacity: int) -> int:
 class _Stock:
     """Remaining lengths, largest findable below a bound."""
 
-    def __init__(self, counts: np.ndarray):
-        self.counts = counts.astype(np.int64).copy()
-        self.lengths = [int(x) for x in np.nonzero(self.counts)[0]]
+    def __init__(self, counts: list[int]):
+        self.counts = list(counts)
+        self.lengths = [x for x, n in enumerate(self.counts) if n]
 
     def take(self, filling: tuple, times: int) -> None:
         for length, k in filling:
             self.counts[length] -= k * times
             if not self.counts[length]:
-                self.lengths.remove(length)
+                del self.lengths[bisect_right(self.lengths, length) - 1]
 
     def at_most(self, bound: int) -> int:
         """Index of the largest remaining length <= bound, -1 if none."""
         return bisect_right(self.lengths, bound) - 1
 
 
-def fillings(stock: _Stock, room: int, width: int, steps: int = 400) -> list[tuple[int, ...]]:
+def dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether the pieces of ``b`` fit inside the pieces of ``a``: a bin completed by ``a`` is then no worse.
+
+    Exact where ``a`` has at most two pieces (by the sums that parts of ``b`` have, as bits). Beyond that, dealing out
+    best-fit decreasing proves it or leaves it open, and what is open counts as undominated.
+    """
+    total = sum(b)
+    if sum(a) < total or max(b, default=0) > max(a, default=0):
+        return False
+    if len(a) <= 2:
+        sums = 1
+        for y in b:
+            sums |= sums << y
+        x, rest = max(a, default=0), min(a) if len(a) == 2 else 0
+        low = max(0, total - rest)  # the part in x takes at least what the other piece cannot
+        return low <= x and bool(sums >> low & ((1 << (x - low + 1)) - 1))
+    rooms = sorted(a)
+    for y in sorted(b, reverse=True):
+        i = bisect_left(rooms, y)
+        if i == len(rooms):
+            return False
+        insort(rooms, rooms.pop(i) - y)
+    return True
+
+
+def fillings(stock: _Stock, room: int, width: int = WIDTH, steps: int = 400) -> list[tuple[int, ...]]:
     """Undominated fillings of ``room`` from the stock, fullest first.
 
-    A filling of fewer, larger pieces dominates one whose pieces fit inside its pieces, so lengths are tried from the
-    largest down and a piece that fills the room exactly ends the search at its level.
+    Lengths are tried from the largest down, and a piece that fills the room exactly ends the search at its level. Of
+    what is found, fillings that one before them dominates go.
     """
     found: list[tuple[int, tuple[int, ...]]] = []
     used: dict[int, int] = {}
@@ -200,7 +226,13 @@ def fillings(stock: _Stock, room: int, width: int, steps: int = 400) -> list[tup
 
     go(room, room, (), 0)
     found.sort(key=lambda f: (-f[0], len(f[1]), tuple(-x for x in f[1])))
-    return list(dict.fromkeys(f for _, f in found))[:width] or [()]
+    kept: list[tuple[int, ...]] = []
+    for f in dict.fromkeys(f for _, f in found):
+        if len(kept) == width:
+            break
+        if not any(dominates(k, f) for k in kept):
+            kept.append(f)
+    return kept or [()]
 
 
 def _grouped(lengths: tuple[int, ...]) -> tuple[tuple[int, int], ...]:
@@ -212,7 +244,7 @@ def _grouped(lengths: tuple[int, ...]) -> tuple[tuple[int, int], ...]:
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
     """Best-fit decreasing on the histogram: (filling, times) pairs; the first incumbent."""
-    stock, plan = _Stock(counts), []
+    stock, plan = _Stock(counts.tolist()), []
     while stock.lengths:
         room, chosen, used = capacity, [], {}
         while (i := stock.at_most(room)) >= 0:
@@ -221,12 +253,12 @@ def best_fit(counts: np.ndarray, capacity: int) -> list[tuple[tuple, int]]:
             if i < 0:
                 break
             x = stock.lengths[i]
-            k = min(room // x, int(stock.counts[x]) - used.get(x, 0))
+            k = min(room // x, stock.counts[x] - used.get(x, 0))
             chosen += [x] * k
             used[x] = used.get(x, 0) + k
             room -= k * x
         filling = _grouped(tuple(chosen))
-        times = min(int(stock.counts[x]) // k for x, k in filling)
+        times = min(stock.counts[x] // k for x, k in filling)
         stock.take(filling, times)
         plan.append((filling, times))
     return plan
@@ -244,7 +276,7 @@ def plan_packing(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODE
     bins, least = sum(t for _, t in best), lower_bound(counts, capacity)
     spent = 0
     # depth first over (plan so far, its bins, its waste, stock); alternatives wait on the stack, best on top
-    stack = [([], 0, 0, counts.astype(np.int64), 0)]
+    stack = [([], 0, 0, counts.tolist(), 0)]
     while stack and bins > least and spent <= nodes:
         plan, used, waste, left, skip = stack.pop()
         plan, stock = list(plan), _Stock(left)
@@ -254,14 +286,14 @@ def plan_packing(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NODE
                 break
             x = stock.lengths[-1]
             stock.counts[x] -= 1
-            options = fillings(stock, capacity - x, 3)
+            options = fillings(stock, capacity - x)
             stock.counts[x] += 1
             pick = min(skip, len(options) - 1)
-            if pick + 1 < len(options) and len(stack) < nodes and skip == 0:
-                stack.append((list(plan), used, waste, stock.counts.copy(), 1))
+            if pick + 1 < len(options) and len(stack) < nodes:
+                stack.append((list(plan), used, waste, stock.counts.copy(), pick + 1))
             skip = 0
             filling = _grouped((x, *options[pick]))
-            times = min(int(stock.counts[y]) // k for y, k in filling)
+            times = min(stock.counts[y] // k for y, k in filling)
             fill = sum(y * k for y, k in filling)
             stock.take(filling, times)
             plan.append((filling, times))
