@@ -5,6 +5,7 @@ from __future__ import annotations
 import array
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -148,18 +149,19 @@ def test_odd_sketch_estimates_similarity():
 # --------------------------------------------------------------------------------------------------- repeated bytes
 
 
-def brute_repeats(texts, length):
+def brute_kept(texts, length):
     data = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + length] for b in data for i in range(len(b) - length + 1))
-    out = []
     for b in data:
         gone = np.zeros(len(b), bool)
         for i in range(len(b) - length + 1):
             if seen[b[i : i + length]] > 1:
                 gone[i : i + length] = True
-        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
-        out.append((len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    return out
+        yield b, gone, bytes(c for c, g in zip(b, gone, strict=True) if not g)
+
+
+def brute_repeats(texts, length):
+    return [(len(b), int(gone.sum()), int((np.diff(gone.astype(int), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest()) for b, gone, kept in brute_kept(texts, length)]
 
 
 def repeat_texts():
@@ -407,19 +409,146 @@ def test_classifiers_on_odd_rows(spark, odd_docs):
     assert quality.score_quality(odd_docs.limit(0), quality.fit_quality(docs, labels)).count() == 0
 
 
+def brute_segments(scores):
+    """The recursive definition: the best segment, then the same on both sides."""
+    before = np.concatenate([[0.0], np.cumsum(scores)])
+
+    def best(lo, hi):
+        if lo >= hi:
+            return []
+        total, a, b = max((before[b + 1] - before[a], a, b) for a in range(lo, hi) for b in range(a, hi))
+        return [*best(lo, a), (a, b, total), *best(b + 1, hi)] if total > 0 else []
+
+    return best(0, len(scores))
+
+
 def test_maximal_segments_match_brute_force():
     rng = random.Random(4)
-    for _ in range(200):
-        scores = [rng.choice((-1.0, -1.0, 2.0, 3.0)) for _ in range(14)]
+    for _ in range(300):
+        scores = [-1.0 if rng.random() < 0.6 else rng.uniform(0.1, 3.0) for _ in range(14)]
         where = np.array([i for i, s in enumerate(scores) if s > 0], int)
         got = toxicity.maximal_segments(where, np.array([scores[i] for i in where]), -1.0)
+        want = brute_segments(scores)
+        assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want])
+
+
+def test_toxicity_scores_match_brute_force(spark):
+    docs, labels = labelled(spark, 400)
+    model = toxicity.fit_toxicity(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    rows = docs.where("doc_id < 60").collect()
+    for r, (_, _, h) in zip(rows, toxicity.tokens([r.text for r in rows]), strict=True):
+        dense = np.full(h.shape[1], model.drift)
+        where, score = model.hits(h)
+        dense[where] = score
+        chance = np.log(max(model.k * len(dense), 1e-9))
+        evidence = sum(x for x in (model.rate * s - chance for *_, s in brute_segments(dense)) if x >= -np.log(toxicity.SIGNIFICANT))
+        want = 1 / (1 + np.exp(-np.clip(model.offset + model.slope * np.log1p(evidence), -30, 30)))
+        assert got[r.doc_id].score == pytest.approx(want) and got[r.doc_id].predicted == int(want >= 0.7)
+
+
+def test_quality_strengths_minimise_the_loss_of_pairs(spark):
+    docs, labels = labelled(spark, 300)
+    model = quality.fit_quality(docs, labels)
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, model).collect()}
+    rows = [r for r in docs.join(labels, "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    x, y = quality.features([r.text for r in rows]), np.array([r.quality for r in rows])
+    order = sorted(range(len(rows)), key=lambda i: (y[i], x[i].tolist()))
+    x, y = x[order], y[order]
+    d = model.design(x)
+    for f, e in enumerate(model.edges):  # a feature's bins, one by one
+        at = sum(len(other) + 1 for other in model.edges[:f])
+        assert all(d[i, at + sum(v >= edge for edge in e)] == 1 for i, v in enumerate(x[:, f]))
+    rng = np.random.default_rng(model.seed)
+    diff = d[rng.choice(np.flatnonzero(y == 1), quality.PAIRS)] - d[rng.choice(np.flatnonzero(y == 0), quality.PAIRS)]
+    loss = lambda w: np.logaddexp(0, -diff @ w).sum() + model.penalty / 2 * w @ w
+    least = loss(model.weights)
+    for _ in range(40):
+        step = rng.normal(size=len(model.weights))
+        assert least <= loss(model.weights + 0.05 * step / np.linalg.norm(step)) + 1e-6
+    strength = {r.doc_id: quality_strength for r, quality_strength in zip(docs.orderBy("doc_id").collect(), model.design(quality.features([r.text for r in docs.orderBy("doc_id").collect()])) @ model.weights, strict=True)}
+    for d_id, s in strength.items():
+        assert got[d_id] == pytest.approx(1 / (1 + np.exp(-np.clip((s - model.middle) / model.scale, -30, 30))))
+
+
+# ---------------------------------------------------------------------------------------------------------- pipeline
+
+
+def brute_mix(rows):
+    """Copies of (id, text, source) rows that the mixture takes, a source's last one cut."""
+    words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t, _ in rows]
+    names = sorted({s for *_, s in rows}, key=lambda s: (s is None, s or ""))
+    weight = {s: (5.0, 2.0, 1.0)[i % 3] for i, s in enumerate(names)}
+    size = {s: sum(len(w) for w, r in zip(words, rows, strict=True) if r[2] == s) for s in names}
+    target, free, left = {}, set(names), float(sum(size.values()))
+    while free:
+        level = left / sum(weight[s] for s in free)
+        over = {s for s in free if weight[s] * level > 3 * size[s]}
+        target |= {s: 3.0 * size[s] if over else weight[s] * level for s in (over or free)}
+        left -= sum(target[s] for s in over)
+        free -= over or free
+    out = []
+    for s in names:
+        epochs, rest = divmod(int(target[s] + 0.5), size[s]) if size[s] else (0, 0)
+        key = lambda i: hashlib.md5(("mix:" + (str(rows[i][0]) if rows[i][0] is not None else "null:" + hashlib.md5((rows[i][1] or "").encode()).hexdigest())).encode()).hexdigest()
+        for i in sorted((i for i, r in enumerate(rows) if r[2] == s and words[i]), key=key):
+            out += [rows[i][:2]] * epochs
+            head = min(rest, len(words[i]))
+            rest -= head
+            if head:
+                out.append((rows[i][0], rows[i][1] if head == len(words[i]) else " ".join(words[i][:head])))
+    return out
+
 
-        def best(lo, hi):  # the recursive definition: the best segment, then the same on both sides
-            options = [(sum(scores[a : b + 1]), a, b) for a in range(lo, hi) for b in range(a, hi)]
-            top = max((s for s, _, _ in options), default=0)
-            if top <= 0:
-                return []
-            a, b = min(((a, b) for s, a, b in options if s == top), key=lambda p: (p[1] - p[0], p[0]))
-            return best(lo, a) + [(a, b, top)] + best(b + 1, hi)
+def test_pipeline_matches_brute_force(spark, tmp_path):
+    import corpus_pipeline
 
-        assert sum(s for *_, s in got) == pytest.approx(sum(s for *_, s in best(0, 14)))
+    rng = random.Random(21)
+    rows, labels = [], []
+    shared = [prose(rng, 70) for _ in range(2)]
+    for i in range(360):
+        w, toxic = prose(rng, rng.randrange(100, 160)).split(), rng.random() < 0.15
+        if toxic:
+            at = rng.randrange(len(w))
+            w[at:at] = [rng.choice(("vilething", "vileword", "nastyone")) for _ in range(4)]
+        elif i % 9 == 0 and rows and rows[-1][1]:  # a near copy of the one before
+            w = rows[-1][1].split()
+            w[len(w) // 2] = "changed"
+            toxic = "vile" in rows[-1][1] or "nastyone" in rows[-1][1]
+        elif i % 20 == 7:
+            w.insert(30, shared[i % 2])
+        rows.append((i, " ".join(w), "en", ("a", "b", "c", None)[min(3, int(rng.expovariate(0.9)))]))
+        labels.append((i, 1, int(toxic)))
+    toxic_ids = {d for d, _, y in labels if y}
+    rows += [(1000, None, "en", "a"), (1001, "", None, None), (None, prose(rng, 60), "en", "b"), (1002, prose(rng, 3000), "de", "b"), rows[5]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("n_chars", F.length("text").cast("long")).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    docs = [(d, t, s) for d, t, _, s in rows if d not in toxic_ids]
+    kept, seen = [], set()
+    for r, (d, n, c) in zip(docs, brute_components([r[:2] for r in docs]), strict=True):
+        if not n or c is None or d == c and d not in seen:
+            kept.append(r)
+            seen.add(d)
+    assert len(kept) < len(docs) - 10
+    cut = [(d, t if t is None else k.decode("utf-8", "ignore"), s) for (d, t, s), (_, _, k) in zip(kept, brute_kept([t for _, t, _ in kept], 200), strict=True)]
+    assert sum(a != b for a, b in zip(kept, cut, strict=True)) > 8
+    mixed = brute_mix(cut)
+    packed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} == {d for d, _ in mixed}
+    used, _ = check_packing(packed, mixed, 2048)
+    counts = np.bincount([r.length for r in packed], minlength=2049)
+    assert packing.lower_bound(counts, 2048) <= used <= sum(t for _, t in packing.best_fit(counts, 2048))
+
+
+def test_pipeline_of_an_empty_table_and_clashing_columns(spark, tmp_path, odd_docs):
+    import corpus_pipeline
+
+    _, labels = labelled(spark, 30)
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    odd_docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    labels.write.parquet(f"{tmp_path}/odd/labels.parquet")
+    odd_docs.write.parquet(f"{tmp_path}/odd/documents.parquet")
+    out = corpus_pipeline.run(spark, f"{tmp_path}/odd")
+    assert out.count() > 0 and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
