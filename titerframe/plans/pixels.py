@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import zlib
+
 from pyspark.sql import functions as F
 
 from ..operators import models, sampling, spatial
@@ -152,7 +154,7 @@ def eviction(spark, sf_dir):
 
 def streamed_counts(spark, sf_dir):
     """The hourly counts again, by a stream over the table's files that ends when they are read."""
-    name = f"progress_{abs(hash(sf_dir)) % 10**9}"
+    name = f"progress_{zlib.crc32(sf_dir.encode())}"
     stream = S.tumbling(S.read_table_stream(spark, sf_dir, "events"), ["event_type"], "ts", "1 hour", "value", watermark=None)
     q = stream.writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
     q.awaitTermination()
