@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, mixing, neardup, neighbours, packing, quality, repeats, topk, toxicity, urls
+from . import bpe, chat, mixing, neardup, neighbours, packing, quality, repeats, topk, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": toxicity.op8_toxicity,
         "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
         "op10_url_filter": urls.op10_url_filter,
+        "op11_byte_bpe": bpe.op11_byte_bpe,
     }
 
 
