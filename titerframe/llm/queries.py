@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, mixing, neardup, neighbours, packing, quality, repeats, topk, toxicity, urls
+from . import audit, bpe, chat, mixing, neardup, neighbours, packing, quality, repeats, topk, toxicity, urls, whitening
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_minhash_near_dedup": neardup.op9_minhash_near_dedup,
         "op10_url_filter": urls.op10_url_filter,
         "op11_byte_bpe": bpe.op11_byte_bpe,
+        "op12_filter_audit": audit.op12_filter_audit,
+        "op13_whitening": whitening.op13_whitening,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat_format": chat.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op6_exact_top_k": topk.OP6_SQL, "op10_url_filter": urls.OP10_SQL}
+    return {"op2_chat_format": chat.OP2_SQL, "op4_mixing": mixing.OP4_SQL, "op6_exact_top_k": topk.OP6_SQL, "op10_url_filter": urls.OP10_SQL, "op12_filter_audit": audit.OP12_SQL}
