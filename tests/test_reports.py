@@ -10,7 +10,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from titerframe.functions import text as T
-from titerframe.operators import mapping, reports, statistics
+from titerframe.operators import graphs, reports, statistics
 from titerframe.sources import tables
 
 
@@ -41,7 +41,7 @@ def test_components_match_brute_force(spark):
     for a, b in edges:
         a, b = sorted((find(a), find(b)))
         up[b] = a
-    got = {r.node: r.component for r in mapping.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
+    got = {r.node: r.component for r in graphs.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {x: find(x) for x in up}
 
 

@@ -107,6 +107,20 @@ def normal_cdf(x: Column) -> Column:
     return 0.5 * (1.0 + F.when(x < 0, -erf).otherwise(erf))
 
 
+def normal_sf(x: Column) -> Column:
+    """Upper tail of the standard normal distribution, to about 12 digits: a power series near 0, a continued fraction beyond."""
+    z = F.abs(x) / math.sqrt(2)
+    square = z * z
+    series, fraction = F.lit(1.0), z
+    for k in range(40, 0, -1):
+        series = 1.0 + 2.0 * square / (2 * k + 1) * series
+        fraction = z + (k / 2.0) / fraction
+    near = 1.0 - 2.0 / math.sqrt(math.pi) * z * F.exp(-square) * series
+    far = F.exp(-square) / (math.sqrt(math.pi) * fraction)
+    tail = 0.5 * F.when(z < 2.0, near).otherwise(far)
+    return F.when(x < 0, 1.0 - tail).otherwise(tail)
+
+
 def gaussian2_logpdf(x: Column, y: Column, mean_x: Column, mean_y: Column, var_x: Column, var_y: Column, cov: Column) -> Column:
     """Log density of a 2-D Gaussian by the closed-form inverse of its covariance."""
     det = var_x * var_y - cov * cov

@@ -96,14 +96,30 @@ def _plain_key(key: Column) -> Column:
 
 
 def tube_name(meta: Column, fallback: Column) -> Column:
-    """Name of a tube from a map of metadata: the first known key that has a value, however the key is written."""
-    plain = F.map_from_entries(F.transform(F.map_entries(F.map_filter(meta, lambda k, v: F.trim(v) != "")), lambda e: F.struct(_plain_key(e["key"]), F.trim(e["value"]))))
-    return F.coalesce(*[F.try_element_at(plain, F.lit(k)) for k in TUBE_KEYS], fallback)
+    """Name of a tube from a map of metadata: the first known key that has a value, however the key is written.
+
+    Of keys that differ only in case, blanks, hyphens or underscores the last one with a value counts.
+    """
+    entries = F.filter(F.transform(F.map_entries(meta), lambda e: F.struct(_plain_key(e["key"]).alias("k"), F.trim(e["value"]).alias("v"))), lambda e: e["v"] != "")
+    last = lambda k: F.try_element_at(F.filter(entries, lambda e: e["k"] == k), F.lit(-1))["v"]
+    return F.coalesce(*map(last, TUBE_KEYS), fallback)
 
 
 def positive_marker(label: Column) -> Column:
-    """First marker with a ``+`` channel of a label like ``CD3 PerCP-A+ CD19 APC-Cy7-A-``; null if there is none."""
-    return F.nullif(F.regexp_extract(label, r"(?:^|\s)(\S+)\s+\S*\+(?=\s|$)", 1), F.lit(""))
+    """First marker with a ``+`` channel of a label like ``CD3 PerCP-A+ CD19 APC-Cy7-A-``; null if there is none.
+
+    Words are paired from the left: one that ends with ``+`` or ``-`` is the channel of the word before it, unless that
+    one is a channel already.
+    """
+    words = F.filter(F.split(label, r"\s+"), lambda w: w != "")
+    start = F.struct(F.lit(None).cast("string").alias("marker"), F.lit(None).cast("string").alias("found"))
+
+    def step(state: Column, word: Column) -> Column:
+        pair = state["marker"].isNotNull() & word.rlike(r"[+-]$")
+        found = F.when(pair & word.endswith("+"), F.coalesce(state["found"], state["marker"])).otherwise(state["found"])
+        return F.struct(F.when(~pair, word).alias("marker"), found.alias("found"))
+
+    return F.aggregate(words, start, step, lambda s: s["found"])
 
 
 def canonical_metric(name: Column, aliases: dict[str, tuple[str, ...]]) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
-from ..functions.numeric import finite, precision_recall_f1
+from ..functions.numeric import finite, normal_sf, precision_recall_f1
 
 
 def confusion(df: DataFrame, keys: list[str], truth: Column, predicted: Column) -> DataFrame:
@@ -128,21 +128,47 @@ def consensus_error(df: DataFrame, key: str, raters: tuple[str, str], method: st
     return out.withColumn("ratio", F.col("method_error") / F.when(F.col("human_error") > 0, F.col("human_error")))
 
 
+#: Up to so many pairs without ties or zeros have an exact p-value.
+EXACT_PAIRS = 50
+
+
+def signed_rank_sums(most: int = EXACT_PAIRS) -> list[tuple[int, float, float]]:
+    """(n, w, share of all 2^n signs whose positive ranks sum to w at most), for every w up to the mean sum."""
+    rows, ways = [], [1]
+    for n in range(1, most + 1):
+        longer = ways + [0] * n
+        for w, k in enumerate(ways):  # rank n is in the sum or not
+            longer[w + n] += k
+        ways, below = longer, 0
+        for w in range(n * (n + 1) // 4 + 1):
+            below += ways[w]
+            rows.append((n, float(w), below / 2**n))
+    return rows
+
+
 def signed_ranks(df: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """Wilcoxon's statistic of paired values with its two-sided normal p-value (ties and zeros handled as usual)."""
-    from ..functions.numeric import normal_cdf
+    """Wilcoxon's statistic of paired values with its two-sided p-value: keys, n_paired, n_nonzero, statistic, p_value.
 
+    Pairs of equal values are left out. The p-value is exact for at most ``EXACT_PAIRS`` pairs if none are left out and no
+    differences tie, by the table of :func:`signed_rank_sums` (a row per n and sum, broadcast); else it is the normal one,
+    corrected for ties. Fewer than three pairs, or none that differs, have none. Rows with a null side don't count.
+    """
+    spark = df.sparkSession
     d = F.col(a) - F.col(b)
     rows = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*keys, d.alias("d"))
     counts = rows.groupBy(*keys).agg(F.count("*").alias("n_paired"), F.count_if(F.col("d") != 0).alias("n_nonzero"))
     nz = rows.where("d <> 0").withColumn("x", F.abs("d"))
     nz = nz.withColumns({"r": average_rank("x", keys), "t": F.count("*").over(Window.partitionBy(*keys, "x"))})
     w = nz.groupBy(*keys).agg(F.sum(F.when(F.col("d") > 0, F.col("r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("d") < 0, F.col("r")).otherwise(0.0)).alias("w_minus"), F.sum(F.col("t") * F.col("t") - 1).alias("ties"))
-    out = counts.join(w, keys, "left") if keys else counts.crossJoin(w)
+    out = (counts.join(w, keys, "left") if keys else counts.crossJoin(w)).withColumn("statistic", F.least("w_plus", "w_minus"))
     n = F.col("n_nonzero")
     mean, var = n * (n + 1) / 4.0, n * (n + 1) * (2 * n + 1) / 24.0 - F.col("ties") / 48.0
-    z = (F.least("w_plus", "w_minus") - mean) / F.sqrt(F.when(var > 0, var))
-    return out.withColumns({"statistic": F.least("w_plus", "w_minus"), "p_value": F.least(F.lit(1.0), 2.0 * normal_cdf(z))}).drop("ties", "w_plus", "w_minus")
+    z = (F.col("statistic") - mean) / F.sqrt(F.when(var > 0, var))
+    sums = F.broadcast(spark.createDataFrame(signed_rank_sums(), "__n long, __w double, __share double"))
+    plain = (F.col("ties") == 0) & (n == F.col("n_paired"))
+    out = out.join(sums, plain & (n == F.col("__n")) & (F.col("statistic") == F.col("__w")), "left")
+    p = F.least(F.lit(1.0), 2.0 * F.coalesce(F.col("__share"), normal_sf(-z)))
+    return out.withColumn("p_value", F.when((F.col("n_paired") >= 3) & F.col("statistic").isNotNull(), p)).drop("ties", "w_plus", "w_minus", "__n", "__w", "__share")
 
 
 def average_precision(df: DataFrame, keys: list[str], score: str, hit: str, n_truth: str, row: str) -> DataFrame:

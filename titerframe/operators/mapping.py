@@ -1,4 +1,4 @@
-"""Value maps and lookups: quantile mapping, intensity scaling, bit depth, prioritised names, components."""
+"""Value maps and lookups: quantile mapping, intensity scaling, bit depth, prioritised names."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions.numeric import finite
-from .staging import staged
 
 #: Largest value of an integer image by dtype. Fixed values.
 DTYPE_MAX = {"bool": 1.0, "uint8": 255.0, "int16": 32767.0, "uint16": 65535.0}
@@ -108,19 +107,3 @@ def simulated_fraction(score: Column, row: Column, seed: int = 0) -> Column:
     lo = F.when(score == 1, 0.0).when(score == 2, 10.0).when(score == 4, 20.0).when(score == 6, 50.0).when(score == 8, 80.0)
     hi = F.when(score == 1, 10.0).when(score == 2, 20.0).when(score == 4, 50.0).when(score == 6, 80.0).when(score == 8, 100.0)
     return lo + u * (hi - lo)
-
-
-def components(edges: DataFrame, a: str, b: str, rounds: int = 50) -> DataFrame:
-    """Connected components (node, component) of a sparse graph by spreading the smallest label and following labels."""
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).union(edges.select(F.col(b), F.col(a))).distinct()
-    labels = both.groupBy(F.col("x").alias("node")).agg(F.least(F.min("y"), F.first("x")).alias("component"))
-    for _ in range(rounds):
-        near = both.join(labels, both.y == labels.node).groupBy("x").agg(F.min("component").alias("near"))
-        step = labels.join(near, labels.node == near.x).select("node", F.col("component").alias("was"), F.least("component", "near").alias("to"))
-        up = labels.select(F.col("node").alias("to"), F.col("component").alias("up"))
-        new = step.join(up, "to", "left").select("node", F.least("to", F.coalesce("up", "to")).alias("component"), "was")
-        new = staged(new, "components")
-        labels = new.select("node", "component")
-        if not new.where("component <> was").limit(1).count():
-            return labels
-    raise RuntimeError(f"components are unfinished after {rounds} rounds")

@@ -225,11 +225,15 @@ def instance_scores(truth: DataFrame, predicted: DataFrame, keys: list[str], thr
 
 
 def splits_and_merges(truth: DataFrame, predicted: DataFrame, keys: list[str], fraction: float = 0.10) -> DataFrame:
-    """Regions that several regions of the other side cover by ``fraction`` of their own area at least: keys, splits, merges."""
+    """Regions that several regions of the other side cover by ``fraction`` of their own area at least: keys, splits, merges.
+
+    Images of either side have a row, those whose sides share no pixel too.
+    """
     pairs = overlaps(truth, predicted, keys)
     split = pairs.where(F.col("inter") >= fraction * F.col("t_area")).groupBy(*keys, "t").count().where("count > 1").groupBy(*keys).agg(F.count("*").alias("splits"))
     merge = pairs.where(F.col("inter") >= fraction * F.col("p_area")).groupBy(*keys, "p").count().where("count > 1").groupBy(*keys).agg(F.count("*").alias("merges"))
-    return pairs.select(*keys).distinct().join(split, keys, "left").join(merge, keys, "left").fillna(0, ["splits", "merges"])
+    images = truth.select(*keys).union(predicted.select(*keys)).distinct()
+    return images.join(split, keys, "left").join(merge, keys, "left").fillna(0, ["splits", "merges"])
 
 
 def rewritten(df: DataFrame, columns: list[str], names: dict[str, str]) -> DataFrame:

@@ -7,6 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graphs import components
+from .staging import staged
+
 
 def region_means(pixels: DataFrame, keys: list[str], channels: list[str]) -> DataFrame:
     """Area and channel means per labelled region."""
@@ -143,31 +146,42 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((c, r) if flipped else (r, c) for r, c in pairs)
 
 
-def match_pairs(pairs: DataFrame, keys: list[str], a: str, b: str, score: str, least: float, greedy: bool = False) -> DataFrame:
-    """One-to-one matches of a and b per key among pairs of at least ``least`` score: of largest total score, or greedily.
+def match_pairs(pairs: DataFrame, keys: list[str], a: str, b: str, score: str, least: float, greedy: bool = False, most_pairs: bool = False) -> DataFrame:
+    """One-to-one matches of a and b per key among pairs of at least ``least`` score (and above 0).
 
-    Only pairs that could match are in the table, so a group is one image's touching regions, never all pairs.
+    They have the largest total score; with ``most_pairs`` as many pairs as can be matched come first, then the score;
+    with ``greedy`` pairs are taken by falling score, ties by a and b. Pairs are matched inside the connected components of
+    the graph that they form, each of which is a task's group: what an image holds besides does not matter, and no matrix
+    is larger than a component's. Of repeated pairs the best score counts.
     """
-    kinds = ", ".join(f"{c} {pairs.schema[c].dataType.simpleString()}" for c in [*keys, a, b, score])
+    kinds = ", ".join(f"`{c}` {pairs.schema[c].dataType.simpleString()}" for c in [*keys, a, b, score])
+    use = pairs.where((F.col(score) >= least) & (F.col(score) > 0)).groupBy(*keys, a, b).agg(F.max(score).alias(score))
+    # nodes by 64 bits of hash: two components that a collision joined would still be matched right
+    use = use.withColumns({"__a": F.xxhash64(F.lit("a"), *keys, a), "__b": F.xxhash64(F.lit("b"), *keys, b)})
+    use = staged(use, "pairs")
+    parts = components(use, "__a", "__b").withColumnRenamed("node", "__a")
 
     def solve(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values([score, a, b], ascending=[False, True, True], kind="stable")
         if greedy:
             taken_a, taken_b, keep = set(), set(), []
-            for i, (x, y) in enumerate(zip(df[a], df[b], strict=True)):
+            for i, (x, y) in enumerate(zip(df["__a"], df["__b"], strict=True)):
                 if x not in taken_a and y not in taken_b:
                     taken_a.add(x)
                     taken_b.add(y)
                     keep.append(i)
-            return df.iloc[keep]
-        ra, ca = np.unique(df[a], return_inverse=True)
-        rb, cb = np.unique(df[b], return_inverse=True)
+            return df.iloc[keep][[*keys, a, b, score]]
+        ra, ca = np.unique(df["__a"], return_inverse=True)
+        rb, cb = np.unique(df["__b"], return_inverse=True)
         gain = np.zeros((len(ra), len(rb)))
-        gain[ca, cb] = df[score]
-        chosen = {(i, j) for i, j in assign(-gain) if gain[i, j] > 0}
-        return df[[(i, j) in chosen for i, j in zip(ca, cb, strict=True)]]
-
-    return pairs.where(F.col(score) >= least).select(*keys, a, b, score).groupBy(*keys).applyInPandas(solve, kinds)
+        # a bonus above any total of scores puts the number of pairs first
+        gain[ca, cb] = df[score] + (df[score].max() * min(gain.shape) + 1.0 if most_pairs else 0.0)
+        chosen = np.zeros(gain.shape, bool)
+        for i, j in assign(-gain):
+            chosen[i, j] = gain[i, j] > 0
+        return df[chosen[ca, cb]][[*keys, a, b, score]]
+
+    return use.join(parts, "__a").groupBy("component").applyInPandas(solve, kinds)
 
 
 def dense_labels(regions: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions.numeric import finite, skip_outliers
-from .staging import staged
+from .staging import staged, unstaged
 
 
 def with_mad(df: DataFrame, keys: list[str], value: str, med: str = "med", mad: str = "mad") -> DataFrame:
@@ -69,39 +69,86 @@ def smoothed(n: Column, keys: list[Column | str], order: str = "bin", width: int
     return F.sum(n).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, half)) / width
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], only: Callable[[Column], Column] | None = None, near: float = 0.005, bins: int = 512) -> DataFrame:
+def _beside(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows with the columns of their group; without keys the small table has one row."""
+    return rows.join(small, keys) if keys else rows.crossJoin(F.broadcast(small))
+
+
+def exact_quantiles(
+    df: DataFrame, keys: list[str], value: str, qs: list[float], only: Callable[[Column], Column] | None = None, near: float = 0.005, bins: int = 512, few: int = 2000, in_task: int = 500_000
+) -> DataFrame:
     """Exact quantiles with linear interpolation per group of any size: keys, q (one of ``qs``), x.
 
-    Approximate quantiles, whose error is bounded below ``near``, bracket every rank; values inside the brackets are
-    counted in equal bins, and only the bin that holds a rank is sorted. ``only`` tells from the keys whether a q is
-    asked. Missing values don't count; null keys are no group.
+    Every rank is bracketed: by approximate quantiles whose error is a fifth of ``near``, in groups of at most ``few``
+    rows by their extremes. The different values inside a bracket are counted, in equal bins; a bin whose values are
+    equal, or at whose end the rank lies, gives its value at once. Else the values of the bin that holds the rank are
+    put in order, or binned again as long as there are over ``in_task`` of them. Ties cost nothing, as a value is one
+    row however often it occurs. ``only`` tells from the keys whether a q is asked. Missing values don't count; null keys
+    are no group; a group without values has no row.
     """
-    rows = df.select(*keys, finite(F.col(value)).alias("x")).where("x IS NOT NULL")
+    rows = df.select(*keys, finite(F.col(value)).cast("double").alias("__x")).where("__x IS NOT NULL")
     sides = [q + s * near for s in (-1, 1) for q in qs]
-    ends = F.percentile_approx("x", [min(1.0, max(0.0, p)) for p in sides], F.lit(int(5 / near)))
-    groups = rows.groupBy(*keys).agg(ends.alias("ends"), F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+    ends = F.percentile_approx("__x", [min(1.0, max(0.0, p)) for p in sides], F.lit(int(5 / near)))
+    groups = rows.groupBy(*keys).agg(ends.alias("__ends"), F.count("*").alias("__n"), F.min("__x").alias("__least"), F.max("__x").alias("__most"))
     ask = [F.lit(True) if only is None else only(F.lit(float(q))) for q in qs]
-    lo = [F.when(ask[i], F.col("least") if q <= near else F.col("ends")[i]) for i, q in enumerate(qs)]
-    hi = [F.when(ask[i], F.col("most") if q >= 1 - near else F.col("ends")[i + len(qs)]) for i, q in enumerate(qs)]
-    bounds = staged(groups.select(*keys, "n", *[c.alias(f"{n}{i}") for n, cs in (("lo", lo), ("hi", hi)) for i, c in enumerate(cs)]), "bounds")
-
-    met = rows.join(bounds.drop("n"), keys)
-    inside = [F.col("x").between(F.col(f"lo{i}"), F.col(f"hi{i}")) for i in range(len(qs))]
-    width = [F.when(F.col(f"hi{i}") > F.col(f"lo{i}"), (F.col(f"hi{i}") - F.col(f"lo{i}")) / bins).otherwise(1.0) for i in range(len(qs))]
-    place = F.array(*[F.when(c, F.struct(F.lit(float(q)).alias("q"), F.least(F.floor((F.col("x") - F.col(f"lo{i}")) / width[i]), F.lit(bins - 1)).alias("bin"))) for i, (q, c) in enumerate(zip(qs, inside, strict=True))])
-    placed = met.where(reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in inside])).select(*keys, "x", F.explode(F.array_compact(place)).alias("p")).select(*keys, "p.*", "x")
-    placed = staged(placed, "near-ranks")
-    below = met.groupBy(*keys).agg(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.count_if(F.col("x") < F.col(f"lo{i}")).alias("below")) for i, q in enumerate(qs)]).alias("b"))
+    small = F.col("__n") <= few
+    lo = [F.when(ask[i], F.when(small | F.lit(q <= near), F.col("__least")).otherwise(F.col("__ends")[i])).alias(f"lo{i}") for i, q in enumerate(qs)]
+    hi = [F.when(ask[i], F.when(small | F.lit(q >= 1 - near), F.col("__most")).otherwise(F.col("__ends")[i + len(qs)])).alias(f"hi{i}") for i, q in enumerate(qs)]
+    named, keys = keys, [f"__k{i}" for i in range(len(keys))]  # no key's name clashes with a column below
+    own = [F.col(k).alias(n) for k, n in zip(named, keys, strict=True)]
+    bounds = staged(groups.where("__n > 0").select(*own, F.col("__n").alias("n"), *lo, *hi), "bounds")
+    rows = rows.select(*own, F.col("__x").alias("x"))
+
+    met = _beside(rows, bounds.drop("n"), keys)
+    inside = [F.coalesce(F.col("x").between(F.col(f"lo{i}"), F.col(f"hi{i}")), F.lit(False)) for i in range(len(qs))]
+    place = F.array(*[F.when(c, F.struct(F.lit(float(q)).alias("q"), _bin("x", f"lo{i}", f"hi{i}", bins).alias("bin"))) for i, (q, c) in enumerate(zip(qs, inside, strict=True))])
+    placed = met.where(reduce(lambda a, b: a | b, inside)).select(*keys, "x", F.explode(F.array_compact(place)).alias("p")).select(*keys, "p.*", "x")
+    counts = staged(placed.groupBy(*keys, "q", "bin", "x").agg(F.count("*").alias("c")), "near-ranks")
+    below = met.groupBy(*keys).agg(F.array(*[F.struct(F.lit(float(q)).alias("q"), F.count_if(F.col("x") < F.col(f"lo{i}")).alias("before")) for i, q in enumerate(qs)]).alias("b"))
     at = F.col("q") * (F.col("n") - 1)
-    below = below.join(bounds.select(*keys, "n"), keys).select(*keys, "n", F.inline("b")).withColumns({"r0": F.floor(at), "r1": F.ceil(at), "share": at - F.floor(at)})
-    counts = placed.groupBy(*keys, "q", "bin").agg(F.count("*").alias("in_bin")).join(below, [*keys, "q"])
-    counts = counts.withColumn("before", F.col("below") + F.sum("in_bin").over(Window.partitionBy(*keys, "q").orderBy("bin")) - F.col("in_bin"))
-    holds = [(F.col(r) >= F.col("before")) & (F.col(r) < F.col("before") + F.col("in_bin")) for r in ("r0", "r1")]
-    wanted = counts.where(holds[0] | holds[1]).select(*keys, "q", "bin", "before", "r0", "r1", "share")
-    rank = F.col("before") + F.row_number().over(Window.partitionBy(*keys, "q", "bin").orderBy("x")) - 1
-    picked = placed.join(wanted, [*keys, "q", "bin"]).withColumn("rank", rank)
-    ends = picked.groupBy(*keys, "q").agg(*[F.min(F.when(F.col("rank") == F.col(r), F.col("x"))).alias(v) for r, v in (("r0", "v0"), ("r1", "v1"))], F.first("share").alias("share"))
-    return ends.select(*keys, "q", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("share")).alias("x"))
+    ranks = _beside(below, bounds.select(*keys, "n"), keys).select(*keys, "n", F.inline("b")).select(*keys, "q", "before", F.floor(at).alias("r0"), F.ceil(at).alias("r1"), (at - F.floor(at)).alias("share"))
+
+    parts, scratch = [], [bounds, counts]
+    while True:
+        found = staged(_bins_of_ranks(counts, ranks, [*keys, "q"]), "rank-bins")
+        scratch.append(found)
+        parts.append(found.where("NOT open").groupBy(*keys, "q").agg(F.max("v0").alias("v0"), F.max("v1").alias("v1"), F.first("share").alias("share")))
+        unsure = found.where("open").select(*keys, "q", "bin", "before", "r0", "r1", "share", "least", "most", "different")
+        most = unsure.agg(F.max("different")).first()[0]
+        if not most:
+            break
+        counts = counts.join(unsure, [*keys, "q", "bin"])
+        if most <= in_task:
+            upto = F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "q").orderBy("x"))
+            ordered = counts.withColumn("upto", upto).groupBy(*keys, "q")
+            parts.append(ordered.agg(*[F.min(F.when(F.col("upto") > F.col(r), F.col("x"))).alias(v) for r, v in (("r0", "v0"), ("r1", "v1"))], F.first("share").alias("share")))
+            break
+        ranks = unsure.select(*keys, "q", "before", "r0", "r1", "share")
+        counts = staged(counts.select(*keys, "q", _bin("x", "least", "most", bins).alias("bin"), "x", "c"), "near-ranks")
+        scratch.append(counts)
+    back = [F.col(n).alias(k) for k, n in zip(named, keys, strict=True)]
+    out = staged(reduce(DataFrame.union, parts).select(*back, "q", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("share")).alias("x")), "quantiles")
+    unstaged(*scratch)
+    return out
+
+
+def _bin(x: str, lo: str, hi: str, bins: int) -> Column:
+    """Which of ``bins`` equal bins between two columns a value is in; halves, as the span may exceed the largest double."""
+    width = F.col(hi) / bins - F.col(lo) / bins
+    return F.when(width > 0, F.least(F.floor((F.col(x) - F.col(lo)) / width), F.lit(bins - 1))).otherwise(0).cast("int")
+
+
+def _bins_of_ranks(counts: DataFrame, ranks: DataFrame, by: list[str]) -> DataFrame:
+    """The bins that hold the ranks r0 and r1, with the values there (v0, v1) where they are an end of the bin."""
+    per_bin = counts.groupBy(*by, "bin").agg(F.sum("c").alias("c"), F.count("*").alias("different"), F.min("x").alias("least"), F.max("x").alias("most")).join(ranks, by)
+    start = F.col("before") + F.sum("c").over(Window.partitionBy(*by).orderBy("bin")) - F.col("c")
+    per_bin = per_bin.withColumn("before", start).withColumn("end", F.col("before") + F.col("c"))
+    holds = [(F.col(r) >= F.col("before")) & (F.col(r) < F.col("end")) for r in ("r0", "r1")]
+    flat = F.col("least") == F.col("most")
+    values = [F.when(h, F.when(flat | (F.col(r) == F.col("before")), F.col("least")).when(F.col(r) == F.col("end") - 1, F.col("most"))) for h, r in zip(holds, ("r0", "r1"), strict=True)]
+    out = per_bin.where(holds[0] | holds[1]).withColumns({"v0": values[0], "v1": values[1]})
+    # ranks in different bins are the last of the one and the first of the other, so an open bin holds both
+    return out.withColumn("open", (holds[0] & F.col("v0").isNull()) | (holds[1] & F.col("v1").isNull()))
 
 
 def histogram_cutoff(values: DataFrame, gate: str, role: str, value: str, min_nc: int = 2000, min_pc: int = 2000, bins: int = 256, smooth: int = 7, tail: float = 0.15, run: int = 4, fallback_q: float = 0.90, crossing: float = 0.25) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import graphs
 from ..operators import mapping as M
 from .proxies import ROIS, rois, table
 
@@ -55,8 +57,10 @@ def unlabelled(spark, sf_dir):
 
 
 def linked(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("long").alias("a"), (F.col("event_id") + 1_000_000_000).cast("long").alias("b"))
-    return M.components(e, "a", "b")
+    """Every order is linked to its customer's order before it: chains as long as a customer has orders."""
+    before = F.lag("o_orderkey").over(Window.partitionBy("o_custkey").orderBy(F.md5(F.col("o_orderkey").cast("string"))))
+    e = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.coalesce(before, "o_orderkey").alias("b"))
+    return graphs.components(e, "a", "b")
 
 
 def scaled(spark, sf_dir):
@@ -78,6 +82,6 @@ QUERIES = {
     "agg_feature_gap": (gap, "WITH g AS (SELECT median(n_chars) FILTER (lang = 'en') AS mr, median(n_chars) FILTER (lang = 'de') AS ms, stddev_samp(n_chars) FILTER (lang = 'en') AS sr, quantile_cont(n_chars, 0.1) FILTER (lang = 'en') AS lr, quantile_cont(n_chars, 0.9) FILTER (lang = 'en') AS hr, quantile_cont(n_chars, 0.1) FILTER (lang = 'de') AS ls, quantile_cont(n_chars, 0.9) FILTER (lang = 'de') AS hs FROM documents) SELECT round((ms - mr) / sr, 6) AS z, round(ms / mr, 6) AS ratio, round(greatest(least(hr, hs) - greatest(lr, ls), 0) / (greatest(hr, hs) - least(lr, ls)), 6) AS overlap FROM g"),
     "uio_resolve_names": (names, _NAMES),
     "uio_unlabelled_columns": (unlabelled, f"WITH {ROIS} SELECT DISTINCT CAST(substr(well, 2) AS INTEGER) AS col FROM ro WHERE CAST(substr(well, 2) AS INTEGER) NOT IN (1, 2, 4)"),
-    "val_components": (linked, "SELECT event_id + 1000000000 AS node, CAST(user_id AS BIGINT) AS component FROM events UNION SELECT user_id, user_id FROM events"),
+    "val_components": (linked, "SELECT o_orderkey AS node, min(o_orderkey) OVER (PARTITION BY o_custkey) AS component FROM orders"),
     "map_unit_scaled": (scaled, "SELECT p_partkey, round(greatest(0.0, least(1.0, p_size * 10.0::DOUBLE / 255)), 6) AS u8, round(greatest(0.0, least(1.0, p_retailprice / 2000)), 6) AS f FROM part"),
 }
