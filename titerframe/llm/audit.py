@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, spread, table
+from .common import HOT_KEYS, HOT_ROWS, materialize, slices, spread, table
 
 FILTERS = "ABCDE"
 #: Limits of the filters A, B and C, and the characters of D. Fixed values of the query.
@@ -44,8 +44,9 @@ def document_flags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """id, part and mask of every document; bit k of the mask is set if it fails filter k of A to E.
 
     E is failed by a text that a smaller id has too: ids of equal texts (by sha256) meet their minimum, in a table of
-    repeated texts only. Rows of that minimum pass, so do rows without an id. A null text is an empty one, a null part
-    the empty string.
+    repeated texts only. Texts that hold more than a bounded share of all rows meet it by broadcast, so that their rows
+    stay where they are. Rows of the minimum pass, so do rows without an id. A null text is an empty one, a null part the
+    empty string.
     """
 
     def run(batches):
@@ -57,9 +58,13 @@ def document_flags(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     part = F.coalesce(F.col(part_col).cast("string"), F.lit(""))
     given = spread(docs.select(id_col, part_col, text_col)).select(F.col(id_col).alias("id"), part.alias("part"), F.col(text_col).cast("string").cast("binary").alias("text"))
     rows = materialize(given.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, part string, mask int, digest binary"), "audit-flags")
-    repeated = rows.groupBy("digest").agg(F.min("id").alias("__first"), F.count("*").alias("__copies")).where("__copies > 1").drop("__copies")
+    repeated = rows.groupBy("digest").agg(F.min("id").alias("__first"), F.count("*").alias("__copies")).where("__copies > 1")
+    most = max(HOT_ROWS, rows.count() // HOT_KEYS)
+    often = F.broadcast(repeated.where(F.col("__copies") > most).drop("__copies"))  # fewer than HOT_KEYS texts
+    seldom = repeated.where(F.col("__copies") <= most).drop("__copies").hint("merge")
+    met = rows.join(often, "digest").unionByName(rows.join(often, "digest", "left_anti").join(seldom, "digest", "left"))
     later = F.coalesce(F.col("id") > F.col("__first"), F.lit(False))
-    return rows.join(repeated, "digest", "left").select("id", "part", F.col("mask").bitwiseOR(F.when(later, 1 << 4).otherwise(0)).alias("mask"))
+    return met.select("id", "part", F.col("mask").bitwiseOR(F.when(later, 1 << 4).otherwise(0)).alias("mask"))
 
 
 def replay(flags: DataFrame, filters: str = FILTERS) -> DataFrame:
