@@ -99,3 +99,40 @@ def test_stream_state_and_upsert(spark, tmp_path):
     up(df, 0)
     up(df.withColumn("value", F.lit(9.0)).withColumn("ts", F.to_timestamp(F.lit("2024-02-01"))).where("job = 1"), 1)
     assert {r.job: r.value for r in spark.read.parquet(str(tmp_path / "t/v1")).collect()} == {1: 9.0, 2: 5.0}
+
+
+def test_fcs_ranges_read_a_file_in_several_tasks(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    for i, n in enumerate((1000, 7, 0)):
+        x = rng.uniform(0, 1000, (n, 3)).astype(np.float32)
+        x[5::50, 1] = np.nan
+        (tmp_path / "deep").mkdir(exist_ok=True)
+        (tmp_path / "deep" / f"f{i}.fcs").write_bytes(fcs.write_fcs(x, ["A", "B", "C"], {"$P3G": "2"}))
+    wide = fcs.read_ranges(spark, str(tmp_path), ["C", "A"], rows=300)
+    parts = wide.withColumn("p", F.spark_partition_id()).groupBy("file").agg(F.countDistinct("p").alias("n"), F.count("*").alias("k"))
+    assert {r.file: (r.n, r.k) for r in parts.collect()} == {"f0.fcs": (4, 980), "f1.fcs": (1, 6)}
+    long = spark.read.format("fcs").load(str(tmp_path)).orderBy("file", "event_idx").collect()
+    rows = wide.orderBy("file", "position").collect()
+    assert [(r.file, r["A"], r["C"]) for r in rows] == [(r.file, r["values"][0], r["values"][2]) for r in long]
+    assert all(r.position % 50 != 5 for r in rows) and [r.event_idx for r in long if r.file == "f0.fcs"] == list(range(980))
+    assert fcs.read_ranges(spark, f"file://{tmp_path}/deep/f1.fcs", ["A"]).count() == 6
+
+
+def test_fcs_channels_of_different_widths(spark, tmp_path):
+    rows = [(1, 300, 70_000), (2, 65_535, 4_000_000_000)]
+    data = b"".join(int(v).to_bytes(w, "big") for r in rows for v, w in zip(r, (1, 2, 4), strict=True))
+    kw = {"$PAR": "3", "$TOT": "2", "$DATATYPE": "I", "$MODE": "L", "$BYTEORD": "4,3,2,1"}
+    for i, w in enumerate((8, 16, 32), 1):
+        kw |= {f"$P{i}N": f"c{i}", f"$P{i}B": str(w), f"$P{i}R": str(2**w), f"$P{i}E": "0,0"}
+
+    def file(kw):
+        text = "/" + "/".join(f"{k}/{v}" for k, v in kw.items()) + "/"
+        start = 256 + len(text)
+        return ("FCS3.1    " + "".join(f"{v:>8}" for v in (256, start - 1, start, start + len(data) - 1, 0, 0))).encode().ljust(256) + text.encode() + data
+
+    (tmp_path / "w.fcs").write_bytes(file(kw))
+    got = fcs.read_ranges(spark, str(tmp_path), ["c1", "c2", "c3"], rows=1).orderBy("position").collect()
+    assert [tuple(r)[2:] for r in got] == [(1.0, 300.0, 70_000.0), (2.0, 65_535.0, 4e9)]
+    for bad in ({"$P2B": "12"}, {"$DATATYPE": "F"}, {"$MODE": "H"}):
+        with pytest.raises(ValueError):
+            fcs.record_type(kw | bad)

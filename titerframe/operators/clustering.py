@@ -299,13 +299,13 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
     return 2.0 * shared / total - resolution * square / total**2 if total else 0.0
 
 
-def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, levels: int = 10, patience: int = 3) -> DataFrame:
+def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 12, levels: int = 10) -> DataFrame:
     """Communities (node, c: a node's number) of an undirected weighted graph (a, b, w) by moves that raise modularity.
 
     In a round every node sums its links by neighbouring community and picks the one of the largest gain, by joins and
-    groupings alone; half of the nodes, by hash of node and round, may then move, so that neighbours seldom swap. The best
-    labels of a level are kept; rounds end after ``patience`` without a better one. A level's communities are the next
-    one's nodes, with summed links, until a level changes nothing. Reruns agree.
+    groupings alone; half of the nodes, by hash of node and round, may then move, so that neighbours seldom swap. Rounds end
+    when no node wishes to move. A level's communities are the next one's nodes, with summed links, until a level does not
+    raise the modularity any more; that level is left out. Reruns agree.
     """
     level = staged(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("w").cast("double").alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w")), "links")
     total = level.agg(F.sum("w")).first()[0]
@@ -316,8 +316,7 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, lev
         both = level.where("a <> b").select("a", "b", "w").union(level.where("a <> b").select("b", "a", "w"))
         degree = level.select(F.explode(F.array("a", "b")).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("k"))
         labels = staged(degree.withColumn("c", F.col("node")), "labels")
-        best, score, since = labels, modularity(level, labels, resolution), 0
-        started = score
+        started = modularity(level, labels, resolution)
         for r in range(rounds):
             sums = labels.groupBy("c").agg(F.sum("k").alias("all"))
             near = both.join(labels.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node"), "c").agg(F.sum("w").alias("in"))
@@ -331,23 +330,12 @@ def communities(edges: DataFrame, resolution: float = 1.0, rounds: int = 20, lev
             wish = Observation()
             picked = picked.observe(wish, F.count_if(-F.col("top.minus") != F.col("was")).alias("moves"))
             new = staged(picked.select("node", "k", F.when(may, -F.col("top.minus")).otherwise(F.col("was")).alias("c")), "labels")
-            if labels is not best:
-                unstaged(labels)
+            unstaged(labels)
             labels = new
             if not wish.get["moves"]:
                 break
-            q = modularity(level, labels, resolution)
-            if q > score + 1e-9:
-                if best is not labels:
-                    unstaged(best)
-                best, score, since = labels, q, 0
-            else:
-                since += 1
-            if since >= patience:
-                break
-        if labels is not best:
-            unstaged(labels)
-        if score <= started + 1e-9:
+        best = labels
+        if modularity(level, best, resolution) <= started + 1e-9:
             unstaged(best)
             break
         names = best.select(F.col("node").alias("c"), F.col("c").alias("to"))

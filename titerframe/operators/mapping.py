@@ -99,11 +99,3 @@ def unlabelled_columns(wells: DataFrame, modes: DataFrame) -> DataFrame:
 
     used = wells.select(well_column(F.col("well")).alias("col")).where("col IS NOT NULL").distinct()
     return used.join(modes.where("mode <> 'empty'"), "col", "left_anti")
-
-
-def simulated_fraction(score: Column, row: Column, seed: int = 0) -> Column:
-    """A percentage inside the score's range, spread by the row's hash: the same at every run."""
-    u = F.pmod(F.xxhash64(row, F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    lo = F.when(score == 1, 0.0).when(score == 2, 10.0).when(score == 4, 20.0).when(score == 6, 50.0).when(score == 8, 80.0)
-    hi = F.when(score == 1, 10.0).when(score == 2, 20.0).when(score == 4, 50.0).when(score == 6, 80.0).when(score == 8, 100.0)
-    return lo + u * (hi - lo)

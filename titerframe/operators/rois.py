@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -118,13 +120,91 @@ def shape_reasons(df: DataFrame, min_area: int = 0, z_isolated: float = 3.5, z_t
     return df.withColumn("reasons", F.array_compact(F.array(*rules))).withColumn("excluded", F.size("reasons") > 0)
 
 
-def score_rois(rois: DataFrame, plate: list[str], wells: int | None = None) -> DataFrame:
-    """ROI tables to scored wells: calibrate, classify, summarise, correct, score.
+#: Calibrators by name: (ROIs, plate columns) -> a row per plate. :func:`register_calibrator` adds more.
+CALIBRATORS: dict[str, Callable[[DataFrame, list[str]], DataFrame]] = {
+    "median": calibrate_midpoint, "mean": lambda rois, plate: calibrate_midpoint(rois, plate, "mean"), "gaussian": calibrate_gaussian, "gaussian2": calibrate_gaussian2,
+}
+
+
+def _ratio() -> Column:
+    return red_green_ratio(F.col("mean_r"), F.col("mean_g"))
+
+
+def _gaussian2(margin: float = 1.0) -> Column:
+    logp = [gaussian2_logpdf(F.col("mean_r"), F.col("mean_g"), *[F.col(f"{c}_{n}") for c in ("r", "g", "rr", "gg", "rg")]) for n in ("pc", "nc")]
+    score = finite(logp[0] - logp[1])
+    return F.when(score > margin, "pos").when(score < -margin, "neg").otherwise("uncertain")
+
+
+#: Classifiers by name: their usual calibrator, and a function of options that gives the label of a ROI joined with its
+#: plate's calibration. :func:`register_classifier` adds more.
+CLASSIFIERS: dict[str, tuple[str, Callable[..., Column]]] = {
+    "midpoint": ("median", lambda: label_threshold(_ratio(), F.col("threshold"))),
+    "nc_upper": ("gaussian", lambda k=3.0: label_above_negative(_ratio(), F.col("mu_nc"), F.col("sd_nc"), k)),
+    "pc_lower": ("gaussian", lambda k=3.0: label_below_positive(_ratio(), F.col("mu_pc"), F.col("sd_pc"), k)),
+    "gaussian": ("gaussian", lambda k=2.0: label_gaussian(_ratio(), F.col("mu_nc"), F.col("sd_nc"), F.col("mu_pc"), F.col("sd_pc"), k)),
+    "gaussian2": ("gaussian2", _gaussian2),
+}
+
+
+def register_calibrator(name: str, calibrator: Callable[[DataFrame, list[str]], DataFrame]) -> None:
+    CALIBRATORS[name] = calibrator
+
 
-    Plates without either control, or with another number of wells than ``wells``, are left out.
+def register_classifier(name: str, calibrator: str, label: Callable[..., Column]) -> None:
+    """``label`` sees mean_r, mean_g and the calibrator's columns, and gives pos, neg or uncertain."""
+    CLASSIFIERS[name] = (calibrator, label)
+
+
+def classified(rois: DataFrame, plate: list[str], classifier: str, calibrator: str | None = None, **options) -> DataFrame:
+    """ROIs with the label of a registered classifier, calibrated on their plate's controls."""
+    if classifier not in CLASSIFIERS or (calibrator or "median") not in CALIBRATORS:
+        raise KeyError(f"no {classifier} or {calibrator}; there are {sorted(CLASSIFIERS)} and {sorted(CALIBRATORS)}")
+    usual, label = CLASSIFIERS[classifier]
+    calibration = CALIBRATORS[calibrator or usual](rois, plate)
+    return rois.join(calibration, plate, "left").withColumn("label", label(**options)).select(*rois.columns, "label")
+
+
+def score_rois(rois: DataFrame, plate: list[str], wells: int | None = None, classifier: str = "gaussian2", calibrator: str | None = None, **options) -> DataFrame:
+    """ROI tables to scored wells: calibrate, classify, summarise, correct, score, by registered names.
+
+    Plates without either control, or with another number of wells than ``wells``, are left out. ``options`` go to the
+    classifier; ``calibrator`` replaces its usual one. Adds calib_method and classifier_method.
     """
     whole = rois.groupBy(*plate).agg(F.countDistinct("well").alias("__n"), F.count_if(_is("positive")).alias("__p"), F.count_if(_is("negative")).alias("__q")).where("__p > 0 AND __q > 0")
     whole = whole if wells is None else whole.where(F.col("__n") == wells)
     rois = rois.join(whole.select(*plate), plate, "left_semi")
-    labelled = score_gaussian2(rois, calibrate_gaussian2(rois, plate), plate)
-    return corrected_wells(well_summary(labelled, [*plate, "well", "role"]), plate)
+    labelled = classified(rois, plate, classifier, calibrator, **options)
+    out = corrected_wells(well_summary(labelled, [*plate, "well", "role"]), plate)
+    return out.withColumns({"calib_method": F.lit(calibrator or CLASSIFIERS[classifier][0]), "classifier_method": F.lit(classifier)})
+
+
+#: Percentages that a human score stands for when it is turned back into one. Fixed values.
+SCORE_RANGES = {1: (0.0, 10.0), 2: (10.0, 20.0), 4: (20.0, 40.0), 6: (40.0, 60.0), 8: (80.0, 100.0), 0: (0.0, 2.0), 11: (0.0, 10.0)}
+
+
+def backfilled_scores(
+    scores: DataFrame, row: list[str], human: list[str], methods: list[str], folder: str = "folder", annotator: str = "annotator", score: str = "score", fraction: str = "frac_pos", ranges: dict[int, tuple[float, float]] | None = None, keep: bool = False, source: str = "corrected", seed: int = 0,
+) -> tuple[DataFrame, DataFrame]:
+    """Scores of people and methods on one scale: (rows, references).
+
+    A human score becomes a percentage in its range, spread by the md5 of seed and row key, so that reruns agree (with
+    ``keep`` only where there is none); methods keep theirs. References are mean percentages of the controls per folder and
+    annotator; rows get them as pc_ref and nc_ref, with corrected and adjusted_score (of ``source``: corrected, or the
+    fraction itself). Rows of other annotators stay as they are, with nulls. A human score without a range fails when read.
+    """
+    if source not in ("corrected", fraction):
+        raise ValueError(f"source is corrected or {fraction}")
+    spans = SCORE_RANGES if ranges is None else ranges
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(c).cast("string") for c in row])), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    drawn = F.raise_error(F.concat(F.lit("no range for the score "), F.coalesce(F.col(score).cast("string"), F.lit("null")))).cast("double")
+    for value, (low, high) in spans.items():
+        drawn = F.when(F.col(score) == value, low + u * (high - low)).otherwise(drawn)
+    who = F.col(annotator).cast("string")
+    given = finite(F.col(fraction).cast("double"))
+    rows = scores.withColumn(fraction, F.when(who.isin(*human), F.coalesce(given, drawn) if keep else drawn).otherwise(given))
+    rated = who.isin(*human, *methods)
+    refs = rows.where(rated).groupBy(folder, annotator).agg(A.mean(F.col(fraction), _is("positive")).alias("pc_ref"), A.mean(F.col(fraction), _is("negative")).alias("nc_ref"))
+    out = rows.drop("pc_ref", "nc_ref", "corrected", "adjusted_score").join(refs, [folder, annotator], "left")
+    out = out.withColumn("corrected", F.when(rated, corrected_fraction(F.col(fraction), F.col("nc_ref"), F.col("pc_ref"))))
+    return out.withColumn("adjusted_score", F.when(rated, cdc_score(F.col(source)))), refs

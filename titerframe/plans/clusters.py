@@ -22,8 +22,8 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.select("file_id", "event", *KEY, F.array(*scatter, *[F.asinh(F.col(c) / 150.0) for c in FEATURES[2:]]).alias("vec"))
 
 
-def _drawn(rows: DataFrame) -> DataFrame:
-    return staged(rows.orderBy(sampling.drawn(0, KEY), *KEY).limit(TRAINING), "training")
+def _drawn(rows: DataFrame, n: int = TRAINING) -> DataFrame:
+    return staged(rows.orderBy(sampling.drawn(0, KEY), *KEY).limit(n), "training")
 
 
 def _by_file(rows: DataFrame) -> DataFrame:
@@ -49,7 +49,7 @@ def density(spark, sf_dir):
 def communities(spark, sf_dir):
     """Communities of drawn events' neighbour graph, then of all events by vote."""
     rows = _features(spark, sf_dir)
-    out = clustering.clusterer("communities", knn=20).fit(_drawn(rows), "event", "vec").predict(rows, "vec")
+    out = clustering.clusterer("communities", knn=20).fit(_drawn(rows, 1000), "event", "vec").predict(rows, "vec")
     return out.groupBy("file_id", "cluster").agg(F.count("*").alias("n"), F.round(F.avg("prob"), 6).alias("share"))
 
 
@@ -61,7 +61,7 @@ def _gater(**more) -> gating.EventGater:
 def gater_readout(spark, sf_dir):
     """The whole chain fitted on all files and applied to them: population metrics by file and gate."""
     ev = events(spark, sf_dir)
-    model = _gater(clusterer="som", clustererOptions={"width": 6, "height": 6, "n_clusters": 10}).fit(ev)
+    model = _gater(clusterer="som", clustererOptions={"width": 6, "height": 6, "n_clusters": 10, "epochs": 6}).fit(ev)
     out = model.readouts(ev)
     return out.withColumns({c: F.round(c, 6) for c in ("pos_fraction", "median_raw", "median_t", "median_shift", "median_ratio", "fluorescence_index")})
 

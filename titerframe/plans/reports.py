@@ -124,7 +124,7 @@ def excluded(spark, sf_dir):
 
 
 def regions(spark, sf_dir):
-    return reports.evaluation_region(_pixels(spark, sf_dir).where("label % 25 > 5"), IMG, 2, 40, 40)
+    return reports.evaluation_region(_pixels(spark, sf_dir), IMG, 2, 40, 40)
 
 
 def circles(spark, sf_dir):
@@ -220,7 +220,7 @@ r AS (SELECT *, CASE WHEN n <> 3 OR k <> 1 THEN 'missing_or_conflicting_annotati
 SELECT c AS "case", votes, reason, CASE WHEN reason IS NULL THEN CAST(nd AS INTEGER) END AS n_distinct, CASE WHEN reason IS NULL THEN CASE WHEN n2 = 2 THEN 2 WHEN n4 = 2 THEN 4 END END AS majority, CASE WHEN reason IS NULL THEN CASE WHEN nd = 3 THEN 'three_way' ELSE 'two_vs_one' END END AS kind
 FROM r WHERE reason IS NOT NULL OR (n2 > 0 AND n4 > 0)"""),
     "flt_excluded": (excluded, "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')"),
-    "flt_region": (regions, f"WITH {_px('a')} SELECT image, greatest(0, min(y) - 2) AS top, greatest(0, min(x) - 2) AS \"left\", least(40, max(y) + 3) AS bottom, least(40, max(x) + 3) AS \"right\" FROM a WHERE label % 25 > 5 GROUP BY image"),
+    "flt_region": (regions, f"WITH {_px('a')} SELECT image, greatest(0, min(y) - 2) AS top, greatest(0, min(x) - 2) AS \"left\", least(40, max(y) + 3) AS bottom, least(40, max(x) + 3) AS \"right\" FROM a WHERE label > 0 GROUP BY image"),
     "val_clean_circles": (circles, "WITH c AS (SELECT l_suppkey % 8 AS image, l_orderkey || '-' || l_linenumber AS id, CAST(l_partkey % 60 - 10 AS DOUBLE) AS x, CAST(l_suppkey % 60 - 10 AS DOUBLE) AS y FROM lineitem) SELECT image, id, x AS roi_x_px, y AS roi_y_px FROM c WHERE NOT (x + 8 <= 0 OR y + 8 <= 0 OR x >= 40 OR y >= 40) QUALIFY row_number() OVER (PARTITION BY image, x, y ORDER BY id) = 1"),
     "val_instance_scores": (instances, f"""{_PAIRS}, n AS (SELECT image, (SELECT count(*) FROM ta WHERE ta.image = m.image) AS n_truth, (SELECT count(*) FROM pb WHERE pb.image = m.image) AS n_predicted FROM (SELECT DISTINCT image FROM a) m), g AS (SELECT n.*, CAST(t AS DOUBLE) AS threshold FROM n, (VALUES (0.51::DOUBLE), (0.6), (0.7)) v(t)),
 h AS (SELECT g.*, count(*) FILTER (i / (ta + pa - i) >= threshold) AS tp, coalesce(sum(i / (ta + pa - i)) FILTER (i / (ta + pa - i) >= threshold), 0) AS tot FROM g LEFT JOIN io USING (image) GROUP BY ALL), k AS (SELECT *, n_predicted - tp AS fp, n_truth - tp AS fn FROM h)

@@ -1,25 +1,35 @@
 """Flow cytometry standard files as Spark data sources.
 
-``spark.read.format("fcs")`` gives events in long rows (file, event_idx, channel values as an array), and
-``format("fcs-text")`` a row per file with its keywords, reading only the header and TEXT segment. Files are read by
-tasks, one file a partition; options: path (a folder or file, in any file system that Spark's ``binaryFile`` reads is
-served by :func:`read_events` instead).
+``spark.read.format("fcs")`` gives events in long rows (file, event_idx, channel values as an array), a file a partition;
+``format("fcs-ranges")`` (see :func:`read_ranges`) gives chosen channels as columns and reads a file by ranges of bytes in
+several tasks; ``format("fcs-text")`` is a row per file with its keywords and reads only the header and TEXT segment. All
+yield Arrow batches. The path is a folder or a file in any file system that Arrow opens by its scheme (local, hdfs, s3,
+gs); :func:`read_events` goes by Spark's ``binaryFile`` instead.
 """
 
 from __future__ import annotations
 
-import glob
+import fnmatch
+import json
 import os
+import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 TEXT_SCHEMA = "file string, keywords map<string,string>, channels array<struct<number:int,pnn:string,pns:string,png:double,pnr:double,decades:double,log0:double>>, n_events long"
 EVENT_SCHEMA = "file string, event_idx long, channels array<string>, values array<float>"
+_TEXT_ARROW = pa.schema([
+    ("file", pa.string()), ("keywords", pa.map_(pa.string(), pa.string())),
+    ("channels", pa.list_(pa.struct([("number", pa.int32()), ("pnn", pa.string()), ("pns", pa.string()), ("png", pa.float64()), ("pnr", pa.float64()), ("decades", pa.float64()), ("log0", pa.float64())]))), ("n_events", pa.int64()),
+])
 _ROWS = 20_000
 
 
@@ -48,27 +58,54 @@ def channel_table(keywords: dict[str, str]) -> list[dict]:
     return out
 
 
+def record_type(keywords: dict[str, str]) -> np.dtype:
+    """NumPy type of one event: a field per channel, of its own width; widths and types that can't be read raise."""
+    order = "<" if keywords.get("$BYTEORD", "1,2,3,4").startswith("1") else ">"
+    kind, n = keywords.get("$DATATYPE", "F").upper(), int(keywords["$PAR"])
+    if keywords.get("$MODE", "L").upper() != "L":
+        raise ValueError(f"mode {keywords['$MODE']} is not list mode")
+    fields = []
+    for i in range(1, n + 1):
+        bits = int(keywords[f"$P{i}B"])
+        allowed = {"F": {32: "f4"}, "D": {64: "f8"}, "I": {8: "u1", 16: "u2", 32: "u4", 64: "u8"}}.get(kind, {})
+        if bits not in allowed:
+            raise ValueError(f"channel {i} of type {kind} has {bits} bits")
+        fields.append((f"c{i}", order + allowed[bits]))
+    return np.dtype(fields)
+
+
+def data_start(header: bytes, keywords: dict[str, str]) -> int:
+    """Where the events begin: as the header says, or the keywords where it says 0."""
+    first, last = int(header[26:34] or 0), int(header[34:42] or 0)
+    return first if last else int(keywords["$BEGINDATA"])
+
+
+def as_matrix(records: np.ndarray) -> np.ndarray:
+    """Records of :func:`record_type` as float32, a column per channel."""
+    out = np.empty((len(records), len(records.dtype.names)), np.float32)
+    for i, name in enumerate(records.dtype.names):
+        out[:, i] = records[name]
+    return out
+
+
 def parse_events(data: bytes, keywords: dict[str, str]) -> np.ndarray:
-    """Event matrix as float32; list mode with one type for all channels."""
-    first, last = int(data[26:34] or 0), int(data[34:42] or 0)
-    if not last:
-        first, last = int(keywords["$BEGINDATA"]), int(keywords["$ENDDATA"])
-    n, order = int(keywords["$PAR"]), "<" if keywords.get("$BYTEORD", "1,2,3,4").startswith("1") else ">"
-    kind = keywords.get("$DATATYPE", "F").upper()
-    bits = int(keywords["$P1B"])
-    dtype = {"F": "f4", "D": "f8"}.get(kind) or f"u{bits // 8}"
-    events = int(keywords["$TOT"])
-    flat = np.frombuffer(data[first : last + 1], order + dtype, count=events * n)
-    return flat.reshape(events, n).astype(np.float32)
+    """Event matrix as float32; list mode, a width of its own for every channel."""
+    return as_matrix(np.frombuffer(data, record_type(keywords), int(keywords["$TOT"]), data_start(data, keywords)))
 
 
 def scaled(events: np.ndarray, channels: list[dict], truncate: bool = True, timestep: float = 1.0) -> np.ndarray:
     """Range, rows that are not finite, time, logarithmic scale and gain, in this order."""
+    return scaled_rows(events, channels, truncate, timestep)[0]
+
+
+def scaled_rows(events: np.ndarray, channels: list[dict], truncate: bool, timestep: float) -> tuple[np.ndarray, np.ndarray]:
+    """What :func:`scaled` gives, and the places of the rows that are left."""
     x = events.astype(np.float64)
     tops = np.array([c["pnr"] for c in channels])
     if truncate:
         x = np.minimum(x, tops)
-    x = x[np.isfinite(x).all(1)]
+    left = np.flatnonzero(np.isfinite(x).all(1))
+    x = x[left]
     for i, c in enumerate(channels):
         if c["pnn"].lower() == "time":
             x[:, i] *= timestep
@@ -76,7 +113,7 @@ def scaled(events: np.ndarray, channels: list[dict], truncate: bool = True, time
             x[:, i] = 10 ** (c["decades"] * x[:, i] / c["pnr"]) * c["log0"]
         elif c["png"] not in (0.0, 1.0):
             x[:, i] /= c["png"]
-    return x.astype(np.float32)
+    return x.astype(np.float32), left
 
 
 def write_fcs(events: np.ndarray, names: list[str], keywords: dict[str, str] | None = None, ranges: float = 262144.0) -> bytes:
@@ -93,36 +130,89 @@ def write_fcs(events: np.ndarray, names: list[str], keywords: dict[str, str] | N
     return head.encode().ljust(begin) + text.encode() + data
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+def _listed(path: str) -> list[tuple[str, int]]:
+    """The .fcs files under a folder, or a file, with their sizes, in any file system that Arrow knows by the path's scheme."""
+    if re.search(r"[*?\[]", path):  # a pattern of names in one folder
+        folder, _, pattern = path.rpartition("/")
+        return [(p, n) for p, n in _listed(folder) if p.rpartition("/")[0].endswith(folder.rstrip("/")) and fnmatch.fnmatch(p.rpartition("/")[2], pattern)]
+    system, at = _system(path)
+    info = system.get_file_info(at)
+    if info.type == pafs.FileType.File:
+        return [(path, info.size)]
+    root = path[: len(path) - len(at)] if path.endswith(at) else ""
+    found = system.get_file_info(pafs.FileSelector(at, recursive=True))
+    return sorted((root + f.path, f.size) for f in found if f.type == pafs.FileType.File and f.path.lower().endswith(".fcs"))
 
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict, events: bool):
-        self.options, self.events = options, events
+def _system(path: str) -> tuple[pafs.FileSystem, str]:
+    if re.match(r"[a-z][a-z0-9+.-]*:", path):
+        return pafs.FileSystem.from_uri(path)
+    return pafs.LocalFileSystem(), os.path.abspath(path)
 
-    def partitions(self) -> list[_File]:
-        path = self.options["path"].removeprefix("file://")
-        return [_File(p) for p in sorted(glob.glob(os.path.join(path, "**", "*.fcs"), recursive=True) if os.path.isdir(path) else glob.glob(path))]
 
-    def read(self, partition: _File) -> Iterator[tuple]:
+def _opening(path: str) -> tuple[pa.NativeFile, bytes, dict[str, str]]:
+    """An open file, its header and its keywords; only these are read."""
+    system, at = _system(path)
+    f = system.open_input_file(at)
+    header = f.read_at(58, 0)
+    return f, header, parse_text(f.read_at(int(header[18:26]) + 1, 0))
+
+
+@dataclass
+class _Range(InputPartition):
+    """Events ``first`` to ``first + n`` of a file; all of them where n is negative."""
+
+    path: str
+    first: int = 0
+    n: int = -1
+
+
+class _Reader(DataSourceReader):
+    """Reads headers on the driver, and events by ranges of bytes in tasks, as Arrow batches of at most ``_ROWS`` rows."""
+
+    def __init__(self, options: dict, kind: str):
+        self.options, self.kind = options, kind
+
+    def partitions(self) -> list[_Range]:
+        files = _listed(self.options["path"])
+        if self.kind != "ranges":
+            return [_Range(p) for p, _ in files]
+        rows, out = int(self.options.get("rowsPerPartition", 1_000_000)), []
+        for path, _ in files:
+            f, _, kw = _opening(path)
+            f.close()
+            total = int(kw["$TOT"])
+            out += [_Range(path, at, min(rows, total - at)) for at in range(0, total, rows)]
+        return out
+
+    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
         name = os.path.basename(partition.path)
-        with open(partition.path, "rb") as f:
-            if not self.events:
-                head = f.read(58)
-                f.seek(0)
-                data = f.read(int(head[18:26]) + 1)
-                kw = parse_text(data)
-                yield name, kw, [tuple(c.values()) for c in channel_table(kw)], int(kw.get("$TOT", 0))
+        f, header, kw = _opening(partition.path)
+        with f:
+            channels = channel_table(kw)
+            if self.kind == "text":
+                row = {"file": name, "keywords": list(kw.items()), "channels": channels, "n_events": int(kw.get("$TOT", 0))}
+                yield pa.RecordBatch.from_pylist([row], schema=_TEXT_ARROW)
                 return
-            data = f.read()
-        kw = parse_text(data)
-        channels = channel_table(kw)
-        names = [c["pnn"] for c in channels]
-        x = scaled(parse_events(data, kw), channels, self.options.get("truncate", "true") == "true", float(kw.get("$TIMESTEP", 1) or 1))
-        for i, row in enumerate(x.tolist()):
-            yield name, i, names, row
+            record, start = record_type(kw), data_start(header, kw)
+            truncate, step = self.options.get("truncate", "true") == "true", float(kw.get("$TIMESTEP", 1) or 1)
+            names = [c["pnn"] for c in channels]
+            wanted = json.loads(self.options["channels"]) if self.kind == "ranges" else names
+            at = [names.index(c) for c in wanted]
+            end = int(kw["$TOT"]) if partition.n < 0 else partition.first + partition.n
+            kept = 0
+            for lo in range(partition.first, end, _ROWS):
+                n = min(_ROWS, end - lo)
+                data = f.read_at(n * record.itemsize, start + lo * record.itemsize)
+                x, left = scaled_rows(as_matrix(np.frombuffer(data, record, n)), channels, truncate, step)
+                files = pa.array([name]).take(pa.array(np.zeros(len(x), np.int32)))
+                if self.kind == "ranges":
+                    arrays = [files, pa.array(lo + left), *(pa.array(x[:, i].astype(np.float64)) for i in at)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["file", "position", *wanted])
+                else:  # numbered as rows that are left
+                    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(names)), v) for v in (pa.array(names * len(x), pa.string()), pa.array(x.ravel()))]
+                    yield pa.RecordBatch.from_arrays([files, pa.array(np.arange(kept, kept + len(x))), *lists], names=["file", "event_idx", "channels", "values"])
+                    kept += len(x)
 
 
 class FcsSource(DataSource):
@@ -134,7 +224,7 @@ class FcsSource(DataSource):
         return EVENT_SCHEMA
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options, True)
+        return _Reader(self.options, "events")
 
 
 class FcsTextSource(DataSource):
@@ -146,12 +236,33 @@ class FcsTextSource(DataSource):
         return TEXT_SCHEMA
 
     def reader(self, schema) -> _Reader:
-        return _Reader(self.options, False)
+        return _Reader(self.options, "text")
+
+
+class FcsRangesSource(DataSource):
+    @classmethod
+    def name(cls) -> str:
+        return "fcs-ranges"
+
+    def schema(self) -> str:
+        return "file string, position long" + "".join(f", `{c}` double" for c in json.loads(self.options["channels"]))
+
+    def reader(self, schema) -> _Reader:
+        return _Reader(self.options, "ranges")
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(FcsSource)
-    spark.dataSource.register(FcsTextSource)
+    for source in (FcsSource, FcsTextSource, FcsRangesSource):
+        spark.dataSource.register(source)
+
+
+def read_ranges(spark: SparkSession, path: str, channels: list[str], rows: int = 1_000_000, truncate: bool = True) -> DataFrame:
+    """Wide events (file, position, a column per channel), a file by as many tasks as it has ranges of ``rows`` events.
+
+    ``position`` is the event's place in its file; events that are not finite are left out, so there are gaps.
+    """
+    register(spark)
+    return spark.read.format("fcs-ranges").options(channels=json.dumps(channels), rowsPerPartition=rows, truncate=str(truncate).lower()).load(path)
 
 
 def read_events(spark: SparkSession, path: str, channels: list[str], truncate: bool = True) -> DataFrame:
