@@ -147,6 +147,16 @@ def test_sorted_lists_stop_early_and_keep_ties():
     assert (score[number == 0] == (rows[at[number == 0]] @ every[0]) * 2.0**30).all()
 
 
+def test_top_k_refuses_scores_that_are_not_exact(spark):
+    rows = [(i, [float(2**25 + i), 1.0]) for i in range(30)]
+    for data in (rows, [(0, [1e18]), (1, [2.0])]):
+        with pytest.raises(ValueError, match="exactly"):
+            topk.exact_top_k(spark.createDataFrame(data, SCHEMA))
+    fine = [(i, [float(2**20 + i), 1.0]) for i in range(30)]
+    got = [r.score for r in topk.exact_top_k(spark.createDataFrame(fine, SCHEMA), k=1).orderBy("query_id").collect()]
+    assert got == [(64 * 2**20) * 64 * (2**20 + 29) + 64 * 64, 64 * (2**20 + 20) * 64 * (2**20 + 29) + 64 * 64]
+
+
 def test_top_k_of_few_rows_and_repeated_ids(spark):
     rows = [(0, [1.0, 0.5]), (20, [1.0, 0.5]), (20, [1.0, 0.5]), (3, [-1.0, 0.0]), (4, [100.0, 3.0]), (0, [1.0, 0.5])]
     got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_top_k(spark.createDataFrame(rows, SCHEMA), k=3).collect()]

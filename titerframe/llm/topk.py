@@ -138,7 +138,8 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     A component x counts as floor(scale * x). Queries are the rows whose id is divisible by ``every``; all rows but
     those of the query's id are candidates; fewer candidates give fewer rows; ties go to the smaller id. Null ids,
     vectors that are null, empty or hold null or non-finite components, and those of an unusual dimension take no part.
-    Repeated rows are candidates each. An empty table gives no rows.
+    Repeated rows are candidates each. An empty table gives no rows. Vectors whose squared length (after scaling) reaches
+    2^53 raise: their products could not be summed exactly.
     """
     spark = vectors.sparkSession
     with scratch(spark):
@@ -151,9 +152,11 @@ def _exact_top_k(vectors: DataFrame, id_col: str, vec_col: str, every: int, k: i
     rows = take_part(vectors, id_col, vec_col, zero=True).select("id", F.transform("vec", lambda x: F.floor(x * scale)).alias("v"))
     norm = F.aggregate("v", F.lit(0.0), lambda total, x: total + x.cast("double") * x)
     rows = materialize(rows.withColumn("norm", norm), "topk-rows")
-    shape = rows.agg(F.max(F.size("v")), F.percentile_approx("norm", [i / NORMS for i in range(1, NORMS)], F.lit(1000))).first()
+    shape = rows.agg(F.max(F.size("v")), F.percentile_approx("norm", [i / NORMS for i in range(1, NORMS)], F.lit(1000)), F.max("norm")).first()
     if shape[0] is None:
         return spark.createDataFrame([], f"query_id long, rank int, `{id_col}` long, score long")
+    if shape[2] >= 2.0**53:  # no product exceeds the largest square, so sums below are exact in doubles
+        raise ValueError(f"vectors of a squared length of {shape[2]:g}: their scores can't be held exactly")
     dims, edges = shape[0], sorted(set(shape[1]))
 
     # blocks hold rows of one class of norms, the largest norms last; a class of many rows has many blocks
