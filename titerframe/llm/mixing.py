@@ -88,7 +88,8 @@ def apply_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: rows of ``docs`` as often as taken, the one cut document of a source by its head.
 
     A document taken k times whole gives k rows; a rest below its size gives one more row with that many words.
-    Documents of which nothing is taken go. Column set and order are those of ``docs``.
+    Documents of which nothing is taken go, so do null, empty and blank texts. Column set and order are those of ``docs``,
+    whatever they are called; repeated rows are taken each; an empty table stays empty.
     """
     text = options.get("text_col", "text")
     mixed = mix(docs, carry=True, **options).where("taken > 0")

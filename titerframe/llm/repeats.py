@@ -438,7 +438,8 @@ def drop_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def keep_unrepeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """``docs`` with the repeated bytes gone from its texts; rows and columns stay, null texts too.
 
-    A column n_chars follows a text that changed.
+    A column n_chars follows a text that changed. Rows that repeat, or share an id or have none, each keep what is left of
+    their own text (copies of 200 bytes or more lose all of them); an empty table stays empty.
     """
     rest = [c for c in docs.columns if c != text_col]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.struct(*rest, F.col(text_col).isNull().alias("__null")).alias("__row"))

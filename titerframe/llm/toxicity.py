@@ -248,7 +248,11 @@ def score_toxicity(docs: DataFrame, model: ToxicSegments, id_col: str = "doc_id"
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = TOXIC, **options) -> DataFrame:
-    """``docs`` without its toxic rows; columns stay."""
+    """``docs`` without its toxic rows; columns stay, whatever they are called.
+
+    Rows that repeat, or share an id or have none, are judged each by their text; null and empty texts are judged as texts
+    without passages; an empty table stays empty. Labels of ids that ``docs`` lacks say nothing.
+    """
     model = fit_toxicity(docs, labels, id_col, text_col, **options)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*docs.columns).alias("__row"))
     return score_toxicity(rows, model, "id", "text", threshold, carry=True).where("predicted = 0").select("__row.*")
