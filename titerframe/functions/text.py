@@ -131,3 +131,33 @@ def canonical_metric(name: Column, aliases: dict[str, tuple[str, ...]]) -> Colum
     pairs = [F.lit(x) for canonical, names in aliases.items() for a in dict.fromkeys(plain(n) for n in (canonical, *names)) for x in (a, canonical)]
     known = F.create_map(*pairs)
     return F.coalesce(F.try_element_at(known, low), F.nullif(low, F.lit("")))
+
+
+#: Gates that come first in a report. Fixed values.
+FIRST_GATES = ("All Cells", "Singlets", "Lymphocytes")
+
+
+def gate_rank(gate: Column) -> Column:
+    """What gates are ordered by: the three broad ones first, then by name whatever its case."""
+    rank = F.array_position(F.array(*map(F.lit, FIRST_GATES)), gate) - 1
+    return F.struct(F.when(rank >= 0, rank).otherwise(len(FIRST_GATES)).alias("rank"), F.lower(gate).alias("name"))
+
+
+def formatted(x: Column, digits: int = 2, suffix: str = "") -> Column:
+    """A number with fixed digits, ``-`` if it is missing or not finite."""
+    v = F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(None)).otherwise(x)
+    return F.when(v.isNull(), "-").otherwise(F.concat(F.format_string(f"%.{digits}f", v.cast("double")), F.lit(suffix)))
+
+
+def percent_with_range(value: Column, low: Column, high: Column, span: Column, digits: int = 1) -> Column:
+    """A percentage with its range behind it: both ends if they are known, else the width, else alone."""
+    main = formatted(value, digits, "%")
+    both = F.concat(main, F.lit(" (range: "), formatted(low, digits), F.lit("-"), formatted(high, digits, "%)"))
+    width = F.concat(main, F.lit(" (range: "), formatted(span, digits, "%)"))
+    known = lambda c: c.isNotNull() & ~F.isnan(c)
+    return F.when(known(low) & known(high), both).when(known(span), width).otherwise(main)
+
+
+def decoded(data: Column) -> Column:
+    """Bytes as trimmed text: UTF-8, or Latin-1 where that is not valid; null is empty."""
+    return F.trim(F.coalesce(F.when(F.is_valid_utf8(data.cast("string")), F.decode(data, "UTF-8")).otherwise(F.decode(data, "ISO-8859-1")), F.lit("")))

@@ -78,7 +78,13 @@ def explode_gates(df: DataFrame, gates: dict[str, Column]) -> DataFrame:
 
 def outlier_threshold(df: DataFrame, keys: list[str], score: str, q: float = 0.99) -> DataFrame:
     """Quantile of training scores; infinite where there are none."""
-    return df.groupBy(*keys).agg(F.coalesce(A.quantile(F.col(score), q), F.lit(float("inf"))).alias("threshold"))
+    from .statistics import exact_quantiles
+
+    found = exact_quantiles(df, keys, score, [q]).select(*keys, F.col("x").alias("threshold"))
+    if not keys:
+        return found.agg(F.coalesce(F.max("threshold"), F.lit(float("inf"))).alias("threshold"))
+    groups = df.select(*keys).distinct().join(found, keys, "left")
+    return groups.select(*keys, F.coalesce("threshold", F.lit(float("inf"))).alias("threshold"))
 
 
 def coverage_prefix(df: DataFrame, keys: list[str], order: list, share: str, target: float = 0.85) -> DataFrame:

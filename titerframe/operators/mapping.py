@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions.numeric import finite
+from .statistics import exact_quantiles
 
 #: Largest value of an integer image by dtype. Fixed values.
 DTYPE_MAX = {"bool": 1.0, "uint8": 255.0, "int16": 32767.0, "uint16": 65535.0}
@@ -22,9 +23,8 @@ def piecewise_linear(x: Column, knots: list[tuple[float, float]]) -> Column:
 
 
 def quantile_knots(df: DataFrame, keys: list[str], value: str, quantiles: list[float]) -> DataFrame:
-    """Quantiles per group as rows (keys, q, x), made monotone by a running maximum."""
-    qs = F.array(*[F.lit(float(q)) for q in quantiles])
-    rows = df.groupBy(*keys).agg(F.percentile(finite(F.col(value)), qs).alias("xs")).select(*keys, F.explode(F.arrays_zip(qs.alias("q"), F.col("xs").alias("x"))).alias("z")).select(*keys, "z.q", "z.x")
+    """Quantiles per group of any size as rows (keys, q, x), made monotone by a running maximum."""
+    rows = exact_quantiles(df, keys, value, quantiles)
     return rows.withColumn("x", F.max("x").over(Window.partitionBy(*keys).orderBy("q")))
 
 
@@ -76,7 +76,9 @@ def feature_gap(df: DataFrame, group: str, real: str, synthetic: str, value: str
     """How far a synthetic group's feature is from the real one's: median gap in real deviations, ratio, overlap of 10-90 %."""
     v = F.col(value)
     side = {"r": F.col(group) == real, "s": F.col(group) == synthetic}
-    g = df.agg(*[x for n, c in side.items() for x in (A.median(v, c).alias(f"m_{n}"), A.sd(v, c).alias(f"sd_{n}"), A.quantile(v, 0.1, c).alias(f"lo_{n}"), A.quantile(v, 0.9, c).alias(f"hi_{n}"))])
+    found = exact_quantiles(df.where(side["r"] | side["s"]), [group], value, [0.1, 0.5, 0.9])
+    found = found.agg(*[F.max(F.when(c & (F.col("q") == q), F.col("x"))).alias(f"{k}_{n}") for n, c in side.items() for k, q in (("lo", 0.1), ("m", 0.5), ("hi", 0.9))])
+    g = df.agg(*[A.sd(v, c).alias(f"sd_{n}") for n, c in side.items()]).crossJoin(F.broadcast(found))  # one row each
     shared = F.greatest(F.least("hi_r", "hi_s") - F.greatest("lo_r", "lo_s"), F.lit(0.0))
     whole = F.greatest("hi_r", "hi_s") - F.least("lo_r", "lo_s")
     return g.select(((F.col("m_s") - F.col("m_r")) / F.when(F.col("sd_r") > 0, F.col("sd_r"))).alias("z"), (F.col("m_s") / F.when(F.col("m_r") != 0, F.col("m_r"))).alias("ratio"), (shared / F.when(whole > 0, whole)).alias("overlap"))

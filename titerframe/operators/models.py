@@ -137,11 +137,11 @@ def label_clusters(events: DataFrame, cluster: str, markers: dict[str, float], f
     return stats.select("cluster", "n", label.alias("population"))
 
 
-def neighbour_vote(rows: DataFrame, training: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 15, max_training: int = 200_000) -> DataFrame:
+def neighbour_vote(rows: DataFrame, training: DataFrame, id_col: str, vec_col: str, label_col: str, k: int = 15, max_training: int = 200_000, without_self: bool = False) -> DataFrame:
     """Label by majority of the k nearest training rows, with the vote's share and the outlier score 1 - share.
 
     The training set is a bounded sample and its size is checked; it goes to every task as a matrix, and rows are
-    scored in blocks. Vectors that are null or of another dimension get nulls. Equal distances go to the smaller training id, equal votes to the smaller label.
+    scored in blocks. Vectors that are null or of another dimension get nulls. Equal distances go to the smaller training id, equal votes to the smaller label. ``without_self``: a row's own id has no vote.
     """
     n = training.count()
     if n > max_training:
@@ -149,6 +149,7 @@ def neighbour_vote(rows: DataFrame, training: DataFrame, id_col: str, vec_col: s
     t = training.select(id_col, vec_col, label_col).where(F.col(vec_col).isNotNull()).orderBy(id_col).toPandas()
     sizes = t[vec_col].map(len)
     t = t[sizes == sizes.mode().max()] if len(t) else t  # of the most frequent dimension
+    ids = t[id_col].to_numpy()
     x, y = np.stack(t[vec_col].to_list()).astype(np.float64) if len(t) else np.empty((0, 0)), t[label_col].to_numpy()
     kind, label_kind = rows.schema[id_col].dataType.simpleString(), training.schema[label_col].dataType.simpleString()
 
@@ -163,6 +164,8 @@ def neighbour_vote(rows: DataFrame, training: DataFrame, id_col: str, vec_col: s
                 part = df.iloc[at : at + 256]
                 q = np.stack(part[vec_col].to_list()).astype(np.float64)
                 d = square[None] - 2 * q @ x.T
+                if without_self:
+                    d[part[id_col].to_numpy()[:, None] == ids[None]] = np.inf
                 near = np.argsort(np.round(d, 9), axis=1, kind="stable")[:, :k]
                 labels, share = [], []
                 for votes in y[near]:

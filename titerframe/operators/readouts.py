@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions.numeric import finite, fluorescence_index, safe_ratio
-from .statistics import control_table
+from .statistics import control_table, exact_quantiles
 
 
 def control_stats(events: DataFrame, gate: str, role: str, raw: str, t: str, **cutoff) -> DataFrame:
@@ -31,10 +31,11 @@ def readouts(events: DataFrame, keys: list[str], gate: str, raw: str, t: str, co
     return _metrics(out, keys)
 
 
-def readouts_of_gates(events: DataFrame, keys: list[str], gates: dict[str, Column], raw: str, t: str, controls: DataFrame) -> DataFrame:
+def readouts_of_gates(events: DataFrame, keys: list[str], gates: dict[str, Column], raw: str, t: str, controls: DataFrame, pooled: bool = False) -> DataFrame:
     """:func:`readouts` for gates that are masks over the same events: conditional aggregates, no row per gate.
 
-    ``controls`` has a row per gate; groups without an event in a gate have no row for it.
+    ``controls`` has a row per gate; groups without an event in a gate have no row for it. ``pooled`` says that a group may
+    hold a share of all events, as a sample of many files does: its medians are then exact selections, not one task's map.
     """
     names = list(gates)
     wide = controls.agg(*[F.max(F.when(F.col("gate") == g, F.col(c))).alias(f"__{c}{i}") for i, g in enumerate(names) for c in ("cutoff", "nc_median_raw", "pc_median_raw")])
@@ -44,12 +45,21 @@ def readouts_of_gates(events: DataFrame, keys: list[str], gates: dict[str, Colum
     for i, mask in enumerate(gates.values()):
         mask = F.coalesce(mask, F.lit(False))
         inside = mask & good
+        medians = [] if pooled else [A.median(F.col(raw), inside).alias("median_raw"), A.median(F.col(t), inside).alias("median_t")]
         aggs.append(F.struct(
             F.lit(names[i]).alias("gate"), F.count_if(mask).alias("rows"), F.count_if(inside).alias("n_events"), F.count_if(inside & (F.col(t) > F.col(f"__cutoff{i}"))).alias("n_pos"),
-            A.median(F.col(raw), inside).alias("median_raw"), A.median(F.col(t), inside).alias("median_t"), F.first(f"__nc_median_raw{i}").alias("nc"), F.first(f"__pc_median_raw{i}").alias("pc"),
+            F.first(f"__nc_median_raw{i}").alias("nc"), F.first(f"__pc_median_raw{i}").alias("pc"), *medians,
         ))
     out = joined.groupBy(*keys).agg(F.array(*aggs).alias("g")).select(*keys, F.explode("g").alias("g")).select(*keys, "g.*").where("rows > 0")
-    return _metrics(out, keys)
+    return _metrics(out.join(_pooled_medians(events, keys, gates, raw, t, good), [*keys, "gate"], "left") if pooled else out, keys)
+
+
+def _pooled_medians(events: DataFrame, keys: list[str], gates: dict[str, Column], raw: str, t: str, good: Column) -> DataFrame:
+    """Medians of both values per keys and gate, by selection."""
+    values = [F.struct(F.lit(g).alias("gate"), F.lit(n).alias("of"), F.when(F.coalesce(mask, F.lit(False)) & good, F.col(c)).alias("v")) for g, mask in gates.items() for n, c in (("raw", raw), ("t", t))]
+    long = events.select(*keys, F.explode(F.filter(F.array(*values), lambda s: s["v"].isNotNull())).alias("m")).select(*keys, "m.*")
+    found = exact_quantiles(long, [*keys, "gate", "of"], "v", [0.5])
+    return found.groupBy(*keys, "gate").agg(*[F.max(F.when(F.col("of") == n, F.col("x"))).alias(f"median_{n}") for n in ("raw", "t")])
 
 
 def _metrics(out: DataFrame, keys: list[str]) -> DataFrame:

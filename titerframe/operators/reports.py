@@ -11,6 +11,7 @@ from ..functions import aggregates as A
 from ..functions.numeric import finite, precision_recall_f1
 from .sampling import sample_per_group
 from .spatial import overlaps
+from .statistics import exact_quantiles
 
 #: Metric columns of validation tables start with one of these. Fixed values.
 METRIC_PREFIXES = ("mask_", "boundary_", "center_", "energy_", "count_error_", "abs_count_error_")
@@ -94,6 +95,52 @@ def file_view(readouts: DataFrame, lines: DataFrame, controls: DataFrame, gate:
     return one.crossJoin(F.broadcast(drawn_lines))  # one row
 
 
+def full_views(
+    events: DataFrame, readouts: DataFrame, controls: DataFrame, file_col: str, role_col: str, row: list[str], x: str, y: str, t: str, gate: str, mask: Column, n_points: int = 500, bins: int = 64
+) -> DataFrame:
+    """A row per file with all that its page shows of a gate: metrics, cutoff, scatter points of the file and of both
+    controls, and the density lines of the file and of the controls over the range of all three.
+
+    Columns: those of ``readouts``, cutoff, points, nc_points, pc_points (arrays of x, y, inside; at most ``n_points``
+    each, drawn by hash), lines (array of series, x, density). Files without an event in the gate have no lines.
+    """
+    controls_only = events.where(F.col(role_col).isin("NC", "PC"))
+    own = plot_points(events, [file_col], row, x, y, mask, n_points)
+    pooled = plot_points(controls_only, [role_col], [file_col, *row], x, y, mask, n_points)
+    sides = pooled.agg(*[F.max_by("points", F.when(F.col(role_col) == r, 1)).alias(f"{r.lower()}_points") for r in ("NC", "PC")])  # two rows
+    inside = events.where(F.coalesce(mask, F.lit(False)))
+    limits = exact_quantiles(inside, [], t, [0.001, 0.999]).agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    limits = limits.withColumn("width", F.when(F.col("hi") > F.col("lo"), (F.col("hi") - F.col("lo")) / bins).otherwise(1.0))
+
+    def lines(rows: DataFrame, keys: list[str], name: Column) -> DataFrame:
+        at = F.floor((finite(F.col(t)) - F.col("lo")) / F.col("width")).cast("int")
+        met = rows.crossJoin(F.broadcast(limits)).withColumn("bin", F.least(at, F.lit(bins - 1)))  # one row of limits
+        counts = met.where((F.col(t) >= F.col("lo")) & (F.col(t) <= F.col("hi"))).groupBy(*keys, "bin", "lo", "width").agg(F.count("*").alias("n"))
+        whole = F.sum("n").over(Window.partitionBy(*keys))
+        counts = counts.withColumn("w", whole).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("bin", (F.col("lo") + (F.col("bin") + 0.5) * F.col("width")).alias("x"), (F.col("n") / F.col("w")).alias("d")))).alias("l"))
+        return counts.select(*keys, F.struct(name.alias("series"), F.transform("l", lambda p: p["x"]).alias("x"), F.transform("l", lambda p: p["d"]).alias("density")).alias("line"))
+
+    mine = lines(inside, [file_col], F.lit("file"))
+    theirs = lines(inside.where(F.col(role_col).isin("NC", "PC")), [role_col], F.col(role_col)).agg(F.sort_array(F.collect_list("line")).alias("controls"))  # two rows
+    view = readouts.where(F.col("gate") == gate).join(controls.where(F.col("gate") == gate).select("gate", "cutoff"), "gate")
+    view = view.join(own, file_col, "left").join(mine, file_col, "left").crossJoin(F.broadcast(sides)).crossJoin(F.broadcast(theirs))  # one row each
+    return view.withColumn("lines", F.when(F.col("line").isNotNull(), F.concat(F.array("line"), F.col("controls")))).drop("line", "controls")
+
+
+def spill_rows(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """Spillover keywords (``n, names, n * n values``) as labelled matrix rows: keys, row, column, value.
+
+    Null, empty and malformed texts give no rows.
+    """
+    parts = F.filter(F.transform(F.split(F.col(text), ","), lambda p: F.trim(p)), lambda p: p != "")
+    rows = texts.select(*keys, parts.alias("__p")).withColumn("__n", F.get("__p", F.lit(0)).try_cast("int"))
+    rows = rows.where((F.col("__n") > 0) & (F.size("__p") == 1 + F.col("__n") + F.col("__n") * F.col("__n")))
+    values = F.slice("__p", F.col("__n") + 2, F.col("__n") * F.col("__n"))
+    rows = rows.select(*keys, "__n", "__p", F.posexplode(values).alias("__at", "__v"))
+    name = lambda i: F.element_at("__p", (i + 2).cast("int"))
+    return rows.select(*keys, name(F.floor(F.col("__at") / F.col("__n"))).alias("row"), name(F.col("__at") % F.col("__n")).alias("column"), F.col("__v").try_cast("double").alias("value"))
+
+
 # ------------------------------------------------------------------------------------------------------------ samples
 
 

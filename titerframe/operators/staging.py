@@ -26,10 +26,14 @@ def staged(df: DataFrame, label: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder, in whatever file system it is."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def unstaged(*tables: DataFrame) -> None:
     """Delete tables made by :func:`staged` that nothing reads any more."""
     for df in tables:
-        context = df.sparkSession.sparkContext
         for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = context._jvm.org.apache.hadoop.fs.Path(parent)
-            path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+            remove_folder(df.sparkSession, parent)

@@ -43,8 +43,10 @@ def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 256, low_q
     The last bin is closed. Values outside the range are not counted.
     """
     x = F.col(value)
-    ranges = df.groupBy(*keys).agg(A.quantile(x, low_q).alias("a"), A.quantile(x, high_q).alias("b"), F.min(finite(x)).alias("least"), F.max(finite(x)).alias("most"))
-    return _counted(df, keys, value, _padded(ranges, pad), bins)
+    ends = exact_quantiles(df, keys, value, [low_q, high_q])
+    ends = ends.groupBy(*keys).agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    extremes = df.groupBy(*keys).agg(F.min(finite(x)).alias("least"), F.max(finite(x)).alias("most"))
+    return _counted(df, keys, value, _padded(_beside(extremes, ends, keys), pad), bins)
 
 
 def _padded(ranges: DataFrame, pad: float) -> DataFrame:

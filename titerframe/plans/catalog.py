@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import cdc, clusters, flow, lookups, pixels, reports, scalar, scores, validation
+from . import cdc, clusters, comparisons, flow, lookups, pixels, reports, scalar, scores, trips, validation
 
 FLAGSHIP = "fcxm_population_readout"
-_MODULES = (flow, cdc, validation, scalar, pixels, lookups, reports, clusters, scores)
+_MODULES = (flow, cdc, validation, scalar, pixels, lookups, reports, clusters, scores, trips, comparisons)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

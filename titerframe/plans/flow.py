@@ -35,11 +35,11 @@ def _nested() -> dict[str, Column]:
     return {"All Cells": F.col("edge"), "Singlets": F.col("edge") & F.col("singlet")}
 
 
-def _nested_readout(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
+def _nested_readout(spark: SparkSession, sf_dir: str, key: str, pooled: bool = False) -> DataFrame:
     """Readouts of nested gates; the gated events are written once and read for the controls and for the readouts."""
     ev = staged(_singlets(spark, sf_dir).select(key, "role", "igg", "t", "edge", "singlet"), "gated")
     controls = readouts.control_stats(gates.explode_gates(ev, _nested()), "gate", "role", "igg", "t")
-    return _rounded(readouts.readouts_of_gates(ev, [key], _nested(), "igg", "t", controls), *METRICS)
+    return _rounded(readouts.readouts_of_gates(ev, [key], _nested(), "igg", "t", controls, pooled), *METRICS)
 
 
 def population_readout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ POPULATION_SQL = f"{_LONG}, {_CUTOFF} SELECT file_id, lg.gate AS gate, {_READ} F
 
 def sample_readout(spark, sf_dir):
     """The same pooled over the files of a sample."""
-    return _nested_readout(spark, sf_dir, "sample")
+    return _nested_readout(spark, sf_dir, "sample", pooled=True)
 
 
 def control_table(spark, sf_dir):
@@ -201,7 +201,8 @@ def gate_long(spark, sf_dir):
 
 
 def mfi_triplet(spark, sf_dir):
-    return events(spark, sf_dir).agg(*[F.round(A.median(F.col("igg"), F.col("role") == r), R).alias(r.lower()) for r in ("NC", "PC", "SAMPLE")])
+    found = statistics.exact_quantiles(events(spark, sf_dir), ["role"], "igg", [0.5])
+    return found.agg(*[F.round(F.max(F.when(F.col("role") == r, F.col("x"))), R).alias(r.lower()) for r in ("NC", "PC", "SAMPLE")])
 
 
 def score_verdicts(spark, sf_dir):

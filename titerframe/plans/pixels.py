@@ -112,7 +112,7 @@ def cluster_labels(spark, sf_dir):
 def knn_vote(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     training = e.where("embedding IS NOT NULL").orderBy(F.xxhash64("vec_id")).limit(TRAINING)
-    return models.neighbour_vote(e, training, "vec_id", "embedding", "label", k=5)
+    return models.neighbour_vote(e, training, "vec_id", "embedding", "label", k=5, without_self=True)
 
 
 def kmeans(spark, sf_dir):

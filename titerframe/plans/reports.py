@@ -23,8 +23,17 @@ def _r(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
+def _spills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A spillover text per region: its nations as channels, ones on the diagonal, shares by key elsewhere."""
+    n = table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("a"))  # a region's nations
+    names, keys = F.transform("a", lambda x: x["n_name"]), F.transform("a", lambda x: x["n_nationkey"])
+    cell = lambda i, j: F.when(i == j, F.lit("1")).otherwise(F.concat(F.lit("0."), F.lpad(((i * 7 + j * 3) % 100).cast("string"), 2, "0")))
+    values = F.flatten(F.transform(keys, lambda i: F.transform(keys, lambda j: cell(i, j))))
+    return n.select("n_regionkey", F.concat_ws(",", F.size("a").cast("string"), names, values).alias("text"))
+
+
 def matrix_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.matrix_rows(spark, ["cd3", "cd19"], [[1.0, 0.2], [0.1, 1.0]])
+    return reports.spill_rows(_spills(spark, sf_dir), ["n_regionkey"], "text")
 
 
 def plot_points(spark, sf_dir):
@@ -191,7 +200,7 @@ io AS (SELECT a.image, a.label AS t, b.label AS p, count(*) AS i, first(ta.ar) A
 ic AS (SELECT a.image, a.label AS t, c.label AS p, count(*) AS i, first(ta.ar) AS ta, first(pc.ar) AS pa FROM a JOIN c USING (image, y, x) JOIN ta ON ta.image = a.image AND ta.label = a.label JOIN pc ON pc.image = a.image AND pc.label = c.label WHERE a.label > 0 AND c.label > 0 GROUP BY 1, 2, 3)"""
 _PART = "CASE WHEN p_partkey % 3 = 0 THEN '' WHEN p_partkey % 3 = 1 THEN p_brand ELSE p_type END"
 QUERIES = {
-    "prj_matrix_rows": (matrix_rows, "SELECT * FROM (VALUES ('cd3', 'cd3', 1.0::DOUBLE), ('cd3', 'cd19', 0.2), ('cd19', 'cd3', 0.1), ('cd19', 'cd19', 1.0)) t(\"row\", \"column\", value)"),
+    "prj_matrix_rows": (matrix_rows, "SELECT a.n_regionkey AS n_regionkey, a.n_name AS \"row\", b.n_name AS \"column\", CASE WHEN a.n_nationkey = b.n_nationkey THEN 1.0::DOUBLE ELSE ((a.n_nationkey * 7 + b.n_nationkey * 3) % 100) / 100.0::DOUBLE END AS value FROM nation a JOIN nation b USING (n_regionkey)"),
     "prj_plot_points": (plot_points, f"""WITH {EVENTS}, s AS (SELECT file_id, l_orderkey, l_linenumber, fsc_a, ssc_a, edge FROM edge QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY {_DRAWN}, l_orderkey, l_linenumber) <= 25)
 SELECT file_id, string_agg(CAST(CAST(round(fsc_a, 2) AS DECIMAL(20, 2)) AS VARCHAR) || ',' || CAST(CAST(round(ssc_a, 2) AS DECIMAL(20, 2)) AS VARCHAR) || ',' || CAST(edge AS VARCHAR), ';' ORDER BY l_orderkey, l_linenumber, fsc_a, ssc_a) AS points FROM s GROUP BY file_id"""),
     "prj_display_labels": (labels, "WITH p AS (SELECT p_partkey AS id, p_brand AS marker, p_size AS panel, CASE WHEN p_partkey % 5 = 0 OR p_type = '' THEN p_brand ELSE p_type END AS own FROM part) SELECT id, CASE WHEN row_number() OVER (PARTITION BY panel, own ORDER BY id) > 1 THEN own || ' (' || marker || ')' ELSE own END AS label FROM p"),

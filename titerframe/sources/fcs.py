@@ -145,6 +145,8 @@ def _listed(path: str) -> list[tuple[str, int]]:
 
 
 def _system(path: str) -> tuple[pafs.FileSystem, str]:
+    if path.startswith("file:"):  # with one slash or three
+        return pafs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
     if re.match(r"[a-z][a-z0-9+.-]*:", path):
         return pafs.FileSystem.from_uri(path)
     return pafs.LocalFileSystem(), os.path.abspath(path)
@@ -265,6 +267,24 @@ def read_ranges(spark: SparkSession, path: str, channels: list[str], rows: int =
     return spark.read.format("fcs-ranges").options(channels=json.dumps(channels), rowsPerPartition=rows, truncate=str(truncate).lower()).load(path)
 
 
+def write_files(events: DataFrame, file_col: str, order: list[str], channels: list[str], path: str, limit: float = 262144.0) -> DataFrame:
+    """Write a float FCS file per value of ``file_col``, its events in ``order``; returns file and n, when it is read.
+
+    A file is one task's; a task that is repeated writes its file again. Null files are left out.
+    """
+    kind = events.schema[file_col].dataType.simpleString()
+
+    def run(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(order, kind="stable")
+        system, at = _system(path)
+        system.create_dir(at, recursive=True)
+        with system.open_output_stream(f"{at}/{df[file_col].iloc[0]}.fcs") as out:
+            out.write(write_fcs(df[channels].to_numpy(np.float32), channels, ranges=limit))
+        return pd.DataFrame({"file": [df[file_col].iloc[0]], "n": [len(df)]})
+
+    return events.where(F.col(file_col).isNotNull()).select(file_col, *order, *channels).groupBy(file_col).applyInPandas(run, f"file {kind}, n long")
+
+
 def read_events(spark: SparkSession, path: str, channels: list[str], truncate: bool = True) -> DataFrame:
     """Wide events (file, event_idx, a column per channel) from any store that Spark reads, via ``binaryFile``."""
 

@@ -66,7 +66,7 @@ def merged_state(updates: DataFrame, job: str, field: str, value: str, time: str
     forgotten. Null fields are left out; a null value overwrites.
     """
     kind = updates.schema[job].dataType.simpleString()
-    rows = updates.where(F.col(field).isNotNull() & F.col(time).isNotNull()).select(F.col(job).alias("job"), F.col(field).cast("string").alias("field"), F.col(value).cast("string").alias("value"), F.col(time).alias("at"))
+    rows = updates.where(F.col(field).isNotNull() & F.col(time).isNotNull()).select(F.col(job).alias("job"), F.col(field).cast("string").alias("field"), F.col(value).cast("string").alias("value"), F.col(time).cast("timestamp").alias("at"))
     rows = rows.withWatermark("at", watermark)
     return rows.groupBy("job").transformWithStateInPandas(
         _Merge(ttl_ms), f"job {kind}, n_updates long, updated_ms long, fields map<string,string>, expired boolean", "Update", "EventTime"
@@ -76,7 +76,7 @@ def merged_state(updates: DataFrame, job: str, field: str, value: str, time: str
 def merged_table(updates: DataFrame, job: str, field: str, value: str, time: str) -> DataFrame:
     """The same state of a batch table: job, n_updates, updated_ms, fields (sorted by name)."""
     rows = updates.where(F.col(field).isNotNull() & F.col(time).isNotNull())
-    at = F.unix_millis(F.col(time))
+    at = F.unix_millis(F.col(time).cast("timestamp"))
     last = rows.groupBy(job, field).agg(F.max_by(F.col(value).cast("string"), F.struct(at, F.coalesce(F.col(value).cast("string"), F.lit("")))).alias("v"), F.count("*").alias("n"), F.max(at).alias("at"))
     fields = F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(field).cast("string"), F.col("v")))))
     return last.groupBy(F.col(job).alias("job")).agg(F.sum("n").alias("n_updates"), F.max("at").alias("updated_ms"), fields.alias("fields"))
