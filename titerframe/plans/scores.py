@@ -108,21 +108,27 @@ _BACK = f"""WITH c AS (
 SELECT folder, well_key, annotator, score, round(frac_pos, 6) AS frac_pos, round(pc_ref, 6) AS pc_ref, round(nc_ref, 6) AS nc_ref, round(corrected, 6) AS corrected, {_CDC.format('corrected')} AS adjusted_score FROM k"""
 _EDGE = "{0}e AS (SELECT p.image, p.y, p.x FROM {0} p WHERE p.label > 0 AND (SELECT count(*) FROM {0} q WHERE q.image = p.image AND abs(q.y - p.y) <= 1 AND abs(q.x - p.x) <= 1 AND q.label > 0) < 9)"
 _RATES = "CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fp = 0 THEN 0.0 ELSE round(tp / (tp + fp), 6) END AS precision, CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN tp + fn = 0 THEN 0.0 ELSE round(tp / (tp + fn), 6) END AS recall, CASE WHEN tp + fp + fn = 0 THEN 1.0 ELSE round(2 * tp / (2 * tp + fp + fn), 6) END AS f1"
-_RANKS = """WITH d AS (SELECT lang, source, CAST((doc_id * 7919) % 10007 AS DOUBLE) - CAST((n_chars * 31 + doc_id) % 9973 AS DOUBLE) AS d FROM documents
-), z AS (SELECT *, rank() OVER (PARTITION BY lang, source ORDER BY abs(d)) + (count(*) OVER (PARTITION BY lang, source, abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY lang, source, abs(d)) AS t FROM d WHERE d <> 0
-), w AS (SELECT lang, source, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS s, sum(t * t - 1) AS ties FROM z GROUP BY ALL
-), n AS (SELECT lang, source, count(*) AS n_paired, count(*) FILTER (d <> 0) AS n FROM d GROUP BY ALL
-), m AS (SELECT n.lang, n.source, n_paired, n, s, ties, abs(s - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE) AS z FROM n LEFT JOIN w ON n.lang IS NOT DISTINCT FROM w.lang AND n.source IS NOT DISTINCT FROM w.source
+def signed_rank_sql(d: str, keys: str, digits: int) -> str:
+    """Signed ranks by ``keys`` of the CTE list ``d``, whose last table is d(keys, d)."""
+    same = " AND ".join(f"{{0}}.{k} IS NOT DISTINCT FROM {{1}}.{k}" for k in keys.split(", "))
+    of = lambda t: ", ".join(f"{t}.{k}" for k in keys.split(", "))
+    return f"""{d}, z AS (SELECT *, rank() OVER (PARTITION BY {keys} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {keys}, abs(d)) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY {keys}, abs(d)) AS t FROM d WHERE d <> 0
+), w AS (SELECT {keys}, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS s, sum(t * t - 1) AS ties FROM z GROUP BY ALL
+), n AS (SELECT {keys}, count(*) AS n_paired, count(*) FILTER (d <> 0) AS n FROM d GROUP BY ALL
+), m AS (SELECT {of('n')}, n_paired, n, s, ties, abs(s - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE) AS z FROM n LEFT JOIN w ON {same.format('n', 'w')}
 ), x AS (SELECT CAST(unnest(range(2001)) AS INTEGER) AS k
 ), p AS (  -- Simpson's rule over the density
-  SELECT lang, source, n_paired, n, s, ties, 1 - 2 * sum((CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * (z * k / 2000) ** 2)) * z / 6000 / sqrt(2 * pi()) AS normal FROM m, x GROUP BY lang, source, n_paired, n, s, ties, z
+  SELECT {keys}, n_paired, n, s, ties, 1 - 2 * sum((CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * (z * k / 2000) ** 2)) * z / 6000 / sqrt(2 * pi()) AS normal FROM m, x GROUP BY {keys}, n_paired, n, s, ties, z
 ), e AS (  -- ways to a sum of ranks, for 0 to 50 pairs
   WITH RECURSIVE c(n, c) AS (SELECT 0, [1.0::DOUBLE] UNION ALL SELECT n + 1, list_transform(range((n + 1) * (n + 2) // 2 + 1), lambda v: coalesce(c[v + 1], 0) + CASE WHEN v > n THEN coalesce(c[v - n], 0) ELSE 0 END) FROM c WHERE n < 50)
   SELECT n, c FROM c)
-SELECT lang, source, n_paired, p.n AS n_nonzero, s AS statistic,
-       CASE WHEN n_paired >= 3 AND s IS NOT NULL THEN round(least(1.0, CASE WHEN ties = 0 AND p.n = n_paired AND p.n <= 50 THEN 2 * list_sum(list_slice(e.c, 1, CAST(s AS BIGINT) + 1)) / 2 ** p.n ELSE normal END), 7) END AS p_value
+SELECT {keys}, n_paired, p.n AS n_nonzero, round(s, 6) AS statistic,
+       CASE WHEN n_paired >= 3 AND s IS NOT NULL THEN round(least(1.0, CASE WHEN ties = 0 AND p.n = n_paired AND p.n <= 50 THEN 2 * list_sum(list_slice(e.c, 1, CAST(s AS BIGINT) + 1)) / 2 ** p.n ELSE normal END), {digits}) END AS p_value
 FROM p LEFT JOIN e ON e.n = p.n"""
 
+
+_RANKS = signed_rank_sql("WITH d AS (SELECT lang, source, CAST((doc_id * 7919) % 10007 AS DOUBLE) - CAST((n_chars * 31 + doc_id) % 9973 AS DOUBLE) AS d FROM documents)", "lang, source", 7)
+
 QUERIES = {
     "cdc_all_classifiers": (all_classifiers, f"{_FIVE} SELECT classifier_method, calib_method, plate, well, n_rois, round(f, 6) AS frac_pos_raw, round(corrected, 6) AS corrected, {_CDC.format('f')} AS score, {_CDC.format('corrected')} AS adjusted_score FROM k"),
     "val_score_backfill": (backfill, _BACK),

@@ -145,6 +145,6 @@ QUERIES = {
     "src_appended_once": (appended_once, "SELECT DISTINCT o_custkey, o_orderstatus FROM orders"),
     "src_documents_by_hash": (documents_by_hash, "SELECT min(n_name) AS id, sha256(r_name) AS sha256, r_name AS body FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name"),
     "snk_payload_round_trip": (payload_round_trip, "SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 11 <> 0 THEN o_totalprice END AS price FROM orders"),
-    "st_merged_state": (merged, "WITH l AS (SELECT user_id, event_type, arg_max(CAST(event_id AS VARCHAR), (epoch_ms(ts), CAST(event_id AS VARCHAR))) AS v, count(*) AS n, max(epoch_ms(ts)) AS at FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2) SELECT user_id AS job, CAST(sum(n) AS BIGINT) AS n_updates, max(at) AS updated_ms, string_agg(event_type || '=' || v, ';' ORDER BY event_type) AS fields FROM l GROUP BY user_id"),
+    "st_merged_state": (merged, "WITH l AS (SELECT user_id, event_type, arg_max(CAST(event_id AS VARCHAR), (epoch_us(ts) // 1000, CAST(event_id AS VARCHAR))) AS v, count(*) AS n, max(epoch_us(ts) // 1000) AS last_ms FROM events WHERE event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2) SELECT user_id AS job, CAST(sum(n) AS BIGINT) AS n_updates, max(last_ms) AS updated_ms, string_agg(event_type || '=' || v, ';' ORDER BY event_type) AS fields FROM l GROUP BY user_id"),
     "rpt_full_view": (full_view, _view_sql()),
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import agreement as G
 from .proxies import EVENTS, events, table
+from .scores import signed_rank_sql
 
 R6 = 6
 
@@ -197,7 +198,7 @@ QUERIES = {
     "val_pooled_tiles": (pooled_tiles, f"{_RUNS} SELECT algorithm, sample, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn, round(sum(f1 * n) / sum(n), 6) AS f1, round(sum(jaccard * n) / sum(n), 6) AS jaccard FROM wt GROUP BY algorithm, sample"),
     "val_overall": (overall, "SELECT CASE WHEN grouping(lang) = 1 THEN 'OVERALL' ELSE lang END AS lang, count(*) AS n, round(avg(n_chars), 6) AS mean_chars FROM documents GROUP BY GROUPING SETS ((lang), ())"),
     "val_consensus_error": (consensus, f"{_RATED}, x AS (SELECT lang, abs(quality - toxic) AS pe, abs((n_chars % 7) / 6 - (quality + toxic) / 2) AS me FROM ra) SELECT CASE WHEN grouping(lang) = 1 THEN 'OVERALL' ELSE lang END AS lang, count(*) AS n, round(avg(pe), 6) AS pair_error, round(avg(pe) / 2, 6) AS human_error, round(avg(me), 6) AS method_error, round(avg(me) / nullif(avg(pe) / 2, 0), 6) AS ratio FROM x GROUP BY GROUPING SETS ((lang), ())"),
-    "val_wilcoxon": (wilcoxon, f"{_RATED}, d AS (SELECT lang, CAST(n_chars % 13 AS DOUBLE) - CAST(n_chars % 11 AS DOUBLE) AS d FROM ra), k AS (SELECT *, rank() OVER (PARTITION BY lang ORDER BY abs(d)) + (count(*) OVER (PARTITION BY lang, abs(d)) - 1) / 2 AS r, count(*) OVER (PARTITION BY lang, abs(d)) AS t FROM d WHERE d <> 0), w AS (SELECT lang, least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS s, count(*) AS n, sum(t * t - 1) AS ties FROM k GROUP BY lang), zz AS (SELECT lang, abs(s - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - ties / 48.0::DOUBLE) AS z FROM w), pv AS (SELECT lang, 1 - 2 * sum((CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * (z * i / 2000) ** 2)) * z / 6000 / sqrt(2 * pi()) AS p FROM zz, range(2001) x(i) GROUP BY lang, z) SELECT d.lang AS lang, count(*) AS n_paired, count(*) FILTER (d <> 0) AS n_nonzero, round(first(s), 6) AS statistic, round(least(1.0, first(p)), 6) AS p_value FROM d LEFT JOIN w USING (lang) LEFT JOIN pv USING (lang) GROUP BY d.lang"),
+    "val_wilcoxon": (wilcoxon, signed_rank_sql(f"{_RATED}, d AS (SELECT lang, CAST(n_chars % 13 AS DOUBLE) - CAST(n_chars % 11 AS DOUBLE) AS d FROM ra)", "lang", 6)),
     "val_average_precision": (ap, f"{_RATED}, h AS (SELECT lang, doc_id, n_chars % 101 AS score, quality = 1 AS hit, sum((quality = 1)::INT) OVER (PARTITION BY lang) AS nt FROM ra), t AS (SELECT *, sum(hit::INT) OVER o AS tp, row_number() OVER o AS k FROM h WINDOW o AS (PARTITION BY lang ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING)), p AS (SELECT lang, score, doc_id, tp / k AS pr, tp / nt AS rc FROM t) SELECT lang, round(sum(st), 6) AS ap FROM (SELECT lang, (rc - coalesce(lag(rc) OVER o, 0)) * (pr + coalesce(lag(pr) OVER o, 1)) / 2 AS st FROM p WINDOW o AS (PARTITION BY lang ORDER BY score DESC, doc_id)) GROUP BY lang"),
     "jn_full_counts": (full_counts, "WITH a AS (SELECT source, count(*) AS n_en FROM documents WHERE lang = 'en' GROUP BY 1), b AS (SELECT source, count(*) AS n_de FROM documents WHERE lang = 'de' GROUP BY 1), c AS (SELECT source, count(*) AS n_fr FROM documents WHERE lang = 'fr' GROUP BY 1) SELECT source, n_en, n_de, n_fr FROM a FULL JOIN b USING (source) FULL JOIN c USING (source)"),
     "agg_pivot_raters": (wide_raters, "SELECT source, " + ", ".join(f"min(n_chars) FILTER (lang = '{x}') AS {x}" for x in ("de", "en", "es", "fr")) + " FROM documents GROUP BY source"),
