@@ -105,6 +105,28 @@ def test_search_finds_neighbours(spark):
     assert hits / total >= 0.9 and {r.query_id for r in got} == set(ids[ids % 100 == 0].tolist())
 
 
+def nearest_by_force(ids, x, every=100, k=10):
+    out = []
+    for q in np.flatnonzero(ids % every == 0):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        order = [i for i in np.lexsort((ids, d)) if i != q][:k]
+        out += [(int(ids[q]), r, int(ids[i]), float(d[i])) for r, i in enumerate(order, 1)]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["offset", "isotropic"])
+def test_search_misses_nothing_where_the_graph_is_poor(spark, kind):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2000, 48))
+    if kind == "offset":  # far from zero, beside one vector of another scale
+        x = 1000 + x
+        x[7] = 1e6
+    ids = np.arange(len(x))
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.search_nearest(df).collect())
+    assert [g[:3] for g in got] == [w[:3] for w in nearest_by_force(ids, x)]
+
+
 def test_search_with_few_candidates(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.0])], SCHEMA)
     assert [(r.query_id, r["rank"], r.vec_id) for r in neighbours.search_nearest(df).orderBy("rank").collect()] == [(0, 1, 2), (0, 2, 1)]

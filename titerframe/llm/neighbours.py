@@ -3,7 +3,8 @@
 Equal vectors are one node. A forest of splitting trees, grown on a bounded sample, deals nodes into small cells whose
 all-pairs give a first graph. NN-descent improves it: around every node its neighbours, in both directions, meet and
 compare with each other, and keep whom they did not know to be near. Queries walk the graph from their own node: the
-nearest nodes not yet expanded are joined to their neighbours until no query improves.
+nearest nodes not yet expanded are joined to their neighbours until no query improves. An exact check follows: what a
+query has found bounds its distances, and cells around pivots that may hold something nearer are measured.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from .vectors import matrix, packed, take_part
 DEGREE, TREES, CELL, ROUNDS, WIDTH, HOPS = 16, 4, 192, 4, 48, 6
 #: Vectors that trees are grown on.
 SAMPLE = 8192
+#: Pivots of the exact check at most, nodes of a cell's block, and nodes for which there is a pivot.
+PIVOTS, BLOCK, PER_PIVOT = 1024, 4096, 256
 #: Share of all links below which new ones end the descent.
 ENOUGH = 0.01
 
@@ -81,7 +84,8 @@ def _met(batches, keys: int, most: int):
         node, first = np.unique(node, return_index=True)
         if len(node) < 2:
             continue
-        far, x = far[first], packed(t.column("vec"), np.float16)[first].astype(np.float32)
+        far, x = far[first], packed(t.column("vec"), np.float32)[first]
+        x = x - x.mean(0)  # products of what is far from zero would lose the differences
         square = (x * x).sum(1)
         dist = np.maximum(square[:, None] + square[None] - 2 * (x @ x.T), 0)
         np.fill_diagonal(dist, np.inf)
@@ -107,19 +111,19 @@ def _nearest(links: DataFrame, degree: int) -> DataFrame:
 
 
 def neighbour_graph(nodes: DataFrame, degree: int = DEGREE, rounds: int = ROUNDS, seed: int = 3) -> DataFrame:
-    """NN-descent graph (a, b, squared distance d) of ``nodes`` (node, vec as float16 bytes)."""
+    """NN-descent graph (a, b, squared distance d) of ``nodes`` (node, vec as float32 bytes)."""
     spark = nodes.sparkSession
     parts = parallelism(spark)
     n = nodes.count()
     if not n:
         return spark.createDataFrame([], "a long, b long, d float")
     sample = nodes.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).toPandas()  # a bounded sample
-    x = np.frombuffer(b"".join(sample["vec"]), np.float16).reshape(len(sample), -1).astype(np.float32)
+    x = np.frombuffer(b"".join(sample["vec"]), np.float32).reshape(len(sample), -1)
     trees = [SplitTree(x, max(2, int(len(x) * CELL / 2 / max(1, n))) if n > CELL else len(x), seed + i) for i in range(TREES)]
 
     def cells(batches):
         for batch in batches:
-            v = packed(batch.column("vec"), np.float16).astype(np.float32)
+            v = packed(batch.column("vec"), np.float32)
             for i, tree in enumerate(trees):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), i)), pa.array(tree.leaf_of(v)), *batch.columns], names=["tree", "leaf", "node", "vec"])
 
@@ -172,15 +176,19 @@ def _search_nearest(vectors: DataFrame, id_col: str, vec_col: str, every: int, k
     first = materialize(first.select("node", "id", "vec"), "ann-copies")
     alone = first.where("node = id").select("node", "vec")
 
+    pivots = alone.orderBy(F.xxhash64("node"), "node").limit(PIVOTS).select("vec").toPandas()["vec"]  # a bounded sample
+    pivots = np.stack(pivots.to_list()).astype(float) if len(pivots) else np.empty((0, 0))
+    # the graph is built on centred vectors, one scale for all nodes
+    centre = pivots.mean(0) if len(pivots) else 0.0
     most = alone.agg(F.max(F.array_max(F.transform("vec", F.abs)))).first()[0]
-    factor = 100.0 / most if most else 1.0  # one scale for all nodes, at which 16 bits lose little
+    factor = 1.0 / most if most else 1.0
 
-    def half(batches):
+    def single(batches):
         for b in batches:
-            v = matrix(b.column("vec")) * factor
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.tobytes() for x in v.astype(np.float16)], pa.binary())], names=["node", "vec"])
+            v = (matrix(b.column("vec")) - centre) * factor if b.num_rows else np.empty((0, 0))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array([x.tobytes() for x in v.astype(np.float32)], pa.binary())], names=["node", "vec"])
 
-    nodes = materialize(alone.mapInArrow(half, "node long, vec binary"), "ann-nodes")
+    nodes = materialize(alone.mapInArrow(single, "node long, vec binary"), "ann-nodes")
     graph = neighbour_graph(nodes, degree, rounds)
     roads = materialize(graph.select("a", "b").union(graph.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "roads")
 
@@ -213,10 +221,90 @@ def _search_nearest(vectors: DataFrame, id_col: str, vec_col: str, every: int, k
         beam = merged
         if not beam.where("open").limit(1).count():
             break
+    beam = _checked(alone, queries, beam, pivots[: max(1, nodes.count() // PER_PIVOT)], k + 1)
     found = beam.select("query_id", "node", "d").join(first.select("node", "id"), "node").where("query_id <> id")
     best = Window.partitionBy("query_id").orderBy("d", "id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), F.col("d").alias("score"))
 
 
+def _checked(alone: DataFrame, queries: DataFrame, found: DataFrame, pivots: np.ndarray, k: int) -> DataFrame:
+    """(query_id, node, d): every query's ``k`` nearest of all nodes, from those it found.
+
+    A node belongs to the cell of its nearest pivot; cells are cut into blocks. What the k-th node found is away bounds a
+    query's distances, so it meets only blocks that the triangle inequality leaves open. Products choose the nodes that
+    are measured, with room for their rounding.
+    """
+    parts = parallelism(alone.sparkSession)
+
+    def away(x: np.ndarray) -> np.ndarray:
+        out = np.empty((len(x), len(pivots)))
+        for i, p in enumerate(pivots):
+            out[:, i] = np.sqrt(((x - p) ** 2).sum(1))
+        return out
+
+    def celled(batches):
+        for b in batches:
+            if b.num_rows:
+                d = away(matrix(b.column("vec")))
+                near = d.argmin(1)
+                yield pa.RecordBatch.from_arrays([pa.array(near, pa.int64()), b.column("node"), b.column("vec"), pa.array(d[np.arange(len(d)), near])], names=["cell", "node", "vec", "off"])
+
+    cells = materialize(alone.mapInArrow(celled, "cell long, node long, vec array<double>, off double"), "ann-cells")
+    sizes = cells.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"), F.max("off").alias("radius"))
+    known = sizes.toPandas()  # a row per pivot at most
+    cell, blocks, radius = known["cell"].to_numpy(int), known["blocks"].to_numpy(int), known["radius"].to_numpy(float)
+    place = F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")
+    cells = cells.join(F.broadcast(sizes.select("cell", "blocks")), "cell").select("cell", place, F.lit(0).cast("long").alias("turn"), "node", "vec", F.lit(0.0).alias("bound"))
+
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy("d", "node"))
+    bound = found.withColumn("r", r).where(F.col("r") == k).select("query_id", F.col("d").alias("bound"))
+    asked = queries.join(bound, "query_id", "left").select("query_id", "q", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+
+    def dealt(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                limit = part.column("bound").to_numpy()
+                d = away(matrix(part.column("q")))[:, cell]
+                # not >, so that what overflowed is met
+                row, i = np.nonzero(~(d - radius > limit[:, None] + 1e-9 * (d + radius)))
+                times = blocks[i]
+                block = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                row, i = np.repeat(row, times), np.repeat(i, times)
+                for lo in range(0, len(row), 8192):
+                    take = pa.array(row[lo : lo + 8192])
+                    yield pa.RecordBatch.from_arrays([pa.array(cell[i[lo : lo + 8192]], pa.int64()), pa.array(block[lo : lo + 8192], pa.int64()), part.column("query_id").take(take), part.column("q").take(take), part.column("bound").take(take)], names=["cell", "block", "node", "vec", "bound"])
+
+    asks = asked.mapInArrow(dealt, "cell long, block long, node long, vec array<double>, bound double")
+    # a block's nodes come first, then the queries by turns, so that no task holds them all
+    asks = asks.withColumn("turn", F.pmod(F.xxhash64("node"), F.lit(queries.count() // BLOCK + 1)) + 1)
+
+    def nearer(batches):
+        for (*_, turn), of in grouped(batches, 3):
+            if not turn:
+                exact_x, node = matrix(of.column("vec")), of.column("node").to_numpy()
+                middle = exact_x.mean(0)
+                x = exact_x - middle
+                square = (x * x).sum(1)
+                continue
+            for lo in range(0, of.num_rows, 256):
+                some = of.slice(lo, 256)
+                exact_q, limit = matrix(some.column("vec")), some.column("bound").to_numpy()
+                q = exact_q - middle
+                own = (q * q).sum(1)
+                about = own[:, None] + square[None] - 2 * (q @ x.T)
+                room = 8 * np.finfo(float).eps * (x.shape[1] + 8) * (own[:, None] + square[None])
+                m = min(k, len(node))
+                upto = np.minimum(limit**2 * (1 + 1e-9), np.partition(about + room, m - 1, axis=1)[:, m - 1])
+                row, col = np.nonzero(~(about - room > upto[:, None]))
+                ids = some.column("node").to_numpy()
+                d = np.concatenate([np.sqrt(((exact_q[row[i : i + 4096]] - exact_x[col[i : i + 4096]]) ** 2).sum(1)) for i in range(0, len(row), 4096)]) if len(row) else np.empty(0)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array(node[col], pa.int64()), pa.array(d, pa.float64())], names=["query_id", "node", "d"])
+
+    met = cells.unionByName(asks).repartition(parts, "cell", "block").sortWithinPartitions("cell", "block", "turn")
+    near = met.mapInArrow(nearer, "query_id long, node long, d double")
+    return near.withColumn("r", r).where(F.col("r") <= k).drop("r")
+
+
 def op5_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search_nearest(table(spark, sf_dir, "embeddings"))
