@@ -184,3 +184,10 @@ def test_neighbour_vote_share(spark):
 def test_tiles_cover_an_image(spark):
     got = [(r.y0, r.x0) for r in one(spark, t=spatial.tile_origins(F.lit(100), F.lit(64), 64, 16)).t]
     assert got == [(0, 0), (36, 0)]
+
+
+def test_every_point_gets_the_label_of_its_own_place(spark):
+    px = spark.createDataFrame([(0, y, x, 10 * y + x + 1) for y in range(3) for x in range(3)] + [(0, 9, 9, 0)], "image int, y int, x int, label long")
+    points = spark.createDataFrame([(0, 1, 0, 0), (0, 1, 2, 2), (0, 2, 4, 2), (0, 3, 9, 9), (1, 4, 0, 0)], "image int, point int, py int, px int")
+    got = sorted((r.image, r.point, r.py, -1 if r.label is None else r.label) for r in spatial.label_at(points, px, ["image"], 2).collect())
+    assert got == [(0, 1, 0, 1), (0, 1, 2, 23), (0, 2, 4, 23), (0, 3, 9, -1), (1, 4, 0, -1)]

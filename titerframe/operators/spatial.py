@@ -84,13 +84,17 @@ def nearest_centroid(points: DataFrame, keys: list[str], cell: float, label: str
 
 
 def label_at(points: DataFrame, pixels: DataFrame, keys: list[str], radius: int) -> DataFrame:
-    """Label under each point (px, py integers), else the nearest labelled pixel's within the radius; null if none."""
+    """Label under each point (px, py integers), else the nearest labelled pixel's within the radius; null if none.
+
+    Every place near a labelled pixel is settled once, so the points meet a table of places, however many they are.
+    """
     offsets = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius]
     steps = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a, b in offsets])).alias("s")
-    looked = points.select("*", steps).withColumns({"y": F.col("py") + F.col("s.dy"), "x": F.col("px") + F.col("s.dx"), "d2": F.col("s.dy") * F.col("s.dy") + F.col("s.dx") * F.col("s.dx")})
-    met = looked.join(pixels.where("label > 0").select(*keys, "y", "x", "label"), [*keys, "y", "x"])
-    found = met.groupBy(*keys, "point").agg(F.min_by("label", F.struct("d2", "label")).alias("label"))
-    return points.join(found, [*keys, "point"], "left")
+    near = pixels.where("label > 0").select(*keys, "y", "x", "label", steps)
+    d2 = F.col("s.dy") * F.col("s.dy") + F.col("s.dx") * F.col("s.dx")
+    places = near.groupBy(*keys, (F.col("y") + F.col("s.dy")).alias("py"), (F.col("x") + F.col("s.dx")).alias("px")).agg(F.min_by("label", F.struct(d2.alias("d2"), F.col("label"))).alias("label"))
+    return points.join(places, [*keys, "py", "px"], "left")
+
 
 
 def rasterise(circles: DataFrame, keys: list[str]) -> DataFrame:
