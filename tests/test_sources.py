@@ -136,3 +136,13 @@ def test_fcs_channels_of_different_widths(spark, tmp_path):
     for bad in ({"$P2B": "12"}, {"$DATATYPE": "F"}, {"$MODE": "H"}):
         with pytest.raises(ValueError):
             fcs.record_type(kw | bad)
+
+
+def test_a_file_of_repeated_row_keys_does_not_depend_on_the_order_of_arrival(spark, tmp_path):
+    rows = [(7, 1, float(v)) for v in range(20)]
+    made = []
+    for name, r in (("a", rows), ("b", rows[::-1])):
+        folder = tmp_path / name
+        fcs.write_files(spark.createDataFrame(r, "f int, i int, x double").coalesce(1), "f", ["i"], ["x"], str(folder)).collect()
+        made.append((folder / "7.fcs").read_bytes())
+    assert made[0] == made[1]

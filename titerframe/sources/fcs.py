@@ -270,12 +270,12 @@ def read_ranges(spark: SparkSession, path: str, channels: list[str], rows: int =
 def write_files(events: DataFrame, file_col: str, order: list[str], channels: list[str], path: str, limit: float = 262144.0) -> DataFrame:
     """Write a float FCS file per value of ``file_col``, its events in ``order``; returns file and n, when it is read.
 
-    A file is one task's; a task that is repeated writes its file again. Null files are left out.
+    Events that ``order`` leaves tied go by their channels, so that a file is the same at every run. A file is one task's; a task that is repeated writes its file again. Null files are left out.
     """
     kind = events.schema[file_col].dataType.simpleString()
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(order, kind="stable")
+        df = df.sort_values([*order, *channels], kind="stable")
         system, at = _system(path)
         system.create_dir(at, recursive=True)
         with system.open_output_stream(f"{at}/{df[file_col].iloc[0]}.fcs") as out:
