@@ -94,3 +94,9 @@ def test_validation_sources(spark, tmp_path):
     assert (d.id, d.n, d.file) == ("x", 2, "j.json")
     body = tables.as_json(spark.createDataFrame([(1, None)], "k int, v string"), ["k"]).first().body
     assert json.loads(body) == {"k": 1, "v": None}
+
+
+def test_points_of_repeated_row_keys_do_not_depend_on_the_order_of_arrival(spark):
+    rows = [(1, 5, float(v), float(-v), v % 2 == 0) for v in range(40)]
+    take = lambda r: reports.plot_points(spark.createDataFrame(r, "f int, i int, x double, y double, g boolean").coalesce(1), ["f"], ["i"], "x", "y", F.col("g"), 10).first().points
+    assert take(rows) == take(rows[::-1]) and [p.x for p in take(rows)] == [float(v) for v in range(10)]

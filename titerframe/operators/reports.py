@@ -30,7 +30,7 @@ def matrix_rows(spark, names: list[str], matrix: list[list[float]]) -> DataFrame
 
 def plot_points(events: DataFrame, keys: list[str], row: list[str], x: str, y: str, gate: Column, n: int) -> DataFrame:
     """Points of a scatter plot per group: at most ``n`` events as an array of (x, y, inside), in row order."""
-    rows = sample_per_group(events.withColumn("__in", F.coalesce(gate, F.lit(False))), keys, row, n)
+    rows = sample_per_group(events.withColumn("__in", F.coalesce(gate, F.lit(False))), keys, row, n, ties=[x, y, "__in"])
     point = F.struct(*row, F.col(x).alias("x"), F.col(y).alias("y"), F.col("__in").alias("inside"))
     points = F.sort_array(F.collect_list(point))  # n at most
     return rows.groupBy(*keys).agg(points.alias("p")).select(*keys, F.transform("p", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"), p["inside"].alias("inside"))).alias("points"))
