@@ -175,3 +175,17 @@ def test_calibration_of_one_population_takes_the_lower_half():
     c, t = models.calibrate_marker(x)
     assert c == pytest.approx(np.quantile(x[x <= np.median(x)], 0.99) / math.sinh(1.0)) and np.isfinite(t)
     assert models.calibrate_marker(x[:50])[0] == 150.0
+
+
+def test_scores_of_a_mixture_are_computed_in_batches(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 1, (200, 2)), rng.normal(4, 1, (100, 2))])
+    model = models.fit_mixture(x, 2)
+    flat = G._flat(model)
+    rows = [(float(a), float(b), flat if i % 7 else None, i % 5 > 0) for i, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "a double, b double, m array<double>, ok boolean")
+    out = G._with_responsibilities(df, [("r", "m", 2, ["a", "b"], "ok")])
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    want = models.responsibilities(x, model)
+    for row, w in zip(out.collect(), want, strict=True):
+        assert (row.r is None) == (row.m is None or not row.ok) and (row.r is None or np.allclose(row.r, w, atol=1e-9))
