@@ -356,3 +356,16 @@ def test_the_chain_refuses_too_few_events_and_unknown_options(measured):
         chain(clusterer="kmeans").fit(measured.where("event < 400"))
     with pytest.raises(KeyError):
         gating.EventGater(options={"nothing": 1})
+
+
+@pytest.mark.parametrize("kind", ["continuous", "tied"])
+def test_nearest_rows_are_those_of_a_stable_sort_without_measuring_all(kind, monkeypatch):
+    rng = np.random.default_rng(3)
+    draw = (lambda n: rng.normal(size=(n, 3))) if kind == "continuous" else (lambda n: rng.integers(0, 4, (n, 3)).astype(float))
+    x, q = draw(1500), draw(3000)
+    measured, plain = [], C._distances
+    monkeypatch.setattr(C, "_distances", lambda a, b: measured.append(len(a) * len(b)) or plain(a, b))
+    at, d = C.NearestRows(x).nearest(q, 9)
+    want = plain(q, x)
+    near = np.argsort(want, axis=1, kind="stable")[:, :9]
+    assert (at == near).all() and (d == np.take_along_axis(want, near, 1)).all() and sum(measured) < len(q) * len(x) / 2
