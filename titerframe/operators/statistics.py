@@ -29,12 +29,27 @@ def robust_z(df: DataFrame, keys: list[str], value: str, out: str, eps: float =
 
 
 def weighted_quantile(df: DataFrame, keys: list[str], value: str, weight: str, q: float, out: str = "quantile") -> DataFrame:
-    """Smallest value at which the running weight reaches q of all weight; weights must be positive."""
+    """Smallest value at which the running weight reaches q of all weight; weights must be positive.
+
+    The different values are dealt out by ranges of their order. Sums of the ranges say in which one the weight is
+    reached, and only its values are put in order by one task.
+    """
     x, w = finite(F.col(value)), finite(F.col(weight))
     rows = df.select(*keys, x.alias("x"), w.alias("w")).where("x IS NOT NULL AND w > 0").groupBy(*keys, "x").agg(F.sum("w").alias("w"))
-    upto = Window.partitionBy(*keys).orderBy("x")
-    rows = rows.withColumns({"cw": F.sum("w").over(upto), "total": F.sum("w").over(Window.partitionBy(*keys))})
-    return rows.groupBy(*keys).agg(F.min(F.when(F.col("cw") >= q * F.col("total"), F.col("x"))).alias(out))
+    rows = staged(rows, "weights")
+    n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), rows.count() // 200_000)
+    rows = staged(rows.repartitionByRange(n, *keys, "x").withColumn("part", F.spark_partition_id()), "weight-ranges")
+    own = Window.partitionBy(*keys)
+    sums = rows.groupBy(*keys, "part").agg(F.sum("w").alias("all"))
+    sums = sums.withColumns({"upto": F.sum("all").over(own.orderBy("part")), "total": F.sum("all").over(own)})
+    sums = sums.withColumns({"least": q * F.col("total"), "before": F.col("upto") - F.col("all")})
+    # the last range where rounding keeps the weight from being reached
+    reached = F.coalesce(F.min(F.when(F.col("upto") >= F.col("least"), F.col("part"))).over(own), F.max("part").over(own))
+    hit = sums.withColumn("hit", reached).where("part = hit").select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("part").alias("__part"), "before", "least")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], F.col("part") == F.col("__part"))
+    rows = rows.join(F.broadcast(hit), same)  # a row per group
+    rows = rows.withColumn("cw", F.col("before") + F.sum("w").over(Window.partitionBy(*keys).orderBy("x")))
+    return rows.groupBy(*keys).agg(F.coalesce(F.min(F.when(F.col("cw") >= F.col("least"), F.col("x"))), F.max("x")).alias(out))
 
 
 def histogram(df: DataFrame, keys: list[str], value: str, bins: int = 256, low_q: float = 0.001, high_q: float = 0.999, pad: float = 0.02) -> DataFrame:
