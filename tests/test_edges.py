@@ -191,3 +191,29 @@ def test_every_point_gets_the_label_of_its_own_place(spark):
     points = spark.createDataFrame([(0, 1, 0, 0), (0, 1, 2, 2), (0, 2, 4, 2), (0, 3, 9, 9), (1, 4, 0, 0)], "image int, point int, py int, px int")
     got = sorted((r.image, r.point, r.py, -1 if r.label is None else r.label) for r in spatial.label_at(points, px, ["image"], 2).collect())
     assert got == [(0, 1, 0, 1), (0, 1, 2, 23), (0, 2, 4, 23), (0, 3, 9, -1), (1, 4, 0, -1)]
+
+
+def test_weighted_quantile_orders_only_the_range_that_holds_it(spark):
+    rng = np.random.default_rng(5)
+    rows = [(g, float(v), float(w)) for g in ("a", None) for v, w in zip(rng.permutation(3000) / 7, rng.integers(1, 9, 3000), strict=True)]
+    df = spark.createDataFrame(rows, "g string, x double, w double")
+    for q in (0.0, 0.3, 0.99, 1.0):
+        out = statistics.weighted_quantile(df, ["g"], "x", "w", q)
+        got = {r.g: r["quantile"] for r in out.collect()}
+        for g in ("a", None):
+            part = sorted((x, w) for k, x, w in rows if k == g)
+            cw = np.cumsum([w for _, w in part])
+            assert got[g] == part[int(np.argmax(cw >= q * cw[-1]))][0]
+    assert "__part" in out._jdf.queryExecution().analyzed().toString()  # a value meets only what its range holds
+
+
+def test_medians_of_plates_and_clusters_keep_no_group_in_a_task(spark):
+    df = spark.range(2000).select(F.lit("p").alias("plate"), F.when(F.col("id") % 2 == 0, "positive").otherwise("negative").alias("role"), F.col("id").cast("double").alias("mean_r"), F.lit(1.0).alias("mean_g"))
+    out = rois.calibrate_midpoint(df, ["plate"])
+    assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    r = out.first()
+    assert abs(r.pc - 999.0) < 1e-6 and abs(r.nc - 1000.0) < 1e-6
+    ev = spark.range(900).select((F.col("id") % 3).alias("c"), (F.col("id") % 100).cast("double").alias("f"), (F.col("id") % 50).cast("double").alias("s"), F.when(F.col("id") % 3 == 0, 2.0).otherwise(0.0).alias("m"))
+    out = models.label_clusters(ev, "c", {"m": 1.0}, "f", "s")
+    assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((x.cluster, x.n, x.population) for x in out.collect()) == [(0, 300, "m"), (1, 300, "Unknown"), (2, 300, "Unknown")]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions.numeric import cdc_score, corrected_fraction, finite, gaussian2_logpdf, red_green_ratio
+from .statistics import exact_quantiles
 
 SD_FLOOR, COV_EPS = 1e-6, 1e-6
 
@@ -25,8 +26,13 @@ def _controls(rois: DataFrame, plate: list[str]) -> tuple[DataFrame, Column]:
 def calibrate_midpoint(rois: DataFrame, plate: list[str], by: str = "median") -> DataFrame:
     """Threshold per plate halfway between the controls' median (or mean) red/green ratios."""
     use, rg = _controls(rois, plate)
-    agg = A.median if by == "median" else A.mean
-    out = use.groupBy(*plate).agg(agg(rg, _is("positive")).alias("pc"), agg(rg, _is("negative")).alias("nc"))
+    if by == "median":  # a plate may hold a share of all ROIs: no task keeps its values
+        found = exact_quantiles(use.select(F.struct(*plate).alias("__p"), "role", "rg"), ["__p", "role"], "rg", [0.5])
+        middle = found.groupBy("__p").agg(*[F.max(F.when(_is(r), F.col("x"))).alias(n) for r, n in (("positive", "pc"), ("negative", "nc"))])
+        plates = use.select(F.struct(*plate).alias("__p")).distinct()
+        out = plates.join(middle, "__p", "left").select(*[F.col("__p")[p].alias(p) for p in plate], "pc", "nc")
+    else:
+        out = use.groupBy(*plate).agg(A.mean(rg, _is("positive")).alias("pc"), A.mean(rg, _is("negative")).alias("nc"))
     return out.withColumn("threshold", (F.col("pc") + F.col("nc")) / 2.0)
 
 
