@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from titerframe.functions import aggregates as A
@@ -62,6 +63,23 @@ def test_every_group_has_a_pool_from_all_of_its_parts(spark):
     assert sorted(got, key=str) == sorted(take(df.repartition(7)).collect(), key=str)
 
 
+def test_pools_leave_rows_beyond_their_end_where_they_are(spark):
+    rows = [(m, f, i, float(i % 7)) for m, k in (("a", 1), ("b", 3)) for f, n in ((1, 900 * k), (2, 40), (None, 700)) for i in range(n)]
+    df = spark.createDataFrame(rows, "marker string, file_id int, i int, value double").repartition(5)
+    want = sampling.sample_per_group(df, ["marker", "file_id"], ["i"], 150)
+    got = sampling.capped(df, ["marker", "file_id"], ["i"], 150)
+    assert sorted(got.collect(), key=str) == sorted(want.collect(), key=str) and got.count() == 2 * (150 + 40 + 150)
+    assert sampling.capped(df, ["marker", "file_id"], ["i"], 2700).count() == len(rows)
+
+    pool = sampling.pool_per_group(df, ["marker"], ["file_id"], ["i"], per_part=150, total=100)
+    h = F.xxhash64(F.lit(1), "file_id", "i")
+    lowest = want.withColumn("r", F.row_number().over(Window.partitionBy("marker").orderBy(h, "file_id", "i"))).where("r <= 100").drop("r")
+    assert sorted(pool.collect(), key=str) == sorted(lowest.collect(), key=str)
+    # the only rows that are shuffled are those of the pool: no sort of all rows by part
+    plan = sampling.pool_per_group(df, ["marker"], ["file_id"], ["i"], per_part=5000, total=100)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Window") == 1 and "SortMergeJoin" not in plan
+
+
 def test_every_marker_is_calibrated_above_the_cap(spark):
     from titerframe.plans import catalog
 
