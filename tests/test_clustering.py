@@ -307,6 +307,15 @@ def test_the_chain_finds_populations(fitted, measured):
     assert {x.gate for x in model.readouts(measured, ["sample"]).collect()} == {"All Cells", "Singlets", "Lymphocytes", "cd3", "cd19"}
 
 
+def test_rows_gated_by_the_fit_are_those_of_transform(fitted, measured):
+    model, _ = fitted
+    again, gated = chain(clusterer="som", clustererOptions={"width": 4, "height": 4, "n_clusters": 6}).fit_gated(measured)
+    columns = ["file_id", "event", "edge", "qc", "lymph", "cluster", "population", "accepted", "t"]
+    rows = lambda df: sorted(df.select(*columns).collect(), key=str)
+    assert str(rows(gated)) == str(rows(model.transform(measured)))
+    assert sorted(again.readouts_of(gated).collect(), key=str) == sorted(model.readouts(measured).collect(), key=str)
+
+
 def test_the_chain_is_its_parts_called_by_hand(spark, fitted, measured):
     model, _ = fitted
     rows = gates.singlets_mad(measured.withColumn("edge", gates.edge_gate(["fsc_a", "ssc_a", "fsc_h"], 262144.0)), "file_id", "fsc_a", "fsc_h").withColumn("qc", F.col("edge") & F.col("singlet"))

@@ -177,6 +177,14 @@ def test_calibration_of_one_population_takes_the_lower_half():
     assert models.calibrate_marker(x[:50])[0] == 150.0
 
 
+def test_mixtures_fitted_together_are_those_fitted_alone():
+    rng = np.random.default_rng(8)
+    parts = [np.concatenate([rng.normal(0, 1, (n, 2)), rng.normal(3, 0.5, (n // 2, 2))]) for n in (40, 300, 900, 310, 5, 320, 41)]
+    for k, tied in ((3, False), (2, True)):
+        for x, model in zip(parts, models.fit_mixtures(parts, k, tied=tied), strict=True):
+            assert all(np.allclose(a, b, rtol=1e-9, atol=1e-9) for a, b in zip(model, models.fit_mixture(x, k, tied=tied), strict=True))
+
+
 def test_scores_of_a_mixture_are_computed_in_batches(spark):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(0, 1, (200, 2)), rng.normal(4, 1, (100, 2))])

@@ -108,6 +108,15 @@ class EventGater(Estimator, _GatingParams, DefaultParamsReadable, DefaultParamsW
             self.tell(stage)
 
     def _fit(self, dataset: DataFrame) -> EventGaterModel:
+        model, gated = self.fit_gated(dataset)
+        unstaged(gated)
+        return model
+
+    def fit_gated(self, dataset: DataFrame) -> tuple[EventGaterModel, DataFrame]:
+        """The model, and its rows of the events that it is fitted on: what ``transform`` would compute again for them.
+
+        The rows have the columns that the chain uses, and lie in the scratch folder.
+        """
         file, row, seed = self.getOrDefault(self.fileCol), self.getOrDefault(self.rowCols), self.getOrDefault(self.seed)
         role, reporter, names = self.getOrDefault(self.roleCol), self.getOrDefault(self.reporter), self.getOrDefault(self.markers)
         area, height, side = self.getOrDefault(self.scatter)
@@ -159,8 +168,8 @@ class EventGater(Estimator, _GatingParams, DefaultParamsReadable, DefaultParamsW
         gated = staged(model.gated(rows), "gater-gated")
         controls = readouts.control_stats(gates.explode_gates(gated, model.gates()), "gate", role, reporter, "t", min_nc=self._option("min_nc"), min_pc=self._option("min_pc"))
         model.controls = controls.toPandas()  # a row per gate
-        unstaged(gated, rows, controls)
-        return model
+        unstaged(rows, controls)
+        return model, gated
 
     def _training_labels(self, train: DataFrame, fitted: Fitted) -> DataFrame:
         """The training rows with their clusters: those of the fit, or predicted where a clusterer keeps none."""
@@ -210,10 +219,14 @@ class EventGaterModel(Model, _GatingParams, MLWritable, MLReadable):
 
     def readouts(self, events: DataFrame, keys: list[str] | None = None) -> DataFrame:
         """Population metrics per file, or per ``keys`` over all of their files, and gate, against the fitted controls."""
+        return self.readouts_of(self.transform(events), keys)
+
+    def readouts_of(self, rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
+        """:meth:`readouts` of rows that are gated already, by ``transform`` or by ``fit_gated``."""
         keys = keys or [self.getOrDefault(self.fileCol)]
-        controls = events.sparkSession.createDataFrame(self.controls)
+        controls = rows.sparkSession.createDataFrame(self.controls)
         controls = controls.withColumns({c: finite(F.col(c)) for c, kind in controls.dtypes if kind == "double"})  # missing again, not NaN
-        rows = self.transform(events).select(*keys, self.getOrDefault(self.reporter), "t", "edge", "qc", "accepted", "population")
+        rows = rows.select(*keys, self.getOrDefault(self.reporter), "t", "edge", "qc", "accepted", "population")
         return readouts.readouts_of_gates(rows, keys, self.gates(), self.getOrDefault(self.reporter), "t", controls)
 
     def write(self) -> MLWriter:
