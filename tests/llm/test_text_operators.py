@@ -447,6 +447,44 @@ def test_toxicity_scores_match_brute_force(spark):
         assert got[r.doc_id].score == pytest.approx(want) and got[r.doc_id].predicted == int(want >= 0.7)
 
 
+def test_classifiers_learn_from_every_labelled_row(spark):
+    # a sign of 1 in 30 bad or toxic rows, in more rows than samples of a class had
+    n = 14_000
+    rows = spark.range(n).withColumn("bad", F.col("id") % 2 == 0).withColumn("rare", F.col("bad") & (F.col("id") % 60 == 0))
+    text = F.concat(F.lit("some words of plain text that say little about "), F.col("id").cast("string"), F.when(F.col("rare"), " vileword").otherwise(""))
+    docs = rows.select(F.col("id").alias("doc_id"), text.alias("text"))
+    labels = rows.select(F.col("id").alias("doc_id"), F.when(F.col("bad"), 0).otherwise(1).alias("quality"), F.when(F.col("rare"), 1).otherwise(0).alias("toxic"))
+    seen = []
+    fit = quality.BradleyTerry.fit
+    try:
+        quality.BradleyTerry.fit = lambda self, rows: seen.append(dict(rows.groupBy("y").count().collect())) or fit(self, rows)
+        quality.fit_quality(docs, labels)
+        curve = toxicity.ToxicSegments.fit_curve
+        toxicity.ToxicSegments.fit_curve = lambda self, x, y, weight: seen.append({c: int(weight[y == c].sum()) for c in (0, 1)}) or curve(self, x, y, weight)
+        toxicity.fit_toxicity(docs, labels)
+    finally:
+        quality.BradleyTerry.fit, toxicity.ToxicSegments.fit_curve = fit, curve
+    mine = [i for i in range(n) if zlib.crc32(str(i).encode()) % 3 != 1]
+    assert seen[0] == {0: sum(i % 2 == 0 for i in mine), 1: sum(i % 2 for i in mine)} and min(seen[0].values()) > 4000
+    assert seen[1] == {0: sum(i % 60 > 0 for i in mine), 1: sum(i % 60 == 0 for i in mine)} and seen[1][0] > 8000
+
+
+def test_sums_by_level_stand_for_all_pairs(spark):
+    docs, labels = labelled(spark, 300)
+    model = quality.fit_quality(docs, labels)
+    rows = [r for r in docs.join(labels, "doc_id").collect() if zlib.crc32(str(r.doc_id).encode()) % 3 != 1]
+    x, y = quality.features([r.text for r in rows]), np.array([r.quality for r in rows])
+    d, places = model.design(x), model.places(x)
+    diff = (d[y == 1][:, None] - d[y == 0][None]).reshape(-1, d.shape[1])
+    share = quality.PAIRS / len(diff)
+    p = 1 / (1 + np.exp(diff @ model.weights))
+    table = spark.createDataFrame([([int(v) for v in a], int(b)) for a, b in zip(places, y, strict=True)], "p array<int>, y int")
+    gradient, hessian = model._derivatives(table, share)
+    assert np.allclose(gradient, share * diff.T @ p, rtol=2e-2, atol=0.02)
+    assert np.allclose(hessian, share * (diff * (p * (1 - p))[:, None]).T @ diff, rtol=5e-2, atol=0.05)
+    assert np.abs(share * diff.T @ p - model.penalty * model.weights).max() < 0.05  # the least loss of all pairs
+
+
 def test_quality_strengths_minimise_the_loss_of_pairs(spark):
     docs, labels = labelled(spark, 300)
     model = quality.fit_quality(docs, labels)

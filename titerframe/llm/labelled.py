@@ -1,4 +1,4 @@
-"""Bounded samples of labelled rows, and the split that keeps a third of the ids out of training."""
+"""Labelled rows, and the split that keeps a third of the ids out of training."""
 
 from __future__ import annotations
 
@@ -15,9 +15,3 @@ def training_labels(labels: DataFrame, id_col: str, label: str) -> DataFrame:
     """(id, y) of all labelled rows that training may use; null ids and labels are none."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(id_col)))
     return known.select(F.col(id_col).alias("__id"), (F.col(label) > 0).cast("int").alias("y"))
-
-
-def sample_labels(training: DataFrame, per_class: int) -> DataFrame:
-    """At most ``per_class`` rows of each class, the same ones at every run: those whose ids hash lowest."""
-    parts = [training.where(F.col("y") == y).orderBy(F.xxhash64("__id"), "__id").limit(per_class) for y in (0, 1)]
-    return parts[0].union(parts[1])

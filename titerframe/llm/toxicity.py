@@ -6,7 +6,7 @@ Inflected words share a stem, so the heads of a token count as tokens too and it
 One linear scan then finds all maximal scoring segments of a text. Their scores follow an extreme-value law in clean
 text: with its parameter lambda, the root of sum p * exp(lambda * s) = 1, and a constant K, a segment of score S in n
 tokens is expected K * n * exp(-lambda * S) times. What significant segments have in excess of that adds up to a
-document's evidence, and a logistic curve on the training sample turns evidence into a score.
+document's evidence, and a logistic curve on all training rows turns evidence into a score.
 """
 
 from __future__ import annotations
@@ -16,12 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, spread, table
-from .labelled import held_out, sample_labels, training_labels
+from ..operators.statistics import exact_quantiles
+from .common import materialize, remove_scratch, slices, spread, table
+from .labelled import held_out, training_labels
 from .shingles import mix, powers
 
-#: Labelled rows of a class that the model is fitted on at most.
-SAMPLE = 8000
 #: Least z-score and toxic documents of a token that may score above the drift, and prior pseudo-documents.
 LEAST_Z, LEAST_DOCS, PRIOR = 4.0, 5, 20.0
 #: Standard errors by which log-odds are shrunk, and what must remain: weaker ones tell languages and topics apart.
@@ -126,13 +125,14 @@ class ToxicSegments:
         where = np.flatnonzero(best)
         return where, best[where]
 
-    def calibrate(self, clean: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
-        """Extreme-value parameters from clean documents: number of tokens, places and scores of their hits."""
-        n = sum(t[0] for t in clean) + 1
-        found = np.concatenate([t[2] for t in clean]) if clean else np.empty(0)
+    def calibrate(self, clean: DataFrame) -> None:
+        """Extreme-value parameters from clean documents: tokens (n), scores of their hits and of their maximal segments."""
+        n = (clean.agg(F.sum("n")).first()[0] or 0) + 1
+        # the hits' scores are scores of the model's tokens
+        hits = clean.select(F.explode("hits").alias("s")).groupBy("s").count().toPandas().sort_values("s")
         # every scored token has been seen half a time more than it was: the law needs some background
-        s = np.concatenate([found, self.scores])
-        p = np.concatenate([np.ones(len(found)), np.full(len(self.scores), 0.5 / max(1, len(self.scores)))]) / n
+        s = np.concatenate([hits["s"].to_numpy(float), self.scores])
+        p = np.concatenate([hits["count"].to_numpy(float), np.full(len(self.scores), 0.5 / max(1, len(self.scores)))]) / n
         if not len(s):
             return
         lo, hi = 0.0, 50.0
@@ -142,10 +142,12 @@ class ToxicSegments:
             lo, hi = (mid, hi) if value < 1 else (lo, mid)
         self.rate = max(lo, 0.1)
         # K: so that clean text has as many segments above the median as the law expects
-        seen = np.array([seg[2] for t in clean for seg in maximal_segments(t[1], t[2], self.drift)])
-        if len(seen):
-            median = float(np.median(seen))
-            self.k = float(np.clip((seen >= median).sum() / (n * np.exp(-self.rate * median)), 1e-6, 1.0))
+        seen = clean.select(F.explode("segments").alias("s"))
+        found = exact_quantiles(seen, [], "s", [0.5])
+        row = found.first()
+        remove_scratch(found)
+        if row is not None:
+            self.k = float(np.clip(seen.where(F.col("s") >= row.x).count() / (n * np.exp(-self.rate * row.x)), 1e-6, 1.0))
         else:
             self.k = 1.0 / n
 
@@ -159,11 +161,9 @@ class ToxicSegments:
         """Significant passages of a text: first byte, end, evidence."""
         return [(int(starts[a]), int(ends[b]), x) for a, b, x in self.significant(len(starts), *self.hits(hashes))]
 
-    def fit_curve(self, evidence: np.ndarray, y: np.ndarray, shares: tuple[float, float]) -> None:
-        """Logistic curve on log(1 + evidence); the sample's classes weigh as they occur."""
-        x = np.stack([np.ones(len(y)), np.log1p(evidence)], 1)
-        weight = np.where(y == 1, shares[1] / max(1, (y == 1).sum()), shares[0] / max(1, (y == 0).sum())) * len(y)
-        w = np.zeros(2)
+    def fit_curve(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> None:
+        """Logistic curve on log(1 + evidence), from numbers of documents."""
+        x, w = np.stack([np.ones(len(y)), x], 1), np.zeros(2)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
             h = (x * (weight * p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(2)
@@ -175,12 +175,10 @@ class ToxicSegments:
         return 1 / (1 + np.exp(-np.clip(self.offset + self.slope * np.log1p(evidence), -30, 30)))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", per_class: int = SAMPLE) -> ToxicSegments:
-    """Fit on at most ``per_class`` labelled rows of each class, none of them held out."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> ToxicSegments:
+    """Fit on all labelled rows, none of them held out."""
     training = training_labels(labels, id_col, label)
-    shares = dict(training.groupBy("y").count().collect())
-    chosen = F.broadcast(sample_labels(training, per_class))
-    sample = docs.join(chosen, F.col(id_col) == F.col("__id")).select(F.col(text_col).cast("string"), "y")
+    sample = spread(docs.join(training, F.col(id_col) == F.col("__id")).select(F.col(text_col).cast("string"), "y"))
 
     def distinct(batches):
         for b in slices(batches):
@@ -189,7 +187,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(y, [len(s) for s in sets]))], names=["token", "y"])
 
-    sizes = dict(sample.groupBy("y").count().collect())
+    sizes = dict(docs.join(training, F.col(id_col) == F.col("__id")).groupBy("y").count().collect())
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
     counts = sample.mapInArrow(distinct, "token long, y int").groupBy("token").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("other"))
 
@@ -200,7 +198,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             keep = (z >= LEAST_Z) & (scores >= LEAST_ODDS)
             yield pa.RecordBatch.from_arrays([b.column("token").filter(pa.array(keep)), pa.array(scores[keep])], names=["token", "score"])
 
-    # all significant tokens of the bounded sample
+    # the significant tokens: a vocabulary, which goes to every task
     kept = counts.where(F.col("toxic") >= LEAST_DOCS).mapInArrow(significant, "token long, score double").toPandas().sort_values("token")
     model = ToxicSegments(kept["token"].to_numpy(np.int64).view(np.uint64), kept["score"].to_numpy(float))
 
@@ -209,19 +207,21 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             rows = []
             for _, _, h in tokens(b.column(0).to_pylist()):
                 where, score = model.hits(h)
-                rows.append((h.shape[1], where.tolist(), score.tolist()))
-            n, where, score = zip(*rows, strict=True) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(where, pa.list_(pa.int64())), pa.array(score, pa.list_(pa.float64())), b.column(1)], names=["n", "at", "score", "y"])
-
-    # a row per sampled document with its scored tokens only
-    rows = sample.mapInArrow(found, "n long, at array<long>, score array<double>, y int").toPandas().sort_values(["y", "n"], kind="stable")
-    y = rows["y"].to_numpy(int)
-    texts = [(int(n), np.asarray(at, np.int64), np.asarray(score, float)) for n, at, score in zip(rows["n"], rows["at"], rows["score"], strict=True)]
-    model.calibrate([t for t, toxic in zip(texts, y, strict=True) if not toxic])
-    evidence = np.array([sum(x for *_, x in model.significant(*t)) for t in texts])
-    known = max(1, sum(shares.values()))
-    if len(y):
-        model.fit_curve(evidence, y, (shares.get(0, 0) / known, shares.get(1, 0) / known))
+                rows.append((h.shape[1], score.tolist(), [x for *_, x in maximal_segments(where, score, model.drift)]))
+            n, hits, segments = zip(*rows, strict=True) if rows else ([], [], [])
+            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.float64())), pa.array(segments, pa.list_(pa.float64())), b.column(1)], names=["n", "hits", "segments", "y"])
+
+    # a row per labelled document with scores only
+    rows = materialize(sample.mapInArrow(found, "n long, hits array<double>, segments array<double>, y int"), "toxic-hits")
+    model.calibrate(rows.where("y = 0"))
+    chance = F.log(F.greatest(model.k * F.greatest("n", F.lit(1)), F.lit(1e-9)))
+    excess = F.filter(F.transform("segments", lambda s: model.rate * s - chance), lambda x: x >= float(-np.log(SIGNIFICANT)))
+    x = F.log1p(F.aggregate(excess, F.lit(0.0), lambda a, b: a + b))
+    # documents are counted by evidence to a 4096th
+    counts = rows.groupBy(F.round(x * 4096).alias("x"), "y").count().toPandas().sort_values(["y", "x"])
+    if len(counts):
+        model.fit_curve(counts["x"].to_numpy(float) / 4096, counts["y"].to_numpy(int), counts["count"].to_numpy(float))
+    remove_scratch(rows)
     return model
 
 
