@@ -469,6 +469,37 @@ def test_classifiers_learn_from_every_labelled_row(spark):
     assert seen[1] == {0: sum(i % 60 > 0 for i in mine), 1: sum(i % 60 == 0 for i in mine)} and seen[1][0] > 8000
 
 
+def test_token_texts_have_the_hashes_of_the_whole():
+    texts = [None, "", " 12 !", "One one ONE; two-two é éé É\n3x x", "a " * 500, "inflected inflection Inflect"]
+    short = toxicity.token_texts(texts)
+    for (_, _, whole), (_, _, cut) in zip(toxicity.tokens(texts), toxicity.tokens(short), strict=True):
+        assert set(whole[whole > 0]) == set(cut[cut > 0]) and cut.shape[1] == len(set(whole[0]))
+    assert short[3:] == ["One two é éé É x", "a", "inflected inflection Inflect"]
+
+
+def shuffled(spark):
+    """Bytes that all stages so far have shuffled."""
+    context = spark.sparkContext._jsc.sc()
+    context.listenerBus().waitUntilEmpty()
+    return context.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+
+@pytest.mark.parametrize("fit,most", ((toxicity.fit_toxicity, 0.25),))
+def test_classifiers_do_not_shuffle_whole_texts(spark, fit, most):
+    # labels too many to broadcast, texts that repeat their words
+    rng = random.Random(12)
+    docs = table(spark, [(i, prose(rng, 6000) + " vileword" * (i % 7 == 0)) for i in range(300)])
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), int(i % 7 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled(spark)
+        fit(docs, labels)
+        assert shuffled(spark) - before < most * docs.agg(F.sum(F.length("text"))).first()[0]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
 def test_sums_by_level_stand_for_all_pairs(spark):
     docs, labels = labelled(spark, 300)
     model = quality.fit_quality(docs, labels)

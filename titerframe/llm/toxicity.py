@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.statistics import exact_quantiles
 from .common import materialize, remove_scratch, slices, spread, table
-from .labelled import held_out, training_labels
+from .labelled import held_out, trainable, with_labels
 from .shingles import mix, powers
 
 #: Least z-score and toxic documents of a token that may score above the drift, and prior pseudo-documents.
@@ -69,6 +69,15 @@ def tokens(texts: list[str | None]):
             yield starts[a:b] - offsets[i], ends[a:b] - offsets[i], hashes[:, a:b]
 
 
+def token_texts(texts: list[str | None]) -> list[str]:
+    """Every text's different tokens in the order they come, as a text: it has the same hashes as the whole."""
+    out = []
+    for text, (starts, ends, hashes) in zip(texts, tokens(texts), strict=True):
+        raw, first = (text or "").encode("utf-8", "surrogatepass"), np.sort(np.unique(hashes[0], return_index=True)[1])
+        out.append(b" ".join([raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]).decode("utf-8", "surrogatepass"))
+    return out
+
+
 def log_odds(toxic: np.ndarray, other: np.ndarray, n_toxic: int, n_other: int, prior: float = PRIOR) -> tuple[np.ndarray, np.ndarray]:
     """Log-odds of document frequencies with a Dirichlet prior of the corpus's shape, and their z-scores."""
     share = (toxic + other + 0.5) / (n_toxic + n_other + 1)
@@ -176,9 +185,17 @@ class ToxicSegments:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic") -> ToxicSegments:
-    """Fit on all labelled rows, none of them held out."""
-    training = training_labels(labels, id_col, label)
-    sample = spread(docs.join(training, F.col(id_col) == F.col("__id")).select(F.col(text_col).cast("string"), "y"))
+    """Fit on all labelled rows, none of them held out.
+
+    Whole texts stay where they are read. Of a text, its different tokens meet its label to be counted, and what its
+    segments score.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    ids, texts = trainable(docs, id_col, text_col).select("id"), spread(trainable(docs, id_col, text_col))
+
+    def sets(batches):
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(token_texts(b.column(1).to_pylist()), pa.string())], names=["id", "tokens"])
 
     def distinct(batches):
         for b in slices(batches):
@@ -187,9 +204,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             if sets:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), pa.array(np.repeat(y, [len(s) for s in sets]))], names=["token", "y"])
 
-    sizes = dict(docs.join(training, F.col(id_col) == F.col("__id")).groupBy("y").count().collect())
+    sizes = dict(with_labels(ids, labels, id_col, label).groupBy("y").count().collect())
     n_toxic, n_other = sizes.get(1, 0), sizes.get(0, 0)
-    counts = sample.mapInArrow(distinct, "token long, y int").groupBy("token").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("other"))
+    seen = with_labels(texts.mapInArrow(sets, f"id {kind}, tokens string"), labels, id_col, label).select("tokens", "y")
+    counts = seen.mapInArrow(distinct, "token long, y int").groupBy("token").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("other"))
 
     def significant(batches):
         for b in batches:
@@ -198,21 +216,24 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
             keep = (z >= LEAST_Z) & (scores >= LEAST_ODDS)
             yield pa.RecordBatch.from_arrays([b.column("token").filter(pa.array(keep)), pa.array(scores[keep])], names=["token", "score"])
 
-    # the significant tokens: a vocabulary, which goes to every task
-    kept = counts.where(F.col("toxic") >= LEAST_DOCS).mapInArrow(significant, "token long, score double").toPandas().sort_values("token")
+    # the significant tokens: a vocabulary, which goes to every task; once it is written the shuffles behind it go
+    vocabulary = materialize(counts.where(F.col("toxic") >= LEAST_DOCS).mapInArrow(significant, "token long, score double"), "toxic-tokens")
+    kept = vocabulary.toPandas().sort_values("token")
+    remove_scratch(vocabulary)
     model = ToxicSegments(kept["token"].to_numpy(np.int64).view(np.uint64), kept["score"].to_numpy(float))
 
     def found(batches):
         for b in slices(batches):
             rows = []
-            for _, _, h in tokens(b.column(0).to_pylist()):
+            for _, _, h in tokens(b.column(1).to_pylist()):
                 where, score = model.hits(h)
                 rows.append((h.shape[1], score.tolist(), [x for *_, x in maximal_segments(where, score, model.drift)]))
             n, hits, segments = zip(*rows, strict=True) if rows else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.float64())), pa.array(segments, pa.list_(pa.float64())), b.column(1)], names=["n", "hits", "segments", "y"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.float64())), pa.array(segments, pa.list_(pa.float64()))], names=["id", "n", "hits", "segments"])
 
     # a row per labelled document with scores only
-    rows = materialize(sample.mapInArrow(found, "n long, hits array<double>, segments array<double>, y int"), "toxic-hits")
+    scored = texts.mapInArrow(found, f"id {kind}, n long, hits array<double>, segments array<double>")
+    rows = materialize(with_labels(scored, labels, id_col, label), "toxic-hits")
     model.calibrate(rows.where("y = 0"))
     chance = F.log(F.greatest(model.k * F.greatest("n", F.lit(1)), F.lit(1e-9)))
     excess = F.filter(F.transform("segments", lambda s: model.rate * s - chance), lambda x: x >= float(-np.log(SIGNIFICANT)))
