@@ -118,6 +118,19 @@ def test_fcs_ranges_read_a_file_in_several_tasks(spark, tmp_path):
     assert fcs.read_ranges(spark, f"file://{tmp_path}/deep/f1.fcs", ["A"]).count() == 6
 
 
+def test_many_small_fcs_files_share_tasks(spark, tmp_path):
+    for i in range(300):
+        x = np.arange(i % 7 * 2, dtype=np.float32).reshape(-1, 2) + i
+        (tmp_path / f"f{i}.fcs").write_bytes(fcs.write_fcs(x, ["A", "B"], {"$P1S": "x" * (i % 50)}))
+    for df, n in ((fcs.read_ranges(spark, str(tmp_path), ["A"], rows=2), 40), (spark.read.format("fcs").load(str(tmp_path)), 10), (spark.read.format("fcs-text").load(str(tmp_path)), 10)):
+        assert df.rdd.getNumPartitions() <= n
+    got = fcs.read_ranges(spark, str(tmp_path), ["A"], rows=2).collect()
+    assert sorted((r.file, r.position, r["A"]) for r in got) == sorted((f"f{i}.fcs", k, float(2 * k + i)) for i in range(300) for k in range(i % 7))
+    got = spark.read.format("fcs").load(str(tmp_path)).collect()
+    assert sorted((r.file, r.event_idx) for r in got) == sorted((f"f{i}.fcs", k) for i in range(300) for k in range(i % 7))
+    assert spark.read.format("fcs-text").load(str(tmp_path)).select("file", "n_events").distinct().count() == 300
+
+
 def test_fcs_channels_of_different_widths(spark, tmp_path):
     rows = [(1, 300, 70_000), (2, 65_535, 4_000_000_000)]
     data = b"".join(int(v).to_bytes(w, "big") for r in rows for v, w in zip(r, (1, 2, 4), strict=True))

@@ -27,8 +27,9 @@ def fcs_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = _folder(spark, "fcs")
     written = fcs.write_files(events(spark, sf_dir), "file_id", KEY, CHANNELS, folder)
     wrote = staged(written, "written")
-    read = fcs.read_ranges(spark, folder, CHANNELS, rows=400).withColumn("file_id", F.regexp_extract("file", r"(\d+)", 1).cast("long"))
-    by_file = read.groupBy("file_id").agg(F.count("*").alias("n"), (F.max("position") + 1).alias("n_events"), *[F.round(F.avg(c), 2).alias(c) for c in CHANNELS], F.max_by(F.round("igg", 2), "position").alias("last_igg"))
+    read = fcs.read_ranges(spark, folder, CHANNELS, rows=400)
+    by_file = read.groupBy("file").agg(F.count("*").alias("n"), (F.max("position") + 1).alias("n_events"), *[F.round(F.avg(c), 2).alias(c) for c in CHANNELS], F.round(F.max_by("igg", "position"), 2).alias("last_igg"))
+    by_file = by_file.select(F.regexp_extract("file", r"(\d+)", 1).cast("long").alias("file_id"), *by_file.columns[1:])
     out = staged(by_file.join(wrote.select(F.col("file").alias("file_id"), F.col("n").alias("n_written")), "file_id"), "read-back")
     remove_folder(spark, folder)
     return out

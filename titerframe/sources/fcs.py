@@ -1,10 +1,10 @@
 """Flow cytometry standard files as Spark data sources.
 
-``spark.read.format("fcs")`` gives events in long rows (file, event_idx, channel values as an array), a file a partition;
-``format("fcs-ranges")`` (see :func:`read_ranges`) gives chosen channels as columns and reads a file by ranges of bytes in
-several tasks; ``format("fcs-text")`` is a row per file with its keywords and reads only the header and TEXT segment. All
-yield Arrow batches. The path is a folder or a file in any file system that Arrow opens by its scheme (local, hdfs, s3,
-gs); :func:`read_events` goes by Spark's ``binaryFile`` instead.
+``spark.read.format("fcs")`` gives events in long rows (file, event_idx, channel values as an array);
+``format("fcs-ranges")`` (see :func:`read_ranges`) gives chosen channels as columns and reads a file by ranges of bytes, a
+large one in several tasks; ``format("fcs-text")`` is a row per file with its keywords and reads only the header and TEXT
+segment. A task takes many small files. All yield Arrow batches. The path is a folder or a file in any file system that
+Arrow opens by its scheme (local, hdfs, s3, gs); :func:`read_events` goes by Spark's ``binaryFile`` instead.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -31,6 +31,10 @@ _TEXT_ARROW = pa.schema([
     ("channels", pa.list_(pa.struct([("number", pa.int32()), ("pnn", pa.string()), ("pns", pa.string()), ("png", pa.float64()), ("pnr", pa.float64()), ("decades", pa.float64()), ("log0", pa.float64())]))), ("n_events", pa.int64()),
 ])
 _ROWS = 20_000
+#: Bytes of files that share tasks, about, and what opening a file counts for.
+_TASK_BYTES, _OPEN_BYTES = 64 << 20, 256 << 10
+#: Tasks that a file's ranges may be dealt to at any size, and bytes for each of them beyond.
+_PARTS, _PART_BYTES = 32, 8 << 20
 
 
 def parse_text(data: bytes) -> dict[str, str]:
@@ -161,60 +165,91 @@ def _opening(path: str) -> tuple[pa.NativeFile, bytes, dict[str, str]]:
 
 
 @dataclass
-class _Range(InputPartition):
-    """Events ``first`` to ``first + n`` of a file; all of them where n is negative."""
+class _Share(InputPartition):
+    """Files of one task: each by its path, how many tasks share its ranges, and which of these tasks it is."""
 
-    path: str
-    first: int = 0
-    n: int = -1
+    files: list[tuple[str, int, int]]
+
+
+def _shares(files: list[tuple[str, int]], tasks: int, rows: int = 0) -> list[_Share]:
+    """Files dealt to tasks: small ones together, by the sizes that listing gives.
+
+    With ``rows`` the ranges of a file go to tasks of their own. How many there are is told by the size and the first header
+    of the files that lie together; where that is wrong, a task takes more ranges or none.
+    """
+    most = min(_TASK_BYTES, sum(size + _OPEN_BYTES for _, size in files) // max(1, tasks))
+    together: list[list[tuple[str, int]]] = []
+    room = 0
+    for path, size in files:
+        if not together or room < size + _OPEN_BYTES:
+            together.append([])
+            room = most
+        together[-1].append((path, size))
+        room -= size + _OPEN_BYTES
+    out: list[_Share] = []
+    for block in together:
+        start, width = 0, 1
+        if rows:
+            f, header, kw = _opening(block[0][0])
+            f.close()
+            start, width = data_start(header, kw), rows * max(1, record_type(kw).itemsize)
+        parts = [max(1, min(-((start - size) // width), max(_PARTS, size // _PART_BYTES))) if rows else 1 for _, size in block]
+        out += [_Share([(path, k, i) for (path, _), k in zip(block, parts, strict=True) if i < k]) for i in range(max(parts))]
+    return out
 
 
 class _Reader(DataSourceReader):
-    """Reads headers on the driver, and events by ranges of bytes in tasks, as Arrow batches of at most ``_ROWS`` rows."""
+    """Lists files on the driver; tasks read headers, and events by ranges of bytes, as Arrow batches of about ``_ROWS`` rows."""
 
     def __init__(self, options: dict, kind: str):
         self.options, self.kind = options, kind
 
-    def partitions(self) -> list[_Range]:
-        files = _listed(self.options["path"])
-        if self.kind != "ranges":
-            return [_Range(p) for p, _ in files]
-        rows, out = int(self.options.get("rowsPerPartition", 1_000_000)), []
-        for path, _ in files:
-            f, _, kw = _opening(path)
-            f.close()
-            total = int(kw["$TOT"])
-            out += [_Range(path, at, min(rows, total - at)) for at in range(0, total, rows)]
-        return out
-
-    def read(self, partition: _Range) -> Iterator[pa.RecordBatch]:
-        name = os.path.basename(partition.path)
-        f, header, kw = _opening(partition.path)
+    def partitions(self) -> list[_Share]:
+        rows = int(self.options.get("rowsPerPartition", 1_000_000)) if self.kind == "ranges" else 0
+        return _shares(_listed(self.options["path"]), int(self.options.get("tasks", 1)), rows)
+
+    def read(self, partition: _Share) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for path, parts, part in partition.files:
+            for batch in self._read(path, parts, part):
+                held.append(batch)
+                n += batch.num_rows
+                if n >= _ROWS:
+                    yield pa.concat_batches(held)
+                    held, n = [], 0
+        if held:
+            yield pa.concat_batches(held)
+
+    def _read(self, path: str, parts: int, part: int) -> Iterator[pa.RecordBatch]:
+        name = os.path.basename(path)
+        f, header, kw = _opening(path)
         with f:
             channels = channel_table(kw)
             if self.kind == "text":
                 row = {"file": name, "keywords": list(kw.items()), "channels": channels, "n_events": int(kw.get("$TOT", 0))}
                 yield pa.RecordBatch.from_pylist([row], schema=_TEXT_ARROW)
                 return
-            record, start = record_type(kw), data_start(header, kw)
+            record, start, total = record_type(kw), data_start(header, kw), int(kw["$TOT"])
             truncate, step = self.options.get("truncate", "true") == "true", float(kw.get("$TIMESTEP", 1) or 1)
             names = [c["pnn"] for c in channels]
             wanted = json.loads(self.options["channels"]) if self.kind == "ranges" else names
             at = [names.index(c) for c in wanted]
-            end = int(kw["$TOT"]) if partition.n < 0 else partition.first + partition.n
+            rows = int(self.options.get("rowsPerPartition", 1_000_000)) if self.kind == "ranges" else max(1, total)
             kept = 0
-            for lo in range(partition.first, end, _ROWS):
-                n = min(_ROWS, end - lo)
-                data = f.read_at(n * record.itemsize, start + lo * record.itemsize)
-                x, left = scaled_rows(as_matrix(np.frombuffer(data, record, n)), channels, truncate, step)
-                files = pa.array([name]).take(pa.array(np.zeros(len(x), np.int32)))
-                if self.kind == "ranges":
-                    arrays = [files, pa.array(lo + left), *(pa.array(x[:, i].astype(np.float64)) for i in at)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["file", "position", *wanted])
-                else:  # numbered as rows that are left
-                    lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(names)), v) for v in (pa.array(names * len(x), pa.string()), pa.array(x.ravel()))]
-                    yield pa.RecordBatch.from_arrays([files, pa.array(np.arange(kept, kept + len(x))), *lists], names=["file", "event_idx", "channels", "values"])
-                    kept += len(x)
+            for first in range(part * rows, total, parts * rows):
+                for lo in range(first, min(first + rows, total), _ROWS):
+                    n = min(_ROWS, first + rows - lo, total - lo)
+                    data = f.read_at(n * record.itemsize, start + lo * record.itemsize)
+                    x, left = scaled_rows(as_matrix(np.frombuffer(data, record, n)), channels, truncate, step)
+                    files = pa.array([name]).take(pa.array(np.zeros(len(x), np.int32)))
+                    if self.kind == "ranges":
+                        arrays = [files, pa.array(lo + left), *(pa.array(x[:, i].astype(np.float64)) for i in at)]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["file", "position", *wanted])
+                    else:  # numbered as rows that are left
+                        lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(names)), v) for v in (pa.array(names * len(x), pa.string()), pa.array(x.ravel()))]
+                        yield pa.RecordBatch.from_arrays([files, pa.array(np.arange(kept, kept + len(x))), *lists], names=["file", "event_idx", "channels", "values"])
+                        kept += len(x)
 
 
 class FcsSource(DataSource):
@@ -259,30 +294,59 @@ def register(spark: SparkSession) -> None:
 
 
 def read_ranges(spark: SparkSession, path: str, channels: list[str], rows: int = 1_000_000, truncate: bool = True) -> DataFrame:
-    """Wide events (file, position, a column per channel), a file by as many tasks as it has ranges of ``rows`` events.
+    """Wide events (file, position, a column per channel), read by ranges of ``rows`` events.
 
+    The ranges of a file go to different tasks (up to 32, and one for every 8 MB); small files share their tasks.
     ``position`` is the event's place in its file; events that are not finite are left out, so there are gaps.
     """
     register(spark)
-    return spark.read.format("fcs-ranges").options(channels=json.dumps(channels), rowsPerPartition=rows, truncate=str(truncate).lower()).load(path)
+    tasks = spark.sparkContext.defaultParallelism
+    return spark.read.format("fcs-ranges").options(channels=json.dumps(channels), rowsPerPartition=rows, truncate=str(truncate).lower(), tasks=tasks).load(path)
 
 
-def write_files(events: DataFrame, file_col: str, order: list[str], channels: list[str], path: str, limit: float = 262144.0) -> DataFrame:
-    """Write a float FCS file per value of ``file_col``, its events in ``order``; returns file and n, when it is read.
+def write_files(events: DataFrame, file_col: str, order: list[str | Column], channels: list[str], path: str, limit: float = 262144.0) -> DataFrame:
+    """Write a float FCS file per value of ``file_col``, its events in ``order``, columns or sort orders; returns file and n, when it is read.
 
-    Events that ``order`` leaves tied go by their channels, so that a file is the same at every run. A file is one task's; a task that is repeated writes its file again. Null files are left out.
+    Events that ``order`` leaves tied go by their channels, so that a file is the same at every run. Spark sorts the events; a
+    task writes one file after the other and holds one at a time. A task that is repeated writes its files again. Null files are left out.
     """
     kind = events.schema[file_col].dataType.simpleString()
 
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values([*order, *channels], kind="stable")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, at = _system(path)
         system.create_dir(at, recursive=True)
-        with system.open_output_stream(f"{at}/{df[file_col].iloc[0]}.fcs") as out:
-            out.write(write_fcs(df[channels].to_numpy(np.float32), channels, ranges=limit))
-        return pd.DataFrame({"file": [df[file_col].iloc[0]], "n": [len(df)]})
+        file, held, done = None, [], []
 
-    return events.where(F.col(file_col).isNotNull()).select(file_col, *order, *channels).groupBy(file_col).applyInPandas(run, f"file {kind}, n long")
+        def finish() -> None:
+            x = np.concatenate(held)
+            with system.open_output_stream(f"{at}/{file}.fcs") as out:
+                out.write(write_fcs(x, channels, ranges=limit))
+            done.append((file, len(x)))
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files = batch.column(0)
+            x = np.stack([np.asarray(batch.column(i + 1).to_numpy(zero_copy_only=False), np.float32) for i in range(len(channels))], 1)
+            codes = files.dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1, [len(codes)]])
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                value = files[int(a)].as_py()
+                if held and value != file:
+                    finish()
+                    held = []
+                file = value
+                held.append(x[a:b])
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in done], files.type), pa.array([n for _, n in done], pa.int64())], names=["file", "n"])
+                done = []
+        if held:
+            finish()
+            yield pa.RecordBatch.from_arrays([pa.array([f for f, _ in done], files.type), pa.array([n for _, n in done], pa.int64())], names=["file", "n"])
+
+    by = [c if isinstance(c, Column) else F.asc_nulls_last(c) for c in (*order, *channels)]
+    rows = events.where(F.col(file_col).isNotNull()).repartition(file_col).sortWithinPartitions(file_col, *by)
+    return rows.select(file_col, *channels).mapInArrow(run, f"file {kind}, n long")
 
 
 def read_events(spark: SparkSession, path: str, channels: list[str], truncate: bool = True) -> DataFrame:
