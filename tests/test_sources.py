@@ -159,3 +159,20 @@ def test_a_file_of_repeated_row_keys_does_not_depend_on_the_order_of_arrival(spa
         fcs.write_files(spark.createDataFrame(r, "f int, i int, x double").coalesce(1), "f", ["i"], ["x"], str(folder)).collect()
         made.append((folder / "7.fcs").read_bytes())
     assert made[0] == made[1]
+
+
+def test_the_round_trip_takes_of_tied_last_events_the_one_that_sql_meets_first(spark, tmp_path):
+    import duckdb
+
+    from titerframe.plans import trips
+
+    c = duckdb.connect()
+    c.sql("SET threads = 1")
+    line = "SELECT 1 + i % 2 AS o, i // 40 AS s, ((i * 7919) % 1009) * 100.0::DOUBLE AS price FROM range(200) r(i)"
+    c.sql(f"CREATE TABLE lineitem AS SELECT o AS l_orderkey, s AS l_suppkey, 1 AS l_linenumber, 5.0::DOUBLE AS l_quantity, price AS l_extendedprice, 0.1::DOUBLE AS l_discount, 0.02::DOUBLE AS l_tax FROM ({line})")
+    c.sql("CREATE TABLE supplier AS SELECT CAST(i AS BIGINT) AS s_suppkey, CAST(i AS INTEGER) AS s_nationkey FROM range(5) r(i)")
+    for t in ("lineitem", "supplier"):
+        c.sql(f"COPY {t} TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+    query, sql = trips.QUERIES["src_fcs_round_trip"]
+    want = {r[0]: r[1] for r in c.sql(f"SELECT file_id, last_igg FROM ({sql})").fetchall()}
+    assert {r.file_id: r.last_igg for r in query(spark, str(tmp_path)).collect()} == want
