@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
@@ -145,6 +146,49 @@ def test_guided_lymphocytes(spark, table):
     assert got["two"] == rails["two"] and got["few"] == rails["few"]  # 199 and 49 guide events: rails alone
 
 
+def test_guided_lymphocytes_of_files_that_end_inside_a_batch(spark, table, monkeypatch):
+    from pyspark.sql import functions as F
+
+    gated = lambda: masks(G.lymphocytes_guided(spark.createDataFrame(table), "file", ["i"], F.col("a") > 0, F.col("m"), "a", "s"), "lymph")
+    want = gated()
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(G, "HELD", 100)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 70)
+    try:
+        assert gated() == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+
+
+def test_events_move_once_around_the_guide_and_for_the_pool(spark, table):
+    from pyspark.sql import functions as F
+
+    from titerframe.operators.reports import training_pool
+
+    df = spark.createDataFrame(table)
+    lymph = G.lymphocytes_guided(df, "file", ["i"], F.col("a") > 0, F.col("m"), "a", "s")
+    pool = training_pool(df, "file", ["i"], F.col("m"), ["a", "s"], 40, tail=5, least=50)
+    for out in (lymph, pool):
+        assert out._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert pool.columns == df.columns and pool.count() > 40
+
+
+def test_a_staged_table_leaves_no_shuffle_files(spark, table):
+    from titerframe.operators.staging import staged, unstaged
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(i).getName() for i in range(found.size()) if found.apply(i).getName().startswith("shuffle_")}
+
+    before = files()
+    out = staged(spark.createDataFrame(table).groupBy("file").count())
+    until = time.monotonic() + 10
+    while files() - before and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not files() - before and out.count() == table.file.nunique()
+    unstaged(out)
+
+
 def test_empty_tables_and_null_rows(spark):
     from pyspark.sql import functions as F
 

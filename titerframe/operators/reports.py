@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aggregates as A
 from ..functions.numeric import finite, precision_recall_f1
-from .sampling import sample_per_group
+from .sampling import drawn, sample_per_group
 from .spatial import overlaps
 from .statistics import exact_quantiles
 
@@ -148,16 +148,30 @@ def training_pool(events: DataFrame, file_col: str, row: list[str], mask: Column
     """Training rows of every file: a base sample inside the mask, and per marker a sample of its upper tail.
 
     Markers with fewer than ``least`` finite values in a file boost nothing there. A row that is drawn twice counts once.
+    Events move once, by file: all samples are ranks in windows over it. Rows with a null in their key are not drawn.
     """
-    inside = events.where(F.coalesce(mask, F.lit(False)))
-    base = sample_per_group(inside, [file_col], row, per_file).select(file_col, *row)
-    parts = [base]
+    file, inside = Window.partitionBy(file_col), F.col("__in")
+
+    def taken(seed: int, among: str, size: str, n: int) -> Column:
+        """The rows of a mask that :func:`sample_per_group` takes; no hash where all are."""
+        order = Window.partitionBy(file_col, among).orderBy(F.when(F.col(among) & (F.col(size) > n), drawn(seed, row)), *row)
+        return F.col(among) & (F.row_number().over(order) <= n)
+
+    rows = events.withColumn("__in", F.coalesce(mask, F.lit(False)))
+    facts = {"__size": F.count_if(inside).over(file)}
     for i, m in enumerate(markers):
         x = finite(F.col(m))
-        limit = inside.groupBy(file_col).agg(F.count(x).alias("__n"), A.quantile(F.col(m), tail_q).alias("__q")).where(F.col("__n") >= least)
-        upper = inside.join(limit, file_col).where(x >= F.col("__q"))
-        parts.append(sample_per_group(upper, [file_col], row, tail, seed=i + 1).select(file_col, *row))
-    return events.join(reduce(DataFrame.union, parts).dropDuplicates([file_col, *row]), [file_col, *row], "left_semi")
+        facts |= {f"__n{i}": F.count(F.when(inside, x)).over(file), f"__q{i}": A.quantile(F.col(m), tail_q, inside).over(file)}
+    rows = rows.withColumns(facts)
+    upper = {f"__up{i}": F.coalesce(inside & (F.col(f"__n{i}") >= least) & (finite(F.col(m)) >= F.col(f"__q{i}")), F.lit(False)) for i, m in enumerate(markers)}
+    rows = rows.withColumns(upper).withColumns({f"__size{i}": F.count_if(F.col(f"__up{i}")).over(file) for i in range(len(markers))})
+    rows = rows.withColumn("__taken", taken(0, "__in", "__size", per_file))
+    for i in range(len(markers)):
+        rows = rows.withColumn("__taken", F.col("__taken") | taken(i + 1, f"__up{i}", f"__size{i}", tail))
+    key = [file_col, *row]
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in key])
+    # rows with the key of a drawn one come along
+    return rows.where(known).withColumn("__taken", F.max("__taken").over(Window.partitionBy(*key))).where("__taken").select(*key, *[c for c in events.columns if c not in key])
 
 
 def sample_with_replacement(df: DataFrame, keys: list[str], row: list[str], n: int, seed: int = 0) -> DataFrame:
